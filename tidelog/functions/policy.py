@@ -10,6 +10,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog import schema as S
 
@@ -110,7 +111,7 @@ def public_address(raw: str | None) -> bool:
     return not any(ip.version == n.version and ip in n for n in _NETWORKS)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_public_ip(raw: pd.Series) -> pd.Series:
     return raw.map(public_address)
 
@@ -141,7 +142,7 @@ def url_error(url: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sign(secret: pd.Series, timestamp: pd.Series, payload: pd.Series) -> pd.Series:
     """HMAC-SHA256 of ``timestamp.payload`` (P20)."""
     return pd.Series([signature(a, b, c) for a, b, c in zip(secret, timestamp, payload)])

@@ -84,7 +84,7 @@ def latest(entries: DataFrame) -> DataFrame:
 
 def rollup(entries: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Outcome counts of each workspace."""
-    joined = entries.join(subscriptions.select(F.col("id").alias("subscription_id"), "workspace"), "subscription_id")
+    joined = entries.select("subscription_id", "status").join(subscriptions.select(F.col("id").alias("subscription_id"), "workspace"), "subscription_id")
     s = F.col("status")
     return joined.groupBy("workspace").agg(F.count_if(s == "delivered").alias("delivered"), F.count_if(s.isin("retry", "failed")).alias("failed"), F.count_if(s == "unknown").alias("unknown"), F.count_if(s == "dlq").alias("dead_letters"))
 

@@ -124,7 +124,7 @@ def fold_commands(commands: DataFrame, partitions: int, ttl: int, visibility: in
                 if what != "nack":
                     s["offsets"][p] = row["offset"] if what == "commit" else lease["next"]
                 del s["leases"][p]
-        return [{"group": row["group"], "seq": row["seq"], "command": what, "member": who, "partition": p, "verdict": verdict, "epoch": s["epoch"], "committed": None if p is None else s["offsets"][p], "events": events}]
+        return [{"group": row["group"], "seq": row["seq"], "command": what, "member": who, "partition": p, "verdict": verdict, "epoch": s["epoch"], "committed": s["offsets"].get(p), "events": events}]
 
     return ordered_fold(commands, ["group"], ["seq"], begin, step, FOLDED)
 
