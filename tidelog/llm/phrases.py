@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import record_batch, stored
-from tidelog.llm.repeats import Spec, keyed, repeats, unpack
+from tidelog.llm.repeats import Spec, keyed, repeats, span
 
 LENGTH, ANCHOR, TILE = 50, 16, 25
 #: Text of one bucket, about; its automaton has a part of that.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def word_symbols(text: bytes) -> np.ndarray:
@@ -37,6 +37,14 @@ def word_symbols(text: bytes) -> np.ndarray:
 SPEC = Spec(LENGTH, ANCHOR, by_document=True, owners=True, symbols=word_symbols)
 
 
+def around(out: np.ndarray, start: int, end: int) -> tuple[int, int]:
+    """The removed run that holds [start, end), no longer than windows there reach; (start, start) if there is none."""
+    if not out[start:end].all():
+        return start, start
+    left, right = out[max(0, end - LENGTH) : start][::-1], out[end : start + LENGTH]
+    return start - (int(left.argmin()) if not left.all() else len(left)), end + (int(right.argmin()) if not right.all() else len(right))
+
+
 class Automaton:
     """Passages of one bucket."""
 
@@ -70,24 +78,33 @@ class Automaton:
             return out
         get = self.words.get
         ids = tuple([get(w, 0) for w in words])
-        array = np.array(ids)
+        array, n = np.array(ids), len(ids)
         seen: dict[tuple[int, int], int] = {}
         for end, places in self.machine.iter(ids):
             start = end - TILE + 1
+            a, b = around(out, start, end + 1)
             for which, at in places:
+                # windows with this tile lie within these bounds: if all of that is removed, no passage adds to it
+                if a <= max(0, end + 1 - LENGTH) and b >= min(n, start + LENGTH):
+                    break
                 if self.owners[which] >= did:
                     continue
                 shift = start - at
                 if seen.get((which, shift), -1) > start:
                     continue
                 passage = self.passages[which]
-                low, high = max(0, shift), min(len(array), shift + len(passage))
+                if b > a:  # a passage adds only if it goes on where the removed run ends
+                    on = b < n and 0 <= b - shift < len(passage) and passage[b - shift] == ids[b]
+                    if not on and not (a > 0 and 0 < a - shift <= len(passage) and passage[a - 1 - shift] == ids[a - 1]):
+                        continue
+                low, high = max(0, shift), min(n, shift + len(passage))
                 differ = np.flatnonzero(array[low:high] != passage[low - shift : high - shift]) + low
                 k = np.searchsorted(differ, start)
-                a, b = (differ[k - 1] + 1 if k else low), (differ[k] if k < len(differ) else high)
-                seen[which, shift] = b
-                if b - a >= LENGTH:
-                    out[a:b] = True
+                first, last = (differ[k - 1] + 1 if k else low), (differ[k] if k < len(differ) else high)
+                seen[which, shift] = last
+                if last - first >= LENGTH:
+                    out[first:last] = True
+                    a, b = around(out, start, end + 1)
         return out
 
 
@@ -102,7 +119,7 @@ def _passages(batches):
             for r in routes:
                 by_bucket.setdefault(r["bucket"], []).append(r["oat"])
             for bucket, places in by_bucket.items():
-                low, high = unpack(np.array(places))
+                low, high = span(np.array(places))
                 mark = np.zeros(len(words) + 2, np.int64)
                 np.add.at(mark, np.minimum(low, len(words)), 1)
                 np.add.at(mark, np.minimum(high + 1, len(words) + 1), -1)

@@ -12,11 +12,13 @@ anchors at equal offsets, so nothing is lost by sorting anchors only:
 1. rank at k: rows (rank of the anchor, rank of its run, place) of all anchors, where a run is all consecutive windows
    that have this anchor. They are sorted; an anchor whose rank is unique is done. Equal runs past the threshold
    repeat as wholes: all but the first are resolved.
-2. rank at the full length: where an anchor has several different runs, each such run (one of each kind) gives a row for
-   each window (rank of the anchor, rank of the window and its offset, place). They are sorted; all but the first
-   of equals are resolved.
+2. rank half-way: where an anchor has several different runs, one run of each kind stays open. A window reaches at least
+   half of (length - k) beyond its anchor on one side; the ranks of the anchor with that much on its left, and on
+   its right, are sorted, and a side that is unique is done.
+3. rank at the full length: what is open gives a row for each window (rank of the anchor, rank of the window and its
+   offset, place). They are sorted; all but the first of equals are resolved.
 
-Both sorts are preceded by the same resolution within a task's rows, so a passage that a third of the documents share
+Each sort is preceded by the same decision within a task's rows, so a passage that a third of the documents share
 sends one row from each task. Names that decide are at least 128 bits together (anchor and window).
 """
 
@@ -69,6 +71,10 @@ class Spec:
     def schema(self) -> str:
         return ", ".join(f"{x} long" for x in self.columns)
 
+    @property
+    def half(self) -> int:
+        return (self.length - self.anchor + 1) // 2
+
     @property
     def reach(self) -> int:
         return self.length - self.anchor + 1
@@ -132,15 +138,28 @@ def anchors(spec: Spec, symbols: np.ndarray, ends: np.ndarray):
 
 
 def pack(p, left, right):
+    """The place of an anchor and its run: windows p - left to p - right."""
     return p << 24 | left << 12 | right
 
 
 def unpack(at):
-    """First and last window of a row's place."""
+    """First and last window of an anchor's run."""
     p = at >> 24
     return p - (at >> 12 & 4095), p - (at & 4095)
 
 
+def as_span(at):
+    """The same windows as a resolved row has them: the first one, and their number."""
+    low, high = unpack(at)
+    return low << 24 | (high - low + 1)
+
+
+def span(at):
+    """First and last window of a resolved row."""
+    low = at >> 24
+    return low, low + (at & 0xFFFFFF) - 1
+
+
 def _resolve(spec: Spec, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Sorted rows, equal (h, c) together and first by (did, at): marks those that repeat an earlier one."""
     n = len(rows["h"])
@@ -152,8 +171,33 @@ def _resolve(spec: Spec, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         later |= (rows["did"] == rows["did"][first]) & (rows["at"] > rows["at"][first])
     rows["state"] = np.where(later, RESOLVED, rows["state"])
     if spec.owners:
-        for own, name in (("odid", "did"), ("otag", "tag"), ("oat", "at")):
+        for own, name in (("odid", "did"), ("otag", "tag")):
             rows[own] = np.where(later, rows[name][first], rows[own])
+        rows["oat"] = np.where(later, as_span(rows["at"][first]), rows["oat"])
+    rows["at"] = np.where(later, as_span(rows["at"]), rows["at"])
+    return rows
+
+
+def _merged(spec: Spec, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Resolved rows with those that follow on in a document (and in its owner) made one; dealt by document."""
+    if not len(rows["at"]):
+        return rows
+    rows = _take(rows, np.lexsort((rows["at"], rows["tag"], rows["did"])))
+    low, high = span(rows["at"])
+    on = (rows["did"][1:] == rows["did"][:-1]) & (rows["tag"][1:] == rows["tag"][:-1]) & (low[1:] == high[:-1] + 1)
+    if spec.owners:
+        own_low, own_high = span(rows["oat"])
+        on &= (rows["odid"][1:] == rows["odid"][:-1]) & (rows["otag"][1:] == rows["otag"][:-1]) & (own_low[1:] == own_high[:-1] + 1)
+    starts = np.append(0, np.flatnonzero(~on) + 1)
+    n = np.add.reduceat(high - low + 1, starts)
+    rows = _take(rows, starts)
+    fits = n < 1 << 24
+    assert fits.all(), "a piece has fewer windows"
+    rows["at"] = rows["at"] >> 24 << 24 | n
+    if spec.owners:
+        rows["oat"] = rows["oat"] >> 24 << 24 | n
+    rows["h"] = pair(rows["did"].view(np.uint64), rows["at"].view(np.uint64)).view(np.int64)
+    rows["c"] = np.zeros(len(n), np.int64)
     return rows
 
 
@@ -192,8 +236,8 @@ class Gather:
             return
         rows = _join(self.parts)
         rows = _resolve(self.spec, _take(rows, np.lexsort((rows["at"], rows["did"], rows["c"], rows["h"]))))
-        done = rows["state"] == RESOLVED  # they go anywhere, spread evenly
-        rows["h"] = np.where(done, pair(rows["did"].view(np.uint64), rows["at"].view(np.uint64)).view(np.int64), rows["h"])
+        done = rows["state"] == RESOLVED
+        rows = _join([_merged(self.spec, _take(rows, done)), _take(rows, ~done)])
         self.parts, self.n = [], 0
         for a in range(0, len(rows["h"]), 1 << 16):
             yield _batch(_take(rows, slice(a, a + (1 << 16))))
@@ -237,24 +281,97 @@ def _grouped(found: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[list[tupl
         yield group
 
 
-def window_rows(spec: Spec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of did, tag, text and places (the open runs): a row for each of their windows."""
-    gather = Gather(spec)
+def side_rows(spec: Spec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of did, tag, text and places (the open runs): rank and place of both sides of each.
+
+    Within the task's rows, those that share a rank are decided (RESOLVED) and one of them goes on to meet other tasks' (OPEN).
+    """
+    parts: list[dict[str, np.ndarray]] = []
+    n = 0
+
+    def flush():
+        rows = _join(parts)
+        rows = _take(rows, np.lexsort((rows["at"], rows["did"], rows["h"])))
+        same = rows["h"][1:] == rows["h"][:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        rows["state"] = np.where(shared, RESOLVED, CANDIDATE)
+        met = _take(rows, shared & ~np.append(False, same))
+        met["state"] = np.full(len(met["h"]), OPEN)
+        rows["h"] = np.where(shared, pair(rows["did"].view(np.uint64), rows["at"].view(np.uint64)).view(np.int64), rows["h"])
+        yield _batch(_join([rows, met]))
+
+    half = spec.half
     for batch in slices(batches, "text", SLICE):
         texts, places = byte_column(batch, "text"), batch.column("places")
         did, tag = (batch.column(x).to_pylist() for x in ("did", "tag"))
         for k, text in enumerate(texts):
             at = np.sort(places[k].values.to_numpy())
             symbols = spec.symbols(text)
+            for a in range(0, max(1, len(symbols)), PIECE):
+                p = (at >> 24) - a
+                mine = (p >= 0) & (p < PIECE)
+                low = max(0, a - half)
+                (wide,) = ranks(symbols[low : a + PIECE + spec.anchor + half], [spec.anchor + half])
+                for side, first in ((0, p - half), (1, p)):
+                    ok = mine & (first + a >= 0) & (first + a - low < len(wide))
+                    if ok.any():
+                        h = pair(wide[first[ok] + a - low], np.full(1, side + 1, np.uint64))
+                        parts.append(_new(spec, h, np.zeros(len(h), np.uint64), did[k], tag[k], at[ok] << 1 | side))
+                        n += len(h)
+            if n >= FLUSH_ROWS:
+                yield from flush()
+                parts, n = [], 0
+    if n:
+        yield from flush()
+
+
+def shared_sides(spec: Spec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by h: the sides whose rank another row has too."""
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in spec.columns}
+        if carry:
+            rows = _join([carry, rows])
+        same = rows["h"][1:] == rows["h"][:-1]
+        met = np.append(same, False) | np.append(False, same)
+        out = (rows["state"] == RESOLVED) | (rows["state"] == CANDIDATE) & met
+        carry = _take(rows, slice(-1, None))  # the last row may yet be met; if it was sent it only waits for others
+        if not out[-1] and rows["state"][-1] == CANDIDATE:
+            pass
+        else:
+            carry["state"] = np.full(1, OPEN)
+        if out.any():
+            yield _batch(_take(rows, out))
+
+
+def window_rows(spec: Spec, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of did, tag, text and sides (the open runs' shared sides): a row for each of their windows."""
+    gather = Gather(spec)
+    half = spec.half
+    for batch in slices(batches, "text", SLICE):
+        texts, sides = byte_column(batch, "text"), batch.column("sides")
+        did, tag = (batch.column(x).to_pylist() for x in ("did", "tag"))
+        for k, text in enumerate(texts):
+            found = np.unique(sides[k].values.to_numpy())
+            at, first = np.unique(found >> 1, return_index=True)
+            left = (found[first] & 1) == 0
+            right = np.isin(at << 1 | 1, found)
+            symbols = spec.symbols(text)
             low, high = unpack(at)
             for a in range(0, max(1, len(symbols)), PIECE):
-                mine = (low >= a) & (low < a + PIECE)
-                if not mine.any():
+                mine = np.flatnonzero((low >= a) & (low < a + PIECE))
+                if not len(mine):
                     continue
                 small, full = ranks(symbols[a : a + PIECE + 2 * spec.length], [spec.anchor, spec.length])
-                n = (high - low)[mine] + 1
-                p = np.repeat(at[mine] >> 24, n)
-                s = np.repeat(low[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                n = high[mine] - low[mine] + 1
+                own = np.repeat(mine, n)
+                s = low[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                p = at[own] >> 24
+                reach = p - s
+                ok = ((reach < half) | left[own]) & ((reach > spec.length - spec.anchor - half) | right[own])
+                s, p = s[ok], p[ok]
                 yield from gather.add(_new(spec, small[p - a], pair(full[s - a], (p - s).astype(np.uint64)), did[k], tag[k], pack(s, 0, 0)))
     yield from gather.flush()
 
@@ -308,10 +425,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"did": did, "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     often = rows.groupBy("did").count().filter("count > 1").select(slot.alias("slot")).distinct().collect()
     if not often:
-        return rows.withColumn("tag", F.lit(0).cast("long"))
+        return rows.withColumn("tag", F.col("did") % 1)  # zero, but no literal: then both joins below have one exchange
     marked = docs.sparkSession.createDataFrame([(r["slot"],) for r in often], "slot int").withColumn("again", F.lit(True))
     rows = rows.withColumn("slot", slot).join(F.broadcast(marked), "slot", "left")
-    return rows.withColumn("tag", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("slot", "again")
+    return rows.withColumn("tag", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.col("did") % 1)).drop("slot", "again")
 
 
 def repeats(spec: Spec, rows: DataFrame) -> DataFrame:
@@ -324,14 +441,18 @@ def repeats(spec: Spec, rows: DataFrame) -> DataFrame:
     found = text.mapInArrow(lambda b: anchor_rows(spec, b), spec.schema)
     runs = stored(sort(found).mapInArrow(lambda b: resolved(spec, b, True), spec.schema).select(*spec.place, "state"), "runs")
     open_ = runs.filter(F.col("state") == OPEN).groupBy("did", "tag").agg(F.collect_list("at").alias("places"))
-    windows = text.join(open_, ["did", "tag"]).mapInArrow(lambda b: window_rows(spec, b), spec.schema)
+    # all columns of rows: then these joins and one of the caller's on the same keys share the texts' exchange
+    halves = rows.join(open_, ["did", "tag"]).mapInArrow(lambda b: side_rows(spec, b), spec.schema)
+    halves = halves.repartition("h").sortWithinPartitions("h", "did", "at").mapInArrow(lambda b: shared_sides(spec, b), spec.schema)
+    sides = halves.groupBy("did", "tag").agg(F.collect_list("at").alias("sides"))
+    windows = rows.join(sides, ["did", "tag"]).mapInArrow(lambda b: window_rows(spec, b), spec.schema)
     single = sort(windows).mapInArrow(lambda b: resolved(spec, b, False), spec.schema)
     return runs.filter(F.col("state") == RESOLVED).select(*spec.place).union(single.filter(F.col("state") == RESOLVED).select(*spec.place))
 
 
 def covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
     """Which of n symbols the windows at these places cover."""
-    low, high = unpack(at)
+    low, high = span(at)
     delta = np.zeros(n + 1, np.int64)
     np.add.at(delta, np.minimum(low, n), 1)
     np.add.at(delta, np.minimum(high + length, n), -1)
