@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, simhash
+from tidelog.llm import bpe, decontaminate, langid, simhash, substrings
 from tidelog.llm.common import stored, table
+from tidelog.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if one language is more likely than all others together.
@@ -24,7 +25,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates)]
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated strings of 100 bytes out of the texts; documents of which nothing is left go."""
+    found = substrings.remove_repeats(docs, "lang", "source", "n_chars")
+    text = F.when(F.col("n_removed") > 0, substrings.kept_text(F.col("kept"))).otherwise(F.col("kept").cast("string"))
+    rows = found.filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of a benchmark item."""
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the text decoded from them, and the ids."""
+    return bpe.digests(docs, tokenizer_path(), with_ids=True)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_substrings", repeated_substrings), ("benchmark_passages", benchmark_passages), ("tokens", tokens)]
+#: Fingerprints, sampled repeats, edit distances and merges are no SQL; tests/llm holds the rows against plain Python.
 ORACLE_SQL = None
 
 

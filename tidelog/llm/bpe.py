@@ -260,14 +260,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, DECODED)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode, then decode the ids, in one pass of each partition; digests of both."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encode, then decode the ids, in one pass of each partition; digests of both, and the ids too if asked for."""
     raw = _codec(docs.sparkSession, path)
 
     def run(batches):
         codec = Codec(read_ranks(raw.value))
         for batch in codec.decode(codec.encode(batches)):
             ids = [np.frombuffer(b"", "<u4") if x.values is None else x.values.to_numpy() for x in batch.column("ids")]
-            yield record_batch(_DIGESTS, [batch.column("doc_id"), [len(x) for x in ids], [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]])
+            more = [batch.column("ids")] if with_ids else []
+            digest = record_batch(_DIGESTS, [batch.column("doc_id"), [len(x) for x in ids], [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]])
+            yield pa.RecordBatch.from_arrays([*digest.columns, *more], names=schema.names)
 
-    return doc_rows(docs).mapInArrow(run, DIGESTS)
+    schema = T.StructType([*DIGESTS.fields, *([ENCODED["ids"]] if with_ids else [])])
+    return doc_rows(docs).mapInArrow(run, schema)

@@ -154,6 +154,7 @@ def edited(words: list[int], edits: int, r: random.Random, size: int) -> list[in
 
 
 def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
+    """Per contaminated row and item: the row's number, then what contaminated() returns."""
     ids, owner, sizes = [], [], []
     for text in byte_column(batch, "text"):
         own = [i for i in [words[w] for w in text.split()] if i >= 0]
@@ -201,27 +202,46 @@ def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
                 back, length = best_passage(item[::-1], flat[low : low + end][::-1])
                 best = (distance, low + end - length - begins[o], low + end - begins[o])
         if best:
-            rows.append((ids_of[o], item_id, best[0], m, int(best[1]), int(best[2])))
+            rows.append((o, ids_of[o], item_id, best[0], m, int(best[1]), int(best[2])))
     return rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edit_distance, item_words, start_word and end_word of every contaminated document and item."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame):
+    """The indexed items, block by block, each broadcast."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out = None
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     for block in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, edit_distance, item_words, start_word and end_word of every contaminated document and item."""
+    out = None
+    for shared in _blocks(benchmark):
 
         def run(batches, shared=shared):
             items = shared.value
             words = Words(items.known)
             for batch in slices(batches, "text"):
                 found = scan(batch, items, words)
-                yield record_batch(_OUT, [[r[k] for r in found] for k in range(6)])
+                yield record_batch(_OUT, [[r[k] for r in found] for k in range(1, 7)])
 
         found = doc_rows(docs).mapInArrow(run, "doc_id long, item_id long, edit_distance long, item_words long, start_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without contaminated documents; no row is moved."""
+    for shared in _blocks(benchmark):
+
+        def run(batches, shared=shared):
+            items = shared.value
+            words = Words(items.known)
+            for batch in slices(batches, "text"):
+                out = {r[0] for r in scan(batch, items, words)}
+                yield batch.filter(pa.array([k not in out for k in range(batch.num_rows)])) if out else batch
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

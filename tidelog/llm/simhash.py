@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,8 @@ TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 POSTING_ROWS = 256
 CHUNK = 1 << 15
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
 
 
 def fingerprint(text: bytes) -> int:
@@ -56,14 +56,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every text."""
+    """doc_id, key (a hash of the text, which tells rows that repeat an id apart) and fp (the 64 bits as a signed long)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(x) for x in byte_column(batch, "text")], np.uint64)
-            yield record_batch(_OUT, [batch.column("doc_id"), found.view(np.int64)])
+            yield record_batch(_OUT, [batch.column("doc_id"), batch.column("key"), found.view(np.int64)])
 
-    return doc_rows(docs).mapInArrow(run, FINGERPRINTS)
+    return doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key")).mapInArrow(run, FINGERPRINTS)
 
 
 def _byte(fp, k: int):
@@ -112,12 +112,29 @@ def links(fps: DataFrame) -> DataFrame:
     return found.union(_verified(left, right, ["slot", "value", "i", "j"]))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and fp of every document."""
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, fp of every document; fp, root (the group's smallest fingerprint) and the fingerprint's smallest id."""
     found = stored(fingerprints(docs), "fingerprints")
     fps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = connected(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    named = fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return found, fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and fp of every document."""
+    found, named = groups(docs)
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: the smallest id's (nulls last), then the smallest text hash's, then any of equal rows."""
+    found, named = groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    each = found.groupBy("fp").agg(first.alias("first")).join(named.select("fp", "root"), "fp")  # copies meet before the join
+    kept = each.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    rows = docs.withColumns({"_key2": F.xxhash64(F.col("text").cast("string")), "_id2": F.col("doc_id").cast("long")})
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left_semi")
+    w = Window.partitionBy("_id2", "_key2").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["_key2"])
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_id2", "_key2")

@@ -13,9 +13,11 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidelog.llm.common import byte_column, record_batch, slices
 from tidelog.llm.repeats import Spec, covered, keyed, repeats
@@ -36,7 +38,10 @@ SPEC = Spec(LENGTH, ANCHOR, by_document=False, owners=False, symbols=byte_symbol
 
 
 def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), then the columns named by more."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), then the columns named by more.
+
+    kept_text() gives it as a string.
+    """
     rows = keyed(docs.select("doc_id", "text", *more))
     found = repeats(SPEC, rows).groupBy("did", "tag").agg(F.collect_list("at").alias("places"))
     joined = rows.join(found, ["did", "tag"], "left").select("doc_id", "text", "places", *more)
@@ -58,3 +63,13 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*first.columns, *(batch.column(x) for x in more)], names=[*head.names, *more])
 
     return joined.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, schema)
+
+
+def kept_text(kept):
+    """What is kept as text; characters that removal has cut through are left out."""
+
+    @F.pandas_udf(StringType())
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: x.decode("utf-8", "ignore"))
+
+    return decode(kept)
