@@ -3,8 +3,9 @@
 A document is contaminated by an item of m words if some passage of it is within floor(EDITS m) word edits of the item.
 Windows of the item's size start at every word of every document.
 
-* Count filter (loses nothing): a passage within e edits keeps m - 1 - 2e of the item's word pairs, so windows with
-  fewer pairs that occur in any item go. Prefix sums over a whole slice of texts count them.
+* Count filter (loses nothing): a passage within e edits keeps m - 2 - 3e of the item's word triples, so windows with
+  fewer triples that occur in any item go (pairs, m - 1 - 2e, for items too short for triples). Prefix sums over a
+  whole slice of texts count them.
 * CGK embedding: a walk over the window writes the word under its pointer, and a random bit of (step, word) says
   whether the pointer moves; edit distance becomes Hamming distance.
 * Bit-sampling LSH: each repetition samples SAMPLED steps of one walk; windows and items with equal samples are
@@ -34,6 +35,7 @@ from tidelog.llm.common import byte_column, doc_rows, record_batch, slices
 EDITS, LEAST_WORDS, BLOCK_ITEMS = 0.2, 5, 5000
 SAMPLED, RECALL, MOST_REPEATS, TRIALS = 2, 0.995, 96, 20
 STRETCH = 3  # steps of a walk per word
+SCAN_BYTES = 4 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edit_distance", pa.int64()), ("item_words", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 _WORD = re.compile(r"\W+")
 
@@ -52,7 +54,9 @@ class Words(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        word = normal(raw.decode("utf-8", "replace"))
+        text = raw.decode("utf-8", "replace").lower()
+        word = text.strip(".,;:!?*#$%&\"()")
+        word = word if word.isalnum() else normal(text)
         self[raw] = found = self.known.get(word, 0) if word else -1
         return found
 
@@ -97,6 +101,17 @@ def best_passage(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def grams(words: np.ndarray, q: int) -> np.ndarray:
+    """Each q consecutive words as one number (a block's words have ids below 2^21)."""
+    return words[:-1] << 21 | words[1:] if q == 2 else words[:-2] << 42 | words[1:-1] << 21 | words[2:]
+
+
+def needed(m: int) -> tuple[int, int]:
+    """The q that the count filter uses for items of m words, and how many of their q-grams any passage keeps."""
+    limit = edit_limit(m)
+    return (3, m - 2 - 3 * limit) if m - 2 - 3 * limit > 0 else (2, m - 1 - 2 * limit)
+
+
 class Items:
     """One block of items, indexed."""
 
@@ -110,14 +125,16 @@ class Items:
         self.sizes: dict[int, list[int]] = {}
         for k, (_, words) in enumerate(self.items):
             self.sizes.setdefault(len(words), []).append(k)
-        pairs = {int(a) << 32 | int(b) for _, w in self.items for a, b in zip(w, w[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.tables: dict[int, list[dict[tuple, list[int]]]] = {}
-        for m in sorted(self.sizes):
-            self.tables[m] = self.repeated(m)
-
-    def repeated(self, m: int) -> list[dict[tuple, list[int]]]:
-        """Tables until randomly edited items of this size are found at the target recall."""
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # q: (q-grams, where each one's items begin, items)
+        for q in (2, 3):
+            own = [(grams(w, q), k) for k, (_, w) in enumerate(self.items) if needed(len(w))[0] == q]
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([g, np.full(len(g), k)], 1) for g, k in own)]), axis=0)
+            known, begins = np.unique(pairs[:, 0], return_index=True)
+            self.grams[q] = known, np.append(begins, len(pairs)), pairs[:, 1]
+        self.keys = {m: self.repeated(m) for m in sorted(self.sizes)}
+
+    def repeated(self, m: int) -> list[np.ndarray]:
+        """The items' samples of each repetition, until randomly edited items of this size are found at the target recall."""
         own = np.stack([self.items[k][1] for k in self.sizes[m]])
         r = random.Random(m)
         tests, of = [], []
@@ -126,17 +143,14 @@ class Items:
                 tests.append(edited(words.tolist(), edit_limit(m), r, m))
                 of.append(row)
         tests, of = np.array(tests), np.array(of)
-        missed, tables = np.ones(len(tests), bool), []
+        missed, out = np.ones(len(tests), bool), []
         for repeat in range(MOST_REPEATS):
             keys = samples(own, repeat)
-            table: dict[tuple, list[int]] = {}
-            for k, key in zip(self.sizes[m], keys.tolist()):
-                table.setdefault(tuple(key), []).append(k)
-            tables.append(table)
+            out.append(keys)
             missed &= (samples(tests, repeat) != keys[of]).any(1)
             if missed.mean() <= 1 - RECALL:
                 break
-        return tables
+        return out
 
 
 def edited(words: list[int], edits: int, r: random.Random, size: int) -> list[int]:
@@ -153,6 +167,44 @@ def edited(words: list[int], edits: int, r: random.Random, size: int) -> list[in
     return (words + [0] * size)[:size]
 
 
+def near_items(flat: np.ndarray, ends: np.ndarray, items: Items) -> dict[int, np.ndarray]:
+    """The count filter: for each item the starts of the windows that have enough of its q-grams."""
+    out = {}
+    for q, (known, begins, owners) in items.grams.items():
+        ours = flat > 0
+        for k in range(1, q):
+            ours[:-k] &= flat[k:] > 0
+            ours[np.maximum(ends[ends > 0] - k, 0)] = False  # no q-gram over a text's end
+        at = np.flatnonzero(ours)
+        if not len(at) or not len(known):
+            continue
+        own = flat[at] << 21 | flat[at + 1]
+        own = own if q == 2 else own << 21 | flat[at + 2]
+        gram = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[gram] == own
+        at, gram = at[hit], gram[hit]
+        n = begins[gram + 1] - begins[gram]
+        which = owners[np.repeat(begins[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        place = np.repeat(at, n)
+        order = np.lexsort((place, which))
+        which, place = which[order], place[order]
+        cuts = np.flatnonzero(np.diff(which, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(which))):
+            m = len(items.items[which[a]][1])
+            least, width = needed(m)[1], m + edit_limit(m)
+            if b - a < least:
+                continue
+            first, last = place[a : b - least + 1], place[a + least - 1 : b]
+            ok = last - first < width
+            if ok.any():
+                low, high = np.maximum(last[ok] - width + 1, 0), first[ok]
+                mark = np.zeros(len(flat) + 1, np.int32)
+                np.add.at(mark, low, 1)
+                np.add.at(mark, high + 1, -1)
+                out[int(which[a])] = np.flatnonzero(np.cumsum(mark) > 0)
+    return out
+
+
 def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
     """Per contaminated row and item: the row's number, then what contaminated() returns."""
     ids, owner, sizes = [], [], []
@@ -165,28 +217,23 @@ def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
         return []
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    pair = flat[:-1] << 32 | flat[1:]
-    hit = np.zeros(len(flat), np.int64)
-    known = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
-    at = np.minimum(np.searchsorted(items.pairs, pair[known]), max(0, len(items.pairs) - 1))
-    if len(items.pairs):
-        hit[known] = items.pairs[at] == pair[known]
-    hit[ends[ends > 0] - 1] = 0  # no pair over a text's end
-    total = np.append(0, np.cumsum(hit))
     found: dict[tuple[int, int], list[int]] = {}
     n = len(flat)
-    for m, tables in items.tables.items():
-        limit = edit_limit(m)
-        starts = np.flatnonzero(total[np.minimum(np.arange(n) + m + limit, n)] - total[:n] >= max(1, m - 1 - 2 * limit))
-        if not len(starts):
+    near = near_items(flat, ends, items)
+    for m, keys in items.keys.items():
+        mine = [(k, row, near[k]) for row, k in enumerate(items.sizes[m]) if k in near]
+        if not mine:
             continue
+        starts = np.unique(np.concatenate([x for _, _, x in mine]))
         owner = np.searchsorted(ends, starts, "right")
         place = starts[:, None] + np.arange(m)
         windows = np.where(place < ends[owner][:, None], flat[np.minimum(place, n - 1)], -2)
-        for repeat, table in enumerate(tables):
-            for s, o, key in zip(starts.tolist(), owner.tolist(), map(tuple, samples(windows, repeat).tolist())):
-                for k in table.get(key, ()):
-                    found.setdefault((o, k), []).append(s)
+        mine = [(k, row, np.searchsorted(starts, x)) for k, row, x in mine]
+        for repeat, own in enumerate(keys):
+            found_here = samples(windows, repeat)
+            for k, row, at in mine:
+                for i in at[(found_here[at] == own[row]).all(1)].tolist():
+                    found.setdefault((int(owner[i]), k), []).append(int(starts[i]))
     rows = []
     ids_of = batch.column("doc_id").to_pylist()
     for (o, k), starts in sorted(found.items()):
@@ -223,7 +270,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             items = shared.value
             words = Words(items.known)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SCAN_BYTES):
                 found = scan(batch, items, words)
                 yield record_batch(_OUT, [[r[k] for r in found] for k in range(1, 7)])
 
@@ -239,7 +286,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             items = shared.value
             words = Words(items.known)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SCAN_BYTES):
                 out = {r[0] for r in scan(batch, items, words)}
                 yield batch.filter(pa.array([k not in out for k in range(batch.num_rows)])) if out else batch
 

@@ -6,7 +6,7 @@ CLASS_WORDS words each by frequency, and one class for all other words. P(word)
 state); within the last class P(word) = (c + 1) / (n + v + 1), where c, n and v are counts over all training documents
 (the word's, the class's tokens and its distinct words).
 
-Counts cover every training document and are kept by key in Spark: the HEAD most frequent words (a fixed number)
+Counts cover every training document and are kept by key in Spark: the most frequent words (HEAD at most, a fixed number)
 are broadcast, all other words of a document are joined to their counts. The network is fitted by truncated
 backpropagation in numpy on a bounded sample, about TRAIN_TOKENS tokens of training documents chosen by a hash of the id.
 
@@ -234,13 +234,29 @@ def score_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray
     return total
 
 
+def frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """HEAD words at most, by falling counts: all above a threshold that is read off a histogram of logarithms.
+
+    So the driver gets the histogram and HEAD rows, not HEAD rows of each partition.
+    """
+    level = F.floor(F.log("n") * 64).cast("int")
+    least, n = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        n += r["count"]
+        if n > HEAD:
+            break
+        least = r["level"]
+    found = [] if least is None else counts.filter(level >= least).collect()
+    found = sorted((-r["n"], bytes(r["word"])) for r in found)
+    return [w for _, w in found], np.array([-n for n, _ in found], np.int64)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and score's class part of every document."""
     spark = docs.sparkSession
     counts = stored(count_words(docs), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # HEAD rows at most
-    words, sizes = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    words, sizes = frequent(counts)
     rest, others = int(total - sizes[:WORDS].sum()), int(distinct - min(distinct, WORDS))
     network = Network(sizes[:WORDS], max(rest, 1))
     if total:
