@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, simhash, substrings
+from tidelog.llm import bpe, decontaminate, langid, nearcopies, simhash, substrings
 from tidelog.llm.common import stored, table
 from tidelog.llm.queries import tokenizer_path
 
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document with the smallest id (the smallest text among rows that repeat it)."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps of each group of near-copies (five words, 0.8) the document with the smallest id (the smallest text among rows that repeat it)."""
+    return simhash.keep_one(docs, nearcopies.groups).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

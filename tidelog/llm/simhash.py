@@ -128,9 +128,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, grouped=groups) -> DataFrame:
     """docs with one row of each group: the smallest id's (nulls last), then the smallest text hash's, then any of equal rows."""
-    found, named = groups(docs)
+    found, named = grouped(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     each = found.groupBy("fp").agg(first.alias("first")).join(named.select("fp", "root"), "fp")  # copies meet before the join
     kept = each.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
