@@ -8,7 +8,9 @@ state); within the last class P(word) = (c + 1) / (n + v + 1), where c, n and v
 
 Counts cover every training document and are kept by key in Spark: the most frequent words (HEAD at most, a fixed number)
 are broadcast, all other words of a document are joined to their counts. The network is fitted by truncated
-backpropagation in numpy on a bounded sample, about TRAIN_TOKENS tokens of training documents chosen by a hash of the id.
+backpropagation in numpy: it starts from a sample of about TRAIN_TOKENS tokens (training documents chosen by a hash of the
+id), then each partition carries these weights on through all its training documents, and the partitions' weights are
+averaged by their tokens. Weights are added up by key in Spark, so the driver gets one network, whatever the input.
 
 Defined cases: a null text is empty and has one token, its end; no training documents: N = V = 0 and the score is
 the base's; ties in frequency go by the word's bytes; documents that repeat an id are scored each for itself; a null
@@ -17,6 +19,7 @@ id counts as a training document.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 
@@ -26,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, stored
+from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored
 
 CLASSES, CLASS_WORDS, HIDDEN = 48, 64, 32
 WORDS = (CLASSES - 1) * CLASS_WORDS
 HEAD = 1 << 17
 TRAIN_TOKENS, STEPS, LANES = 800_000, 24, 64
+PASS_LANES, PASS_RATE, PART = 256, 0.002, 1 << 13
 SCORE_STEPS, SCORE_LANES, SCORE_BYTES = 64, 256, 3 << 20
 COUNT_ENTRIES = 300_000
 END = b"\n"  # no word has it
@@ -96,8 +100,8 @@ class Network:
         new = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
         return new + z * (h - new), (z, r, new, hu[:, 2 * k :])
 
-    def outputs(self, h: np.ndarray, targets: np.ndarray, learn: bool = False):
-        """Natural log-probabilities of the targets (of the class alone for other words); gradients if asked for."""
+    def outputs(self, h: np.ndarray, targets: np.ndarray, learn: bool = False, live: np.ndarray | None = None):
+        """Natural log-probabilities of the targets (of the class alone for other words); gradients if asked for, of live rows."""
         p = self.p
         own = np.minimum(targets // CLASS_WORDS, CLASSES - 1)
         logits = h @ p["c"] + p["cb"]
@@ -111,6 +115,8 @@ class Network:
         if learn:
             d = e / total[:, None]
             d[rows, own] -= 1
+            if live is not None:
+                d *= live[:, None]
             g = {"c": h.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
             dh = d @ p["c"].T
         for k in range(CLASSES - 1):
@@ -127,11 +133,13 @@ class Network:
             if learn:
                 d = e / total[:, None]
                 d[mine, slot] -= 1
+                if live is not None:
+                    d *= live[at][:, None]
                 g["w"][k], g["wb"][k] = h[at].T @ d, d.sum(0)
                 dh[at] += d @ p["w"][k].T
         return (out, g, dh) if learn else out
 
-    def window(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray):
+    def window(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray, live: np.ndarray | None = None):
         """Truncated backpropagation through one window (steps x lanes): loss, gradients, last state."""
         p, k, steps = self.p, HIDDEN, len(ids)
         states, saved = [], []
@@ -141,7 +149,7 @@ class Network:
             h, parts = self.cell(ids[t], h)
             states.append(h)
             saved.append((before, *parts))
-        out, g, dout = self.outputs(np.concatenate(states), targets.ravel(), True)
+        out, g, dout = self.outputs(np.concatenate(states), targets.ravel(), True, None if live is None else live.ravel())
         dout = dout.reshape(steps, -1, k)
         g |= {"x": np.zeros_like(p["x"]), "u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
         dh = np.zeros_like(h)
@@ -181,6 +189,67 @@ def train(network: Network, documents: list[np.ndarray]) -> None:
             x -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
 
+def learn(network: Network, documents: list[np.ndarray], state: tuple) -> tuple:
+    """One pass of Adam over every token of the documents, from and to state (moments, step); places past a lane's end don't count."""
+    ids, targets, fresh, _, size = lanes(documents, PASS_LANES)
+    m, v, step = state
+    h = np.zeros((ids.shape[1], HIDDEN), np.float32)
+    for at in range(0, len(ids), STEPS):
+        n = int(np.searchsorted(-size, -at, "left"))  # lanes longer than at come first
+        s = slice(at, min(at + STEPS, len(ids)))
+        live = (np.arange(s.start, s.stop)[:, None] < size[:n]).astype(np.float32)
+        _, g, h = network.window(ids[s, :n], targets[s, :n], h[:n], fresh[s, :n], live)
+        step += 1
+        scale = 1 / live.sum()
+        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
+        scale *= min(1.0, 1.0 / max(norm, 1e-9))
+        rate = PASS_RATE * min(1.0, step / 20)
+        for k, x in network.p.items():
+            d = g[k] * np.float32(scale)
+            m[k] += 0.1 * (d - m[k])
+            v[k] += 0.01 * (d * d - v[k])
+            x -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    return m, v, step
+
+
+def fit(docs: DataFrame, network: Network, words: list[bytes]) -> int:
+    """Carries network through all training documents, partition by partition, and averages; returns the tokens it saw."""
+    start = docs.sparkSession.sparkContext.broadcast((words[:WORDS], network))
+    out = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
+
+    def run(batches):
+        words, given = start.value
+        index = {w: i for i, w in enumerate(words)}
+        own = copy.copy(given)
+        own.p = {k: x.copy() for k, x in given.p.items()}
+        state, n = ({k: np.zeros_like(x) for k, x in own.p.items()}, {k: np.zeros_like(x) for k, x in own.p.items()}, 0), 0
+        for batch in slices(batches, "text", SCORE_BYTES):
+            documents = [np.array([index.get(w, WORDS) for w in tokens(text)], np.int32) for text in byte_column(batch, "text")]
+            state = learn(own, documents, state)
+            n += sum(map(len, documents))
+        if n:
+            flat = np.concatenate([x.ravel() for x in own.p.values()]).astype(np.float64) * n
+            cuts = range(0, len(flat), PART)
+            yield record_batch(out, [range(len(cuts)), [n] * len(cuts), [flat[at : at + PART].tobytes() for at in cuts]])
+
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for part, n, weights in zip(*(c.to_pylist() for c in batch.columns)):
+                before = total.get(part, (0, 0))
+                total[part] = before[0] + n, before[1] + np.frombuffer(weights)
+        if total:
+            yield record_batch(out, [list(total), [n for n, _ in total.values()], [w.tobytes() for _, w in total.values()]])
+
+    rows = doc_rows(docs).filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "part int, n long, weights binary")
+    found = sorted((r["part"], r["n"], r["weights"]) for r in rows.repartition(shuffle_partitions(docs), "part").mapInArrow(add, "part int, n long, weights binary").collect())
+    flat, at = np.concatenate([np.frombuffer(w) / n for _, n, w in found]), 0
+    for k, x in network.p.items():
+        network.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+        at += x.size
+    return found[0][1]
+
+
 def lanes(documents: list[np.ndarray], n: int):
     """Inputs, targets and document starts (steps x lanes), each lane's (document, length) in order, lanes' lengths.
 
@@ -271,6 +340,7 @@ def score(docs: DataFrame) -> DataFrame:
             if n > 2 * TRAIN_TOKENS:
                 break
         train(network, sample)
+        fit(docs, network, words)
     model = spark.sparkContext.broadcast((words, sizes, network))
     base, inner = math.log10(total + distinct + 1), math.log10(rest + others + 1)
     out = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_head", pa.float64()), ("log_rest", pa.float64()), ("n_rest", pa.int64()), ("neural", pa.float64())])
