@@ -155,7 +155,7 @@ def test_lm_is_normalised_and_learns():
     assert np.exp(net.outputs(np.zeros((201, lm.HIDDEN), np.float32), np.append(np.arange(200), lm.WORDS))).sum() == pytest.approx(1, abs=1e-4)
     docs = [np.array([k % 3 * 3 + j % 3 for j in range(60)], np.int32) for k in range(80)]  # three cycles
     before = lm.score_documents(net, docs).sum()
-    lm.train(net, docs * 60)
+    lm.learn(lm.Adam(net), docs * 60)
     after = lm.score_documents(net, docs)
     assert after.sum() > 0.6 * before
     for d, s in zip(docs[:3], after):  # lanes don't mix documents
@@ -187,6 +187,35 @@ def test_lm_gradients():
             assert (up - down) / 2e-5 == pytest.approx(g[name].reshape(-1)[k], rel=1e-3, abs=1e-5), name
 
 
+def test_lm_outputs_stay_finite():
+    net = lm.Network(np.arange(150, 50, -1), 20)
+    net.p["c"][:-1] *= 1e4
+    net.p["w"][:, :-1] *= 1e4
+    assert not lm.safe(net.p["c"]) and not lm.safe(net.p["w"])
+    h = np.random.default_rng(3).uniform(-1, 1, (50, lm.HIDDEN)).astype(np.float32)
+    targets = np.arange(50) % 101
+    out, g, dh = net.outputs(h, targets, True)
+    assert all(np.isfinite(x).all() for x in (out, dh, *g.values()))
+
+
+def test_lm_frequent_words_of_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 100)
+    rows = [(b"w%d" % k, 7) for k in range(500)]
+    words, sizes = lm.frequent(spark.createDataFrame(rows, "word binary, n long"))
+    assert 60 <= len(words) <= 100 and set(sizes) == {7} and words == sorted(words)
+    rows += [(b"x%d" % k, 100 + k % 2) for k in range(40)] + [(b"y", 9)]
+    words, sizes = lm.frequent(spark.createDataFrame(rows, "word binary, n long"))
+    assert sizes[:41].tolist() == [101] * 20 + [100] * 20 + [9] and 60 < len(words) <= 100
+    words, sizes = lm.frequent(spark.createDataFrame(rows[:90], "word binary, n long"))
+    assert len(words) == 90
+
+
+def test_lm_without_training_documents(spark):
+    ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2]
+    rows = lm.score(spark.createDataFrame([(d, "some words " * d) for d in ids], "doc_id long, text string")).collect()
+    assert len(rows) == len(ids) and all(r["held_out"] and r["train_tokens"] == 0 == r["n_known"] and r["score"] == r["base_score"] for r in rows)
+
+
 def test_lm_cases(odd, empty):
     rows = lm.score(odd).collect()
     assert len(rows) == 12 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)

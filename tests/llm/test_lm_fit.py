@@ -5,9 +5,9 @@ import numpy as np
 from tidelog.llm import lm
 
 
-def test_fit_sees_every_training_token(spark, monkeypatch):
-    """Documents that the bounded sample leaves out still change the weights, and all tokens are counted, in any partitions."""
-    rows = [(d, " ".join(f"w{(d + k) % 50}" for k in range(40))) for d in range(300)] + [(7, "again the same id " * 30)] * 5
+def test_fit_sees_every_training_token_once(spark, monkeypatch):
+    """Whatever the partitions, the rounds' shares together are all training documents, rows of one id among them."""
+    rows = [(d, " ".join(f"w{(d + k) % 50}" for k in range(40))) for d in range(300)] + [(7, "again the same id " * 30)] * 5 + [(8, "long " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = docs.filter(~lm.held_out(docs.doc_id)).collect()
     words = [f"w{k}".encode() for k in range(50)]
@@ -19,12 +19,28 @@ def test_fit_sees_every_training_token(spark, monkeypatch):
         assert all(np.isfinite(x).all() for x in net.p.values())
         assert all((before[k] != net.p[k]).any() for k in ("x", "u", "c", "w"))
     seen = []
-    monkeypatch.setattr(lm, "TRAIN_TOKENS", 400)
     real = lm.fit
     monkeypatch.setattr(lm, "fit", lambda *a: seen.append(real(*a)))
     assert lm.score(docs).count() == len(rows) and seen == [want]
 
 
+def test_averages_do_not_depend_on_the_order_of_partitions(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"w{(d * k) % 50}" for k in range(60))) for d in range(200)], "doc_id long, text string").repartition(4, "doc_id")
+    words = [f"w{k}".encode() for k in range(50)]
+    nets = [lm.Network(np.arange(150, 100, -1), 30) for _ in range(2)]
+    for net in nets:
+        lm.fit(docs, net, words)
+    assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
+
+
+def test_pieces_know_the_word_before(monkeypatch):
+    """A long document's pieces are the document's own inputs and targets."""
+    d = np.arange(20, dtype=np.int32)
+    ids, targets, fresh, _, size = lm.lanes([d[:8], d[8:16], d[16:]], 1, [lm.WORDS + 1, d[7], d[15]])
+    assert ids[:, 0].tolist() == [lm.WORDS + 1, *range(19)] and targets[:, 0].tolist() == list(range(20))
+    assert np.flatnonzero(fresh[:, 0]).tolist() == [0, 8, 16]
+
+
 def test_learn_ignores_places_past_a_lanes_end():
     net = lm.Network(np.arange(150, 50, -1), 20)
     r = np.random.default_rng(1)

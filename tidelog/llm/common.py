@@ -9,9 +9,11 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -22,13 +24,37 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+@functools.cache
+def _c_library():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker, which Spark uses again, hands its free memory back."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(_c_library(), "malloc_trim"):
+                _c_library().malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where the session names none, as on one machine in tests, a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -8,9 +8,9 @@ state); within the last class P(word) = (c + 1) / (n + v + 1), where c, n and v
 
 Counts cover every training document and are kept by key in Spark: the most frequent words (HEAD at most, a fixed number)
 are broadcast, all other words of a document are joined to their counts. The network is fitted by truncated
-backpropagation in numpy: it starts from a sample of about TRAIN_TOKENS tokens (training documents chosen by a hash of the
-id), then each partition carries these weights on through all its training documents, and the partitions' weights are
-averaged by their tokens. Weights are added up by key in Spark, so the driver gets one network, whatever the input.
+backpropagation in numpy over every token of every training document, once: in rounds of growing shares (ROUNDS) each
+partition carries the weights on through its own documents, and the partitions' weights are averaged by their tokens.
+Weights are added up by key in Spark, as whole numbers, so the driver gets one network, whatever the input.
 
 Defined cases: a null text is empty and has one token, its end; no training documents: N = V = 0 and the score is
 the base's; ties in frequency go by the word's bytes; documents that repeat an id are scored each for itself; a null
@@ -29,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored
+from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored, tidy
 
-CLASSES, CLASS_WORDS, HIDDEN = 48, 64, 32
+CLASSES, CLASS_WORDS, HIDDEN = 48, 64, 16
 WORDS = (CLASSES - 1) * CLASS_WORDS
-HEAD = 1 << 17
-TRAIN_TOKENS, STEPS, LANES = 800_000, 24, 64
-PASS_LANES, PASS_RATE, PART = 256, 0.002, 1 << 13
-SCORE_STEPS, SCORE_LANES, SCORE_BYTES = 64, 256, 3 << 20
+HEAD = 1 << 18
+STEPS, PASS_LANES, PIECE, RATE, WARM, PART = 24, 128, 512, 0.01, 8, 1 << 13
+#: The rounds' bounds: each reads a share of all training documents, and together they read every one once.
+ROUNDS = (0, 1, 3, 7, 15, 32)
+FIXED_POINT = 1 << 14
+SCORE_STEPS, SCORE_LANES, TRAIN_BYTES, SCORE_BYTES = 64, 512, 3 << 20, 12 << 20
 COUNT_ENTRIES = 300_000
 END = b"\n"  # no word has it
 LN10 = math.log(10)
@@ -65,15 +67,31 @@ def count_words(docs: DataFrame) -> DataFrame:
         yield record_batch(out, [list(tally), list(tally.values())])
 
     rows = doc_rows(docs).filter(~held_out(F.col("doc_id"))).select("text")
-    return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Index(dict):
+    """Frequent word -> its rank; WORDS for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return WORDS
+
+
+def to_ids(index: Index, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+
+
+def safe(w: np.ndarray) -> bool:
+    """Whether states between -1 and 1 keep the exponentials of w's logits (the last row is the bias) within float32 as they are."""
+    reach, bias = np.abs(w[..., :-1, :]).sum(-2), w[..., -1, :]
+    return bool((bias + reach).max() < 80 and (bias - reach).max(-1).min() > -80)
 
 
 class Network:
-    """Weights by name. Input id WORDS stands for all other words, WORDS + 1 for a document's start."""
+    """Weights by name. Input id WORDS stands for all other words, WORDS + 1 for a document's start.
+
+    The gates' sigmoids are (1 + tanh) / 2, with the half inside the weights. The last row of c and w is the bias.
+    """
 
     def __init__(self, counts: np.ndarray, rest: int):
         """counts: of the frequent words by rank; rest: tokens of all other words."""
@@ -82,153 +100,197 @@ class Network:
         padded = np.zeros(WORDS)
         padded[: len(counts)] = counts
         by_class = padded.reshape(CLASSES - 1, CLASS_WORDS)
-        self.mask = np.where(by_class > 0, 0, -1e9).astype(np.float32)
-        words = np.log(np.maximum(by_class, 1e-3))
         sizes = np.append(by_class.sum(1), rest)
+        inner = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-3) / np.maximum(sizes[:-1, None], 1e-3)), -60)
         self.p = {
             "x": r.normal(0, 0.3, (n, 3 * h)), "u": r.normal(0, 0.18, (h, 3 * h)), "b": np.zeros(3 * h),
-            "c": r.normal(0, 0.02, (h, CLASSES)), "cb": np.log(np.maximum(sizes, 1e-3)), "w": r.normal(0, 0.02, (CLASSES - 1, h, CLASS_WORDS)), "wb": words,
+            "c": np.concatenate([r.normal(0, 0.02, (h, CLASSES)), np.log(np.maximum(sizes, 1e-3) / max(sizes.sum(), 1))[None]]),
+            "w": np.concatenate([r.normal(0, 0.02, (CLASSES - 1, h, CLASS_WORDS)), inner[:, None]], 1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-
-    def cell(self, ids: np.ndarray, h: np.ndarray):
-        p, k = self.p, HIDDEN
-        x = p["x"][ids] + p["b"]
-        hu = h @ p["u"]
-        zr = sigmoid(x[:, : 2 * k] + hu[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        new = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
-        return new + z * (h - new), (z, r, new, hu[:, 2 * k :])
+        self.empty = np.flatnonzero((by_class == 0).ravel())
+
+    def table(self) -> np.ndarray:
+        """What each input id adds to the gates."""
+        return self.p["x"] + self.p["b"]
+
+    def cell(self, x: np.ndarray, h: np.ndarray):
+        k = HIDDEN
+        hu = h @ self.p["u"]
+        zr = np.tanh(x[:, : 2 * k] + hu[:, : 2 * k])
+        zr += 1
+        zr *= zr.dtype.type(0.5)
+        z, r, hn = zr[:, :k], zr[:, k:], hu[:, 2 * k :]
+        new = r * hn
+        new += x[:, 2 * k :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, (z, r, new, hn)
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, learn: bool = False, live: np.ndarray | None = None):
-        """Natural log-probabilities of the targets (of the class alone for other words); gradients if asked for, of live rows."""
-        p = self.p
-        own = np.minimum(targets // CLASS_WORDS, CLASSES - 1)
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(len(h))
-        out = logits[rows, own] - np.log(total)
+        """Natural log-probabilities of the targets (of the class alone for other words); gradients if asked for, of live rows.
+
+        Rows are ordered by class once, so that each class is a slice, and the exponentials of all classes are one call.
+        """
+        p, n = self.p, len(h)
+        own = np.minimum(targets // CLASS_WORDS, CLASSES - 1).astype(np.int16)
         order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(CLASSES))
-        if learn:
-            d = e / total[:, None]
-            d[rows, own] -= 1
-            if live is not None:
-                d *= live[:, None]
-            g = {"c": h.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-            dh = d @ p["c"].T
+        own = own.take(order)
+        cuts = np.searchsorted(own, np.arange(CLASSES)).tolist()
+        known = cuts[-1]
+        kind = p["c"].dtype
+        hs = np.ones((n, HIDDEN + 1), kind)
+        hs[:, :-1] = h.take(order, 0)
+        rows = np.arange(n)
+        ones = np.ones(max(CLASSES, CLASS_WORDS), kind)
+        e = hs @ p["c"]
+        if not safe(p["c"]):
+            e -= e.max(1, keepdims=True)
+        at = rows * CLASSES + own
+        picked = e.ravel().take(at)
+        np.exp(e, out=e)
+        total = e @ ones[:CLASSES]
+        log = picked - np.log(total)
+        f = np.empty((known, CLASS_WORDS), kind)
         for k in range(CLASSES - 1):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
-                continue
-            inner = h[at] @ p["w"][k] + (p["wb"][k] + self.mask[k])
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(1)
-            slot = targets[at] - k * CLASS_WORDS
-            mine = np.arange(len(at))
-            out[at] += inner[mine, slot] - np.log(total)
-            if learn:
-                d = e / total[:, None]
-                d[mine, slot] -= 1
-                if live is not None:
-                    d *= live[at][:, None]
-                g["w"][k], g["wb"][k] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ p["w"][k].T
-        return (out, g, dh) if learn else out
+            if cuts[k] < cuts[k + 1]:
+                np.matmul(hs[cuts[k] : cuts[k + 1]], p["w"][k], out=f[cuts[k] : cuts[k + 1]])
+        if not safe(p["w"]):
+            f -= f.max(1, keepdims=True)
+        slot = rows[:known] * CLASS_WORDS + (targets.take(order[:known]) - own[:known].astype(np.int32) * CLASS_WORDS)
+        picked = f.ravel().take(slot)
+        np.exp(f, out=f)
+        inside = f @ ones[:CLASS_WORDS]
+        log[:known] += picked - np.log(inside)
+        out = np.empty(n, kind)
+        out[order] = log
+        if not learn:
+            return out
+        weight = np.ones(n, kind) if live is None else live.take(order)
+        e *= (weight / total)[:, None]
+        e.ravel()[at] -= weight
+        dh = e @ p["c"][:-1].T
+        g = {"c": hs.T @ e, "w": np.zeros_like(p["w"])}
+        f *= (weight[:known] / inside)[:, None]
+        f.ravel()[slot] -= weight[:known]
+        for k in range(CLASSES - 1):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                g["w"][k] = hs[a:b].T @ f[a:b]
+                dh[a:b] += f[a:b] @ p["w"][k, :-1].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return out, g, dh.take(back, 0)
 
     def window(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray, live: np.ndarray | None = None):
         """Truncated backpropagation through one window (steps x lanes): loss, gradients, last state."""
-        p, k, steps = self.p, HIDDEN, len(ids)
-        states, saved = [], []
+        p, k, steps, n = self.p, HIDDEN, len(ids), ids.shape[1]
+        x = self.table().take(ids, 0)
+        stay, kind = (~fresh).astype(np.float32)[:, :, None], x.dtype
+        states, before, z, r, new, hn = np.empty((6, steps, n, k), kind)
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            before = h
-            h, parts = self.cell(ids[t], h)
-            states.append(h)
-            saved.append((before, *parts))
-        out, g, dout = self.outputs(np.concatenate(states), targets.ravel(), True, None if live is None else live.ravel())
-        dout = dout.reshape(steps, -1, k)
-        g |= {"x": np.zeros_like(p["x"]), "u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
-        dh = np.zeros_like(h)
+            np.multiply(h, stay[t], out=before[t])
+            h, (z[t], r[t], new[t], hn[t]) = self.cell(x[t], before[t])
+            states[t] = h
+        out, g, dout = self.outputs(states.reshape(-1, k), targets.ravel(), True, None if live is None else live.ravel())
+        dout = dout.reshape(steps, n, k)
+        # What each gate's gradient is of the state's; the halves inside the weights make 2 of z (1 - z) and r (1 - r).
+        to_z = (before - new) * z
+        to_z *= 2 - 2 * z
+        to_new = (1 - z) * (1 - new * new)
+        to_r = hn * r
+        to_r *= 2 - 2 * r
+        gates, inner = np.empty((steps, n, 3 * k), kind), np.empty((steps, n, k), kind)
+        dh, u_t = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            before, z, r, new, hn = saved[t]
-            dh = dh + dout[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * hn * r * (1 - r)
-            gates = np.concatenate([dz, dr, dnew], 1)
-            np.add.at(g["x"], ids[t], gates)
-            g["b"] += gates.sum(0)
-            gates_u = np.concatenate([dz, dr, dnew * r], 1)
-            g["u"] += before.T @ gates_u
-            dh = (dh * z + gates_u @ p["u"].T) * ~fresh[t][:, None]
-        return -out.sum(), g, h
-
-
-def train(network: Network, documents: list[np.ndarray]) -> None:
-    """One pass of Adam over the documents, dealt over LANES lanes, windows of STEPS words."""
-    ids, targets, fresh, _, _ = lanes(documents, LANES)
-    m = {k: np.zeros_like(v) for k, v in network.p.items()}
-    v = {k: np.zeros_like(x) for k, x in network.p.items()}
-    h, step, windows = np.zeros((ids.shape[1], HIDDEN), np.float32), 0, ids.shape[0] // STEPS
-    for at in range(0, windows * STEPS, STEPS):
-        s = slice(at, at + STEPS)
-        _, g, h = network.window(ids[s], targets[s], h, fresh[s])
-        step += 1
-        scale = 1 / ids[s].size
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
-        rate = 0.01 * (1 - 0.9 * at / max(1, windows * STEPS)) * min(1.0, step / 20)
-        scale *= min(1.0, 1.0 / max(norm, 1e-9))
-        for k, x in network.p.items():
-            d = g[k] * np.float32(scale)
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.01 * (d * d - v[k])
-            x -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-
-
-def learn(network: Network, documents: list[np.ndarray], state: tuple) -> tuple:
-    """One pass of Adam over every token of the documents, from and to state (moments, step); places past a lane's end don't count."""
-    ids, targets, fresh, _, size = lanes(documents, PASS_LANES)
-    m, v, step = state
+            dh += dout[t]
+            np.multiply(dh, to_new[t], out=inner[t])
+            np.multiply(dh, to_z[t], out=gates[t, :, :k])
+            np.multiply(inner[t], to_r[t], out=gates[t, :, k : 2 * k])
+            np.multiply(inner[t], r[t], out=gates[t, :, 2 * k :])
+            dh *= z[t]
+            dh += gates[t] @ u_t
+            dh *= stay[t]
+        flat, where = gates.reshape(-1, 3 * k), ids.ravel()
+        g["u"] = before.reshape(-1, k).T @ flat
+        flat[:, 2 * k :] = inner.reshape(-1, k)
+        flat = np.ascontiguousarray(flat.T)
+        g["b"] = flat.sum(1)
+        g["x"] = np.empty_like(p["x"])
+        for j, column in enumerate(flat):
+            g["x"][:, j] = np.bincount(where, column, len(p["x"]))
+        return -float(out.sum(dtype=np.float64)), g, h
+
+
+class Adam:
+    """Moments and steps of one worker; norms above 1 are clipped."""
+
+    def __init__(self, network: Network):
+        self.net, self.step = network, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in network.p.items()} for _ in range(2))
+
+    def apply(self, g: dict, tokens_: float) -> None:
+        self.step += 1
+        norm = math.sqrt(sum(float(np.dot(x.ravel(), x.ravel())) for x in g.values())) / tokens_
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / tokens_)
+        rate = RATE * min(1.0, self.step / WARM) * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        for k, x in self.net.p.items():
+            d = g[k]
+            d *= scale
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            d *= d
+            d *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= np.float32(rate)
+            x -= d
+
+
+def learn(adam: Adam, documents: list[np.ndarray]) -> None:
+    """One pass over every token of the documents; places past a lane's end don't count.
+
+    Here long documents are read in pieces of PIECE words, each of which knows the word before it.
+    """
+    pieces = [(d[at : at + PIECE], d[at - 1] if at else WORDS + 1) for d in documents for at in range(0, len(d), PIECE)]
+    n = math.isqrt(sum(map(len, documents)) // STEPS)
+    ids, targets, fresh, _, size = lanes([x for x, _ in pieces], min(PASS_LANES, max(1, n)), [x for _, x in pieces])
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
     for at in range(0, len(ids), STEPS):
         n = int(np.searchsorted(-size, -at, "left"))  # lanes longer than at come first
         s = slice(at, min(at + STEPS, len(ids)))
         live = (np.arange(s.start, s.stop)[:, None] < size[:n]).astype(np.float32)
-        _, g, h = network.window(ids[s, :n], targets[s, :n], h[:n], fresh[s, :n], live)
-        step += 1
-        scale = 1 / live.sum()
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
-        scale *= min(1.0, 1.0 / max(norm, 1e-9))
-        rate = PASS_RATE * min(1.0, step / 20)
-        for k, x in network.p.items():
-            d = g[k] * np.float32(scale)
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.01 * (d * d - v[k])
-            x -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return m, v, step
+        _, g, h = adam.net.window(ids[s, :n], targets[s, :n], h[:n], fresh[s, :n], live)
+        adam.apply(g, float(live.sum()))
 
 
-def fit(docs: DataFrame, network: Network, words: list[bytes]) -> int:
-    """Carries network through all training documents, partition by partition, and averages; returns the tokens it saw."""
-    start = docs.sparkSession.sparkContext.broadcast((words[:WORDS], network))
+def one_round(rows: DataFrame, network: Network, words: list[bytes]) -> int:
+    """Carries network through rows' texts, partition by partition, and averages by tokens; returns the tokens it saw.
+
+    Weighted weights are added as whole numbers, so that their order doesn't matter.
+    """
+    spark = rows.sparkSession
+    start = spark.sparkContext.broadcast((words[:WORDS], network))
     out = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def run(batches):
         words, given = start.value
-        index = {w: i for i, w in enumerate(words)}
+        index = Index(zip(words, range(len(words))))
         own = copy.copy(given)
         own.p = {k: x.copy() for k, x in given.p.items()}
-        state, n = ({k: np.zeros_like(x) for k, x in own.p.items()}, {k: np.zeros_like(x) for k, x in own.p.items()}, 0), 0
-        for batch in slices(batches, "text", SCORE_BYTES):
-            documents = [np.array([index.get(w, WORDS) for w in tokens(text)], np.int32) for text in byte_column(batch, "text")]
-            state = learn(own, documents, state)
+        adam, n = Adam(own), 0
+        for batch in slices(batches, "text", TRAIN_BYTES):
+            documents = [to_ids(index, tokens(text)) for text in byte_column(batch, "text")]
+            learn(adam, documents)
             n += sum(map(len, documents))
         if n:
-            flat = np.concatenate([x.ravel() for x in own.p.values()]).astype(np.float64) * n
+            flat = np.rint(np.concatenate([x.ravel() for x in own.p.values()]).astype(np.float64) * (n * FIXED_POINT)).astype(np.int64)
             cuts = range(0, len(flat), PART)
             yield record_batch(out, [range(len(cuts)), [n] * len(cuts), [flat[at : at + PART].tobytes() for at in cuts]])
 
@@ -237,23 +299,33 @@ def fit(docs: DataFrame, network: Network, words: list[bytes]) -> int:
         for batch in batches:
             for part, n, weights in zip(*(c.to_pylist() for c in batch.columns)):
                 before = total.get(part, (0, 0))
-                total[part] = before[0] + n, before[1] + np.frombuffer(weights)
+                total[part] = before[0] + n, before[1] + np.frombuffer(weights, np.int64)
         if total:
             yield record_batch(out, [list(total), [n for n, _ in total.values()], [w.tobytes() for _, w in total.values()]])
 
-    rows = doc_rows(docs).filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "part int, n long, weights binary")
-    found = sorted((r["part"], r["n"], r["weights"]) for r in rows.repartition(shuffle_partitions(docs), "part").mapInArrow(add, "part int, n long, weights binary").collect())
-    flat, at = np.concatenate([np.frombuffer(w) / n for _, n, w in found]), 0
+    kind = "part int, n long, weights binary"
+    found = sorted((r["part"], r["n"], r["weights"]) for r in rows.mapInArrow(tidy(run), kind).repartition(shuffle_partitions(rows), "part").mapInArrow(tidy(add), kind).collect())
+    start.destroy()
+    if not found:
+        return 0
+    flat, at = np.concatenate([np.frombuffer(w, np.int64) / (n * FIXED_POINT) for _, n, w in found]), 0
     for k, x in network.p.items():
         network.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
         at += x.size
     return found[0][1]
 
 
-def lanes(documents: list[np.ndarray], n: int):
+def fit(docs: DataFrame, network: Network, words: list[bytes]) -> int:
+    """One pass over all training documents, in rounds of growing shares (ROUNDS); returns the tokens it saw."""
+    rows = doc_rows(docs).filter(~held_out(F.col("doc_id")))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1]))
+    return sum(one_round(rows.filter((share >= low) & (share < high)).select("text"), network, words) for low, high in zip(ROUNDS, ROUNDS[1:]))
+
+
+def lanes(documents: list[np.ndarray], n: int, heads: list[int] | None = None):
     """Inputs, targets and document starts (steps x lanes), each lane's (document, length) in order, lanes' lengths.
 
-    Documents follow each other in a lane; longer lanes come first.
+    Documents follow each other in a lane; longer lanes come first. heads: each document's first input, if not a start.
     """
     n = max(1, min(n, len(documents)))
     filled: list[list[int]] = [[] for _ in range(n)]
@@ -270,7 +342,7 @@ def lanes(documents: list[np.ndarray], n: int):
         for i in filled[k]:
             d = documents[i]
             targets[at : at + len(d), lane] = d
-            ids[at, lane] = WORDS + 1
+            ids[at, lane] = heads[i] if heads else WORDS + 1
             ids[at + 1 : at + len(d), lane] = d[:-1]
             fresh[at + 1 : at + len(d), lane] = False
             at += len(d)
@@ -281,13 +353,13 @@ def score_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray
     """Natural log-probability of each document, the last class's inner part left out."""
     ids, targets, fresh, where, size = lanes(documents, SCORE_LANES)
     out = np.zeros(ids.shape, np.float32)
-    h = np.zeros((ids.shape[1], HIDDEN), np.float32)
+    h, table = np.zeros((ids.shape[1], HIDDEN), np.float32), network.table()
     for at in range(0, len(ids), SCORE_STEPS):
         states, active = [], []
         for t in range(at, min(at + SCORE_STEPS, len(ids))):
             n = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t come first
             h = h[:n] * ~fresh[t, :n, None]
-            h, _ = network.cell(ids[t, :n], h)
+            h, _ = network.cell(table[ids[t, :n]] if n < 32 else table.take(ids[t, :n], 0), h)
             states.append(h)
             active.append(n)
         log = network.outputs(np.concatenate(states), np.concatenate([targets[at + j, :n] for j, n in enumerate(active)]))
@@ -306,17 +378,32 @@ def score_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray
 def frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """HEAD words at most, by falling counts: all above a threshold that is read off a histogram of logarithms.
 
-    So the driver gets the histogram and HEAD rows, not HEAD rows of each partition.
+    So the driver gets histograms and HEAD rows, not HEAD rows of each partition. Of the level that doesn't fit whole,
+    the greater counts come, and of the count that doesn't, a share by the words' hashes; ties go by the word's bytes.
     """
     level = F.floor(F.log("n") * 64).cast("int")
-    least, n = None, 0
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        n += r["count"]
-        if n > HEAD:
-            break
-        least = r["level"]
-    found = [] if least is None else counts.filter(level >= least).collect()
-    found = sorted((-r["n"], bytes(r["word"])) for r in found)
+
+    def fitting(rows: DataFrame, by, room: int) -> tuple:
+        """Least value whose rows all fit, with those above it; the next value, its rows; what room is left."""
+        least = None
+        for r in sorted(rows.groupBy(by.alias("at")).count().collect(), reverse=True):
+            if r["count"] > room:
+                return least, r["at"], r["count"], room
+            least, room = r["at"], room - r["count"]
+        return least, None, 0, room
+
+    wanted = F.lit(False)
+    least, edge, _, room = fitting(counts, level, HEAD)
+    if least is not None:
+        wanted = wanted | (level >= least)
+    if edge is not None:
+        inside = counts.filter(level == edge)
+        least, n, rows, room = fitting(inside, F.col("n"), room)
+        if least is not None:
+            wanted = wanted | ((level == edge) & (F.col("n") >= least))
+        bits = 1 << 30
+        wanted = wanted | ((F.col("n") == n) & (F.pmod(F.xxhash64("word"), F.lit(bits)) < int(bits * room / rows)))
+    found = sorted((-r["n"], bytes(r["word"])) for r in counts.filter(wanted).collect())[:HEAD]
     return [w for _, w in found], np.array([-n for n, _ in found], np.int64)
 
 
@@ -329,17 +416,6 @@ def score(docs: DataFrame) -> DataFrame:
     rest, others = int(total - sizes[:WORDS].sum()), int(distinct - min(distinct, WORDS))
     network = Network(sizes[:WORDS], max(rest, 1))
     if total:
-        part = min(1.0, TRAIN_TOKENS / total)
-        rows = doc_rows(docs).filter(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)))
-        index = {w: i for i, w in enumerate(words[:WORDS])}
-        sample, n = [], 0
-        for r in rows.select("text").toLocalIterator():
-            d = np.array([index.get(w, WORDS) for w in tokens((r["text"] or "").encode())], np.int32)
-            sample.append(d)
-            n += len(d)
-            if n > 2 * TRAIN_TOKENS:
-                break
-        train(network, sample)
         fit(docs, network, words)
     model = spark.sparkContext.broadcast((words, sizes, network))
     base, inner = math.log10(total + distinct + 1), math.log10(rest + others + 1)
@@ -347,7 +423,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         words, sizes, network = model.value
-        index = {w: i for i, w in enumerate(words)}
+        index = dict(zip(words, range(len(words))))
         logs = np.log10(sizes + 1.0)
         uid = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", SCORE_BYTES):
@@ -369,7 +445,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield record_batch(out, [[x[j] for x in flat] for j in range(3)] + [nothing] * 7)
             uid += len(facts)
 
-    rows = doc_rows(docs).mapInArrow(run, "uid long, word binary, times long, doc_id long, n_tokens long, n_known long, log_head double, log_rest double, n_rest long, neural double")
+    rows = doc_rows(docs).mapInArrow(tidy(run), "uid long, word binary, times long, doc_id long, n_tokens long, n_known long, log_head double, log_rest double, n_rest long, neural double")
     joined = rows.join(counts, "word", "left")
     log = F.coalesce(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)), F.lit(0.0))
     summed = joined.groupBy("uid").agg(
