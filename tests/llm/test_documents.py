@@ -148,42 +148,60 @@ def test_lm_query(spark, sf, texts):
     assert sum(r["score"] for r in h) > sum(r["base_score"] for r in h)
 
 
+def flat(documents):
+    return np.concatenate(documents).astype(np.int32), np.array([len(d) for d in documents])
+
+
 def test_lm_is_normalised_and_learns():
     r = np.random.default_rng(0)
     counts = np.sort(r.integers(1, 50, 200))[::-1]
     net = lm.Network(counts, 30)
-    assert np.exp(net.outputs(np.zeros((201, lm.HIDDEN), np.float32), np.append(np.arange(200), lm.WORDS))).sum() == pytest.approx(1, abs=1e-4)
-    docs = [np.array([k % 3 * 3 + j % 3 for j in range(60)], np.int32) for k in range(80)]  # three cycles
-    before = lm.score_documents(net, docs).sum()
-    lm.learn(lm.Adam(net), docs * 60)
-    after = lm.score_documents(net, docs)
+    every = np.append(np.arange(200), lm.WORDS)
+    assert np.exp(net.outputs(np.zeros((201, lm.HIDDEN), np.float32), every)).sum() == pytest.approx(1, abs=1e-4)
+    docs = [np.array([k % 3 * 3 + j % 3 for j in range(60)]) for k in range(80)]  # three cycles
+    before = lm.score_documents(net, *flat(docs)).sum()
+    lm.learn(lm.Adam(net), *flat(docs * 60))
+    after = lm.score_documents(net, *flat(docs))
     assert after.sum() > 0.6 * before
     for d, s in zip(docs[:3], after):  # lanes don't mix documents
-        assert lm.score_documents(net, [d])[0] == pytest.approx(s, rel=1e-3)
+        assert lm.score_documents(net, *flat([d]))[0] == pytest.approx(s, rel=1e-3)
     h = r.normal(0, 1, (4, lm.HIDDEN)).astype(np.float32)
-    total = sum(np.exp(net.outputs(h[:1].repeat(201, 0), np.append(np.arange(200), lm.WORDS))))
+    total = sum(np.exp(net.outputs(h[:1].repeat(201, 0), every)))
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_state_runs_through_whole_documents():
+    """Scores in windows and lanes equal a plain word-by-word pass."""
+    r = np.random.default_rng(2)
+    net = lm.Network(np.arange(150, 50, -1), 20)
+    net.p = {k: v + r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in net.p.items()}
+    docs = [r.integers(0, 100, n) for n in (1, 7, 64, 65, 200, 0, 500)]
+    got = lm.score_documents(net, *flat(docs))
+    for d, score in zip(docs, got):
+        h, want, before = np.zeros((lm.HIDDEN, 1), np.float32), 0.0, lm.WORDS + 1
+        for w in d:
+            h, _ = net.cell(net.table()[:, [before]], h)
+            want, before = want + float(net.outputs(h.T, np.array([w]))[0]), w
+        assert score == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_gradients():
     net = lm.Network(np.arange(150, 50, -1), 20)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     r = np.random.default_rng(1)
     ids, targets = r.integers(0, 100, (5, 3)), r.integers(0, 100, (5, 3))
     targets[2, 1] = lm.WORDS
-    fresh = np.zeros((5, 3), bool)
-    fresh[3, 2] = True
-    h = r.normal(0, 0.3, (3, lm.HIDDEN))
-    _, g, _ = net.window(ids, targets, h, fresh)
+    h = r.normal(0, 0.3, (lm.HIDDEN, 3))
+    _, g, _ = net.window(ids, targets, h)
     for name in net.p:
-        flat = net.p[name].reshape(-1)
+        one = net.p[name].reshape(-1)
         for k in np.argsort(-np.abs(g[name]).reshape(-1))[:3]:
-            old = flat[k]
-            flat[k] = old + 1e-5
-            up = net.window(ids, targets, h, fresh)[0]
-            flat[k] = old - 1e-5
-            down = net.window(ids, targets, h, fresh)[0]
-            flat[k] = old
+            old = one[k]
+            one[k] = old + 1e-5
+            up = net.window(ids, targets, h)[0]
+            one[k] = old - 1e-5
+            down = net.window(ids, targets, h)[0]
+            one[k] = old
             assert (up - down) / 2e-5 == pytest.approx(g[name].reshape(-1)[k], rel=1e-3, abs=1e-5), name
 
 

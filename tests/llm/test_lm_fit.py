@@ -5,6 +5,10 @@ import numpy as np
 from tidelog.llm import lm
 
 
+def coded(docs, words):
+    return lm.encode(docs, words, np.ones(len(words), np.int64)).filter("word is null")
+
+
 def test_fit_sees_every_training_token_once(spark, monkeypatch):
     """Whatever the partitions, the rounds' shares together are all training documents, rows of one id among them."""
     rows = [(d, " ".join(f"w{(d + k) % 50}" for k in range(40))) for d in range(300)] + [(7, "again the same id " * 30)] * 5 + [(8, "long " * 3000)]
@@ -15,7 +19,7 @@ def test_fit_sees_every_training_token_once(spark, monkeypatch):
     for n in (1, 5):
         net = lm.Network(np.arange(150, 100, -1), 30)
         before = {k: x.copy() for k, x in net.p.items()}
-        assert lm.fit(docs.repartition(n), net, words) == want
+        assert lm.fit(coded(docs.repartition(n), words), net) == want
         assert all(np.isfinite(x).all() for x in net.p.values())
         assert all((before[k] != net.p[k]).any() for k in ("x", "u", "c", "w"))
     seen = []
@@ -29,26 +33,39 @@ def test_averages_do_not_depend_on_the_order_of_partitions(spark):
     words = [f"w{k}".encode() for k in range(50)]
     nets = [lm.Network(np.arange(150, 100, -1), 30) for _ in range(2)]
     for net in nets:
-        lm.fit(docs, net, words)
+        lm.fit(coded(docs, words), net)
     assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
 
 
-def test_pieces_know_the_word_before(monkeypatch):
-    """A long document's pieces are the document's own inputs and targets."""
-    d = np.arange(20, dtype=np.int32)
-    ids, targets, fresh, _, size = lm.lanes([d[:8], d[8:16], d[16:]], 1, [lm.WORDS + 1, d[7], d[15]])
-    assert ids[:, 0].tolist() == [lm.WORDS + 1, *range(19)] and targets[:, 0].tolist() == list(range(20))
-    assert np.flatnonzero(fresh[:, 0]).tolist() == [0, 8, 16]
+def test_pieces_are_the_whole_documents(monkeypatch):
+    """Every token is a target once, after the token before it; a document's first after its start."""
+    monkeypatch.setattr(lm, "PIECE", 8)
+    seen = []
+
+    class Recorder:
+        net = None
+
+        def window(self, ids, targets, h, live):
+            seen.extend(zip(ids[live > 0].tolist(), targets[live > 0].tolist()))
+            return 0, {}, h
+
+        def apply(self, g, n):
+            pass
+
+    Recorder.net = Recorder()
+    docs = [np.arange(100, 120), np.arange(200, 208), np.zeros(0, int), np.arange(300, 301), np.arange(400, 470)]
+    lm.learn(Recorder(), np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs]))
+    assert sorted(seen) == sorted((int(a), int(b)) for d in docs for a, b in zip([lm.WORDS + 1, *d[:-1]], d))
 
 
 def test_learn_ignores_places_past_a_lanes_end():
     net = lm.Network(np.arange(150, 50, -1), 20)
     r = np.random.default_rng(1)
     ids, targets = r.integers(0, 90, (5, 3)), r.integers(0, 90, (5, 3))
-    fresh, live = np.zeros((5, 3), bool), np.ones((5, 3), np.float32)
+    live = np.ones((5, 3), np.float32)
     live[2:, 1] = 0
-    h = np.zeros((3, lm.HIDDEN), np.float32)
-    _, g, _ = net.window(ids, targets, h, fresh, live)
+    h = np.zeros((lm.HIDDEN, 3), np.float32)
+    _, g, _ = net.window(ids, targets, h, live)
     targets[2:, 1] = 5
-    _, again, _ = net.window(ids, targets, h, fresh, live)
+    _, again, _ = net.window(ids, targets, h, live)
     assert all(np.allclose(g[k], again[k], atol=1e-6) for k in g)

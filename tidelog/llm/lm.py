@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored, tidy
 
-CLASSES, CLASS_WORDS, HIDDEN = 48, 64, 16
+CLASSES, CLASS_WORDS, HIDDEN = 32, 48, 8
 WORDS = (CLASSES - 1) * CLASS_WORDS
 HEAD = 1 << 18
-STEPS, PASS_LANES, PIECE, RATE, WARM, PART = 24, 128, 512, 0.01, 8, 1 << 13
+STEPS, LANES, PIECE, RATE, WARM, PART = 24, 256, 512, 0.01, 8, 1 << 13
+TRAIN_BYTES = 1 << 20
 #: The rounds' bounds: each reads a share of all training documents, and together they read every one once.
 ROUNDS = (0, 1, 3, 7, 15, 32)
 FIXED_POINT = 1 << 14
-SCORE_STEPS, SCORE_LANES, TRAIN_BYTES, SCORE_BYTES = 64, 512, 3 << 20, 12 << 20
+SCORE_STEPS, SCORE_LANES = 64, 512
 COUNT_ENTRIES = 300_000
+#: The class of each word, other words' too.
+CLASS_OF = np.append(np.arange(WORDS) // CLASS_WORDS, CLASSES - 1).astype(np.int16)
 END = b"\n"  # no word has it
 LN10 = math.log(10)
 
@@ -71,14 +74,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Index(dict):
-    """Frequent word -> its rank; WORDS for all others."""
+    """Frequent word -> its rank; their number for all others."""
 
     def __missing__(self, word: bytes) -> int:
-        return WORDS
-
-
-def to_ids(index: Index, words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+        return len(self)
 
 
 def safe(w: np.ndarray) -> bool:
@@ -111,18 +110,20 @@ class Network:
         self.empty = np.flatnonzero((by_class == 0).ravel())
 
     def table(self) -> np.ndarray:
-        """What each input id adds to the gates."""
-        return self.p["x"] + self.p["b"]
+        """What each input id adds to the gates (gates x ids)."""
+        return np.ascontiguousarray((self.p["x"] + self.p["b"]).T)
 
     def cell(self, x: np.ndarray, h: np.ndarray):
+        """x: gates x lanes; h and what is returned: units x lanes."""
         k = HIDDEN
-        hu = h @ self.p["u"]
-        zr = np.tanh(x[:, : 2 * k] + hu[:, : 2 * k])
-        zr += 1
+        hu = self.p["u"].T @ h
+        zr = x[: 2 * k] + hu[: 2 * k]
+        np.tanh(zr, out=zr)
         zr *= zr.dtype.type(0.5)
-        z, r, hn = zr[:, :k], zr[:, k:], hu[:, 2 * k :]
+        zr += zr.dtype.type(0.5)
+        z, r, hn = zr[:k], zr[k:], hu[2 * k :]
         new = r * hn
-        new += x[:, 2 * k :]
+        new += x[2 * k :]
         np.tanh(new, out=new)
         out = h - new
         out *= z
@@ -135,7 +136,7 @@ class Network:
         Rows are ordered by class once, so that each class is a slice, and the exponentials of all classes are one call.
         """
         p, n = self.p, len(h)
-        own = np.minimum(targets // CLASS_WORDS, CLASSES - 1).astype(np.int16)
+        own = CLASS_OF.take(targets)
         order = np.argsort(own, kind="stable")
         own = own.take(order)
         cuts = np.searchsorted(own, np.arange(CLASSES)).tolist()
@@ -184,43 +185,41 @@ class Network:
         back[order] = rows
         return out, g, dh.take(back, 0)
 
-    def window(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, fresh: np.ndarray, live: np.ndarray | None = None):
-        """Truncated backpropagation through one window (steps x lanes): loss, gradients, last state."""
-        p, k, steps, n = self.p, HIDDEN, len(ids), ids.shape[1]
-        x = self.table().take(ids, 0)
-        stay, kind = (~fresh).astype(np.float32)[:, :, None], x.dtype
-        states, before, z, r, new, hn = np.empty((6, steps, n, k), kind)
+    def window(self, ids: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray | None = None):
+        """Truncated backpropagation through one window (steps x lanes): loss, gradients, last state (units x lanes, as h)."""
+        p, k, (steps, n) = self.p, HIDDEN, ids.shape
+        x = self.table().take(ids, 1)
+        kind = x.dtype
+        states, before, z, r, new, hn = np.empty((6, k, steps, n), kind)
         for t in range(steps):
-            np.multiply(h, stay[t], out=before[t])
-            h, (z[t], r[t], new[t], hn[t]) = self.cell(x[t], before[t])
-            states[t] = h
-        out, g, dout = self.outputs(states.reshape(-1, k), targets.ravel(), True, None if live is None else live.ravel())
-        dout = dout.reshape(steps, n, k)
+            before[:, t] = h
+            h, (z[:, t], r[:, t], new[:, t], hn[:, t]) = self.cell(x[:, t], h)
+            states[:, t] = h
+        out, g, dout = self.outputs(states.reshape(k, -1).T, targets.ravel(), True, None if live is None else live.ravel())
+        dout = np.ascontiguousarray(dout.T).reshape(k, steps, n)
         # What each gate's gradient is of the state's; the halves inside the weights make 2 of z (1 - z) and r (1 - r).
-        to_z = (before - new) * z
+        to_z = before - new
+        to_z *= z
         to_z *= 2 - 2 * z
-        to_new = (1 - z) * (1 - new * new)
+        to_new = 1 - new * new
+        to_new *= 1 - z
         to_r = hn * r
         to_r *= 2 - 2 * r
-        gates, inner = np.empty((steps, n, 3 * k), kind), np.empty((steps, n, k), kind)
-        dh, u_t = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        gates, inner = np.empty((3 * k, steps, n), kind), np.empty((k, steps, n), kind)
+        dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            dh += dout[t]
-            np.multiply(dh, to_new[t], out=inner[t])
-            np.multiply(dh, to_z[t], out=gates[t, :, :k])
-            np.multiply(inner[t], to_r[t], out=gates[t, :, k : 2 * k])
-            np.multiply(inner[t], r[t], out=gates[t, :, 2 * k :])
-            dh *= z[t]
-            dh += gates[t] @ u_t
-            dh *= stay[t]
-        flat, where = gates.reshape(-1, 3 * k), ids.ravel()
-        g["u"] = before.reshape(-1, k).T @ flat
-        flat[:, 2 * k :] = inner.reshape(-1, k)
-        flat = np.ascontiguousarray(flat.T)
+            dh += dout[:, t]
+            np.multiply(dh, to_new[:, t], out=inner[:, t])
+            np.multiply(dh, to_z[:, t], out=gates[:k, t])
+            np.multiply(inner[:, t], to_r[:, t], out=gates[k : 2 * k, t])
+            np.multiply(inner[:, t], r[:, t], out=gates[2 * k :, t])
+            dh *= z[:, t]
+            dh += p["u"] @ gates[:, t]
+        g["u"] = before.reshape(k, -1) @ gates.reshape(3 * k, -1).T
+        gates[2 * k :] = inner
+        flat, where = gates.reshape(3 * k, -1), ids.ravel()
         g["b"] = flat.sum(1)
-        g["x"] = np.empty_like(p["x"])
-        for j, column in enumerate(flat):
-            g["x"][:, j] = np.bincount(where, column, len(p["x"]))
+        g["x"] = np.stack([np.bincount(where, row, len(p["x"])) for row in flat], 1).astype(kind)
         return -float(out.sum(dtype=np.float64)), g, h
 
 
@@ -253,42 +252,60 @@ class Adam:
             x -= d
 
 
-def learn(adam: Adam, documents: list[np.ndarray]) -> None:
-    """One pass over every token of the documents; places past a lane's end don't count.
+def batches_of(sizes: np.ndarray, lanes: int):
+    """Numbers of documents, longest first, so many at once; those without words are left out."""
+    order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+    return (order[at : at + lanes] for at in range(0, len(order), lanes))
 
-    Here long documents are read in pieces of PIECE words, each of which knows the word before it.
-    """
-    pieces = [(d[at : at + PIECE], d[at - 1] if at else WORDS + 1) for d in documents for at in range(0, len(d), PIECE)]
-    n = math.isqrt(sum(map(len, documents)) // STEPS)
-    ids, targets, fresh, _, size = lanes([x for x, _ in pieces], min(PASS_LANES, max(1, n)), [x for _, x in pieces])
-    h = np.zeros((ids.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(ids), STEPS):
-        n = int(np.searchsorted(-size, -at, "left"))  # lanes longer than at come first
-        s = slice(at, min(at + STEPS, len(ids)))
-        live = (np.arange(s.start, s.stop)[:, None] < size[:n]).astype(np.float32)
-        _, g, h = adam.net.window(ids[s, :n], targets[s, :n], h[:n], fresh[s, :n], live)
-        adam.apply(g, float(live.sum()))
+
+def place(flat: np.ndarray, starts: np.ndarray, heads: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets (steps x lanes) of steps low to high of the texts that start there; past a text's end they mean nothing."""
+    at = np.minimum(starts + np.arange(low, high)[:, None], len(flat) - 1)
+    targets = flat.take(at)
+    ids = np.empty_like(targets)
+    ids[1:] = targets[:-1]
+    ids[0] = flat.take(starts + (low - 1)) if low else heads
+    return ids, targets
 
 
-def one_round(rows: DataFrame, network: Network, words: list[bytes]) -> int:
-    """Carries network through rows' texts, partition by partition, and averages by tokens; returns the tokens it saw.
+def learn(adam: Adam, flat: np.ndarray, sizes: np.ndarray) -> None:
+    """One pass over every token of the documents (in a row, of these sizes); places past a lane's end don't count.
+
+    Here long documents are read in pieces of PIECE words, each of which knows the word before it.
+    """
+    ends = np.cumsum(sizes)
+    pieces = -(-sizes // PIECE)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(ends - sizes, pieces) + number * PIECE
+    long = np.minimum(PIECE, np.repeat(ends, pieces) - starts)
+    heads = np.where(number > 0, flat.take(starts - 1, mode="wrap"), WORDS + 1) if len(starts) else starts
+    for mine in batches_of(long, min(LANES, max(1, math.isqrt(len(flat) // STEPS)))):
+        h, size = np.zeros((HIDDEN, len(mine)), np.float32), long[mine]
+        for low in range(0, size[0], STEPS):
+            high = min(low + STEPS, size[0])
+            n = int(np.searchsorted(-size, -low, "left"))  # longer ones come first
+            live = (np.arange(low, high)[:, None] < size[:n]).astype(np.float32)
+            _, g, h = adam.net.window(*place(flat, starts[mine[:n]], heads[mine[:n]], low, high), h[:, :n], live)
+            adam.apply(g, float(live.sum()))
+
+
+def one_round(rows: DataFrame, network: Network) -> int:
+    """Carries network through rows' ids, partition by partition, and averages by tokens; returns the tokens it saw.
 
     Weighted weights are added as whole numbers, so that their order doesn't matter.
     """
     spark = rows.sparkSession
-    start = spark.sparkContext.broadcast((words[:WORDS], network))
+    start = spark.sparkContext.broadcast(network)
     out = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def run(batches):
-        words, given = start.value
-        index = Index(zip(words, range(len(words))))
-        own = copy.copy(given)
-        own.p = {k: x.copy() for k, x in given.p.items()}
+        own = copy.copy(start.value)
+        own.p = {k: x.copy() for k, x in start.value.p.items()}
         adam, n = Adam(own), 0
-        for batch in slices(batches, "text", TRAIN_BYTES):
-            documents = [to_ids(index, tokens(text)) for text in byte_column(batch, "text")]
-            learn(adam, documents)
-            n += sum(map(len, documents))
+        for batch in slices(batches, "ids", TRAIN_BYTES):
+            flat, sizes = unpacked(batch)
+            learn(adam, flat, sizes)
+            n += len(flat)
         if n:
             flat = np.rint(np.concatenate([x.ravel() for x in own.p.values()]).astype(np.float64) * (n * FIXED_POINT)).astype(np.int64)
             cuts = range(0, len(flat), PART)
@@ -315,63 +332,38 @@ def one_round(rows: DataFrame, network: Network, words: list[bytes]) -> int:
     return found[0][1]
 
 
-def fit(docs: DataFrame, network: Network, words: list[bytes]) -> int:
-    """One pass over all training documents, in rounds of growing shares (ROUNDS); returns the tokens it saw."""
-    rows = doc_rows(docs).filter(~held_out(F.col("doc_id")))
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1]))
-    return sum(one_round(rows.filter((share >= low) & (share < high)).select("text"), network, words) for low, high in zip(ROUNDS, ROUNDS[1:]))
-
-
-def lanes(documents: list[np.ndarray], n: int, heads: list[int] | None = None):
-    """Inputs, targets and document starts (steps x lanes), each lane's (document, length) in order, lanes' lengths.
-
-    Documents follow each other in a lane; longer lanes come first. heads: each document's first input, if not a start.
-    """
-    n = max(1, min(n, len(documents)))
-    filled: list[list[int]] = [[] for _ in range(n)]
-    size = np.zeros(n, np.int64)
-    for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
-        k = int(size.argmin())
-        filled[k].append(i)
-        size[k] += len(documents[i])
-    order = np.argsort(-size, kind="stable")
-    steps = int(size.max(initial=0))
-    ids, targets, fresh = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32), np.ones((steps, n), bool)
-    for lane, k in enumerate(order):
-        at = 0
-        for i in filled[k]:
-            d = documents[i]
-            targets[at : at + len(d), lane] = d
-            ids[at, lane] = heads[i] if heads else WORDS + 1
-            ids[at + 1 : at + len(d), lane] = d[:-1]
-            fresh[at + 1 : at + len(d), lane] = False
-            at += len(d)
-    return ids, targets, fresh, [[(i, len(documents[i])) for i in filled[k]] for k in order], size[order]
-
-
-def score_documents(network: Network, documents: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probability of each document, the last class's inner part left out."""
-    ids, targets, fresh, where, size = lanes(documents, SCORE_LANES)
-    out = np.zeros(ids.shape, np.float32)
-    h, table = np.zeros((ids.shape[1], HIDDEN), np.float32), network.table()
-    for at in range(0, len(ids), SCORE_STEPS):
-        states, active = [], []
-        for t in range(at, min(at + SCORE_STEPS, len(ids))):
-            n = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t come first
-            h = h[:n] * ~fresh[t, :n, None]
-            h, _ = network.cell(table[ids[t, :n]] if n < 32 else table.take(ids[t, :n], 0), h)
-            states.append(h)
-            active.append(n)
-        log = network.outputs(np.concatenate(states), np.concatenate([targets[at + j, :n] for j, n in enumerate(active)]))
-        cuts = np.cumsum([0, *active])
-        for j, n in enumerate(active):
-            out[at + j, :n] = log[cuts[j] : cuts[j + 1]]
-    total = np.zeros(len(documents))
-    for lane, found in enumerate(where):
-        column, at = out[:, lane].astype(np.float64), 0
-        for i, n in found:
-            total[i] = column[at : at + n].sum()
-            at += n
+def fit(encoded: DataFrame, network: Network) -> int:
+    """One pass over all training documents, in rounds of growing shares (ROUNDS); returns the tokens it saw. encoded: share, ids."""
+    share = F.col("share")
+    return sum(one_round(encoded.filter((share >= low) & (share < high)).select("ids"), network) for low, high in zip(ROUNDS, ROUNDS[1:]))
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch's documents in a row, and how many each has."""
+    each = batch.column("ids").to_pylist()
+    return np.frombuffer(b"".join(each), np.uint16).astype(np.int32), np.fromiter(map(len, each), np.int64, len(each)) // 2
+
+
+def score_documents(network: Network, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each document, the last class's inner part left out; the state runs through the whole document."""
+    total, table, starts = np.zeros(len(sizes)), network.table(), np.cumsum(sizes) - sizes
+    for mine in batches_of(sizes, SCORE_LANES):
+        h, size, start, heads = np.zeros((HIDDEN, len(mine)), np.float32), sizes[mine], starts[mine], np.full(len(mine), WORDS + 1)
+        sums = np.zeros(len(mine))
+        for low in range(0, size[0], SCORE_STEPS):
+            high = min(low + SCORE_STEPS, size[0])
+            active = np.searchsorted(-size, -np.arange(low, high), "left").tolist()  # longer ones come first
+            ids, targets = place(flat, start[: active[0]], heads[: active[0]], low, high)
+            states = []
+            for row, n in zip(ids, active):
+                h, _ = network.cell(table.take(row[:n], 1), h[:, :n])
+                states.append(h)
+            log = network.outputs(np.concatenate(states, 1).T, np.concatenate([row[:n] for row, n in zip(targets, active)]))
+            at = 0
+            for n in active:
+                sums[:n] += log[at : at + n]
+                at += n
+        total[mine] = sums
     return total
 
 
@@ -407,50 +399,73 @@ def frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [w for _, w in found], np.array([-n for n, _ in found], np.int64)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and score's class part of every document."""
-    spark = docs.sparkSession
-    counts = stored(count_words(docs), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, sizes = frequent(counts)
-    rest, others = int(total - sizes[:WORDS].sum()), int(distinct - min(distinct, WORDS))
-    network = Network(sizes[:WORDS], max(rest, 1))
-    if total:
-        fit(docs, network, words)
-    model = spark.sparkContext.broadcast((words, sizes, network))
-    base, inner = math.log10(total + distinct + 1), math.log10(rest + others + 1)
-    out = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_head", pa.float64()), ("log_rest", pa.float64()), ("n_rest", pa.int64()), ("neural", pa.float64())])
+ENCODED = "uid long, doc_id long, share int, n_tokens long, n_known long, log_head double, log_rest double, n_rest long, ids binary, word binary, times long"
+
+
+def encode(docs: DataFrame, words: list[bytes], sizes: np.ndarray) -> DataFrame:
+    """Two kinds of rows: of each document its facts and its ids (two bytes each); of each of its words beyond HEAD, uid, word and times.
+
+    share: 0 to ROUNDS[-1] - 1 by a hash of id and text for training documents, -1 for the held out.
+    """
+    model = docs.sparkSession.sparkContext.broadcast((words, sizes))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    out = pa.schema(list(zip([x.split()[0] for x in ENCODED.split(", ")], kinds)))
 
     def run(batches):
-        words, sizes, network = model.value
-        index = dict(zip(words, range(len(words))))
-        logs = np.log10(sizes + 1.0)
-        uid = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "text", SCORE_BYTES):
-            sequences, rare, facts = [], [], []
+        words, sizes = model.value
+        index = Index(zip(words, range(len(words))))
+        logs = np.append(np.log10(sizes + 1.0), 0.0)
+        uid, unknown = TaskContext.get().partitionId() << 36, len(words)
+        for batch in slices(batches, "text"):
+            rare, facts = [], []
             for text in byte_column(batch, "text"):
                 found = tokens(text)
-                ids = np.array([index.get(w, -1) for w in found], np.int32)
-                known = ids >= 0
-                head = logs[ids[known]]
-                facts.append((len(ids), int(known.sum()), float(head.sum()), float(head[ids[known] >= WORDS].sum()), int((ids >= WORDS).sum() + (~known).sum())))
-                rare.append(Counter([found[i] for i in np.flatnonzero(~known)]))
-                sequences.append(np.where(known & (ids < WORDS), ids, WORDS).astype(np.int32))
-            neural = score_documents(network, sequences)
+                ids = np.fromiter(map(index.__getitem__, found), np.int32, len(found))
+                log = logs.take(ids)
+                other = ids >= WORDS
+                strange = np.flatnonzero(ids == unknown).tolist()
+                facts.append((len(ids), len(ids) - len(strange), float(log.sum()), float(log[other].sum()), int(other.sum()), np.minimum(ids, WORDS).astype(np.uint16).tobytes()))
+                rare.append(Counter([found[i] for i in strange]))
             rows = range(uid, uid + len(facts))
             nothing = [None] * len(facts)
-            yield record_batch(out, [rows, [b" %d" % k for k in rows], nothing, batch.column("doc_id"), *([f[j] for f in facts] for j in range(5)), neural])
+            yield record_batch(out, [rows, batch.column("doc_id"), batch.column("share"), *([f[j] for f in facts] for j in range(6)), nothing, nothing])
             flat = [(u, w, n) for u, found in zip(rows, rare) for w, n in found.items()]
             nothing = [None] * len(flat)
-            yield record_batch(out, [[x[j] for x in flat] for j in range(3)] + [nothing] * 7)
+            yield record_batch(out, [[x[0] for x in flat], *[nothing] * 8, [x[1] for x in flat], [x[2] for x in flat]])
             uid += len(facts)
 
-    rows = doc_rows(docs).mapInArrow(tidy(run), "uid long, word binary, times long, doc_id long, n_tokens long, n_known long, log_head double, log_rest double, n_rest long, neural double")
-    joined = rows.join(counts, "word", "left")
-    log = F.coalesce(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)), F.lit(0.0))
-    summed = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
-        F.sum(log).alias("log"), F.max("log_head").alias("log_head"), F.max("log_rest").alias("log_rest"), F.max("n_rest").alias("n_rest"), F.max("neural").alias("neural"),
+    share = F.when(held_out(F.col("doc_id")), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1]))).cast("int")
+    return doc_rows(docs).withColumn("share", share).mapInArrow(tidy(run), ENCODED)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    spark = docs.sparkSession
+    counts = stored(count_words(docs), "counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words, sizes = frequent(counts)
+    rest, others = int(total - sizes[:WORDS].sum()), int(distinct - min(len(words), WORDS))
+    network = Network(sizes[:WORDS], max(rest, 1))
+    encoded = stored(encode(docs, words, sizes), "encoded")
+    if total:
+        fit(encoded, network)
+    model = spark.sparkContext.broadcast(network)
+    base, inner = math.log10(total + distinct + 1), math.log10(rest + others + 1)
+
+    def run(batches):
+        for batch in batches:
+            neural = score_documents(model.value, *unpacked(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(neural, pa.float64())], names=[*batch.schema.names[:-1], "neural"])
+
+    facts = ["uid", "doc_id", "n_tokens", "n_known", "log_head", "log_rest", "n_rest"]
+    scored = encoded.filter("word is null").select(*facts, "ids").mapInArrow(tidy(run), "uid long, doc_id long, n_tokens long, n_known long, log_head double, log_rest double, n_rest long, neural double")
+    found = encoded.filter("word is not null").select("uid", "word", "times").join(counts, "word")
+    found = found.select("uid", "times", (F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("log"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in scored.dtypes if c != "uid"]
+    rows = scored.select("*", F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("log")).unionByName(found.select("uid", *nothing, "times", "log"))
+    summed = rows.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum("times")).alias("n_known"),
+        F.sum("log").alias("log"), F.max("log_head").alias("log_head"), F.max("log_rest").alias("log_rest"), F.max("n_rest").alias("n_rest"), F.max("neural").alias("neural"),
     )
     base_score = F.col("log_head") + F.col("log") - F.col("n_tokens") * F.lit(base)
     whole = F.col("neural") / F.lit(LN10) + F.col("log_rest") + F.col("log") - F.col("n_rest") * F.lit(inner) if total else base_score
