@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -46,7 +47,8 @@ def test_stage_drops_near_copies_of_the_tables(spark, sf, texts):
 @pytest.mark.parametrize("stars", [0, 1, 3])
 def test_stage_drops_planted_near_copies(spark, sf, monkeypatch, stars):
     monkeypatch.setattr(nearcopies, "STARS", stars)
-    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nearcopies, "CHEAP", -1)
+    monkeypatch.setattr(nearcopies, "POSTINGS_AT_ONCE", 5000)
     r = random.Random(3)
     word = lambda: f"w{r.randrange(5000)}"
     texts = {0: "", 1: None, 2: "one two", 3: "One  two", 4: "one two three four five", 5: "   "}
@@ -60,3 +62,55 @@ def test_stage_drops_planted_near_copies(spark, sf, monkeypatch, stars):
     kept = brute_kept(texts)
     assert 30 < len(kept) < 180
     assert stage(spark, sf, texts) == kept
+
+
+def test_wide_fingerprints_are_majorities():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 254, 255, 256, 1000):
+        h = r.integers(0, 1 << 64, n, np.uint64)
+        x = (h[:, None] ^ nearcopies.MASKS) * nearcopies.FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        ones = np.unpackbits(x.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        assert nearcopies.wide(h) == np.packbits(ones * 2 > n, bitorder="little").tobytes()
+
+
+@pytest.mark.parametrize("size", [5, 10, 25, 100, 400])
+def test_index_and_filters_lose_next_to_nothing_at_the_threshold(size):
+    """Pairs of sets at exactly 0.8 (or just above, where sizes don't allow it): how many share a key and pass both filters."""
+    r = np.random.default_rng(size)
+    found = tried = 0
+    for _ in range(150):
+        shared = r.integers(0, 1 << 64, max(4, size * 8 // 10), np.uint64)
+        extra = r.integers(0, 1 << 64, len(shared) // 4, np.uint64)
+        cut = r.integers(0, len(extra) + 1)
+        a, b = np.concatenate([shared, extra[:cut]]), np.concatenate([shared, extra[cut:]])
+        n = nearcopies.TRIPLES_ALL if max(len(a), len(b)) <= nearcopies.SHORT else nearcopies.KEYS
+        prints = np.array([np.frombuffer(nearcopies.wide(x), np.uint8) for x in (a, b)])
+        ka, kb = nearcopies.keys(prints, n)
+        x = prints[0] ^ prints[1]
+        carried = int(np.bitwise_count(x[:16]).sum()) <= nearcopies.CARRIED_BITS
+        tried += 1
+        found += bool(np.intersect1d(ka, kb).size) and carried and nearcopies.alike(prints[0].tobytes(), prints[1].tobytes(), a.tobytes(), b.tobytes())
+    assert found >= 0.97 * tried
+
+
+def test_index_finds_all_shared_keys(spark, monkeypatch):
+    """Postings of one task or of many, in any buckets: exactly the keys of two sets or more."""
+    monkeypatch.setattr(nearcopies, "POSTINGS_AT_ONCE", 3000)
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, nearcopies.WIDTH, np.uint8)
+    rows, where = [], {}
+    for fp in range(60):
+        x = base.copy()
+        change = r.random(nearcopies.WIDTH) < (0.2 if fp % 2 else 1)
+        x[change] = r.integers(0, 256, int(change.sum()), np.uint8)
+        n = 10 if fp % 7 == 0 else 100
+        rows.append((fp, n, bytearray(x.tobytes())))
+        for k in nearcopies.keys(x[None], nearcopies.TRIPLES_ALL if n <= nearcopies.SHORT else nearcopies.KEYS)[0].tolist():
+            where.setdefault(k, set()).add(fp)
+    want = {(k, fp) for k, fps in where.items() if len(fps) > 1 for fp in fps}
+    names = spark.createDataFrame(rows, "fp long, n long, bytes binary")
+    for parts, buckets in ((1, 3), (4, 50)):
+        got = nearcopies.index(names.repartition(parts), buckets).collect()
+        assert {(r["key"], r["fp"]) for r in got} == want and len(got) == len(want)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices
+from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, tidy
 
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
 #: Symbols 0 to 2 are LETTER, NUMBER and OTHER. QUOTE1 and QUOTE2: an apostrophe before a contraction's one or
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         yield from Codec(read_ranks(raw.value)).encode(batches)
 
-    return doc_rows(docs).mapInArrow(run, ENCODED)
+    return doc_rows(docs).mapInArrow(tidy(run), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -257,7 +257,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         yield from Codec(read_ranks(raw.value)).decode(batches)
 
-    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, DECODED)
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(tidy(run), DECODED)
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -273,4 +273,4 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*digest.columns, *more], names=schema.names)
 
     schema = T.StructType([*DIGESTS.fields, *([ENCODED["ids"]] if with_ids else [])])
-    return doc_rows(docs).mapInArrow(run, schema)
+    return doc_rows(docs).mapInArrow(tidy(run), schema)

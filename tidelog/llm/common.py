@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a worker (one row at least).
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @functools.cache
@@ -68,7 +70,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, not only by rows, unless the session has a smaller bound."""
+    now = (spark.conf.get(BATCH_SETTING, None) or "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -107,4 +117,5 @@ def same_key(left, right):
 
 def doc_rows(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads, by name."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

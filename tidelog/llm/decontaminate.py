@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices
+from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, tidy
 
 EDITS, LEAST_WORDS, BLOCK_ITEMS = 0.2, 5, 5000
 SAMPLED, RECALL, MOST_REPEATS, TRIALS = 2, 0.995, 96, 20
@@ -274,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = scan(batch, items, words)
                 yield record_batch(_OUT, [[r[k] for r in found] for k in range(1, 7)])
 
-        found = doc_rows(docs).mapInArrow(run, "doc_id long, item_id long, edit_distance long, item_words long, start_word long, end_word long")
+        found = doc_rows(docs).mapInArrow(tidy(run), "doc_id long, item_id long, edit_distance long, item_words long, start_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -290,5 +290,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = {r[0] for r in scan(batch, items, words)}
                 yield batch.filter(pa.array([k not in out for k in range(batch.num_rows)])) if out else batch
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

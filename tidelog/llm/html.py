@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, record_batch, slices
+from tidelog.llm.common import byte_column, record_batch, slices, tidy
 
 #: HTML's own element lists (fixed values).
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -349,4 +349,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield record_batch(out, [batch.column("page_id"), batch.column("url"), texts, [len(x) for x in texts]])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

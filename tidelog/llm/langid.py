@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.bpe import LETTER, codepoint_classes
-from tidelog.llm.common import byte_column, record_batch, slices
+from tidelog.llm.common import byte_column, record_batch, slices, tidy
 
 BUCKETS = 1 << 15
 TRAIN_ROWS = 4000
@@ -72,7 +72,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             used = np.flatnonzero(at)
             yield record_batch(out, [[lang] * len(used), used.astype(np.int32), at[used]])
 
-    rows = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled.select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.ones((BUCKETS, len(langs)))
     prior = np.ones(len(langs))
@@ -130,4 +130,4 @@ def identify(docs: DataFrame, *more: str) -> DataFrame:
             columns = [*batch.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -1,16 +1,25 @@
-"""The pipeline's near-copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Operator 2 for similar texts: SimHash near-duplicates by sets of five-word shingles, a Jaccard similarity of 0.8 or more.
 
-MinHash finds the candidates: BANDS keys of ROWS minima each. A pair at exactly 0.8 shares no key with a probability
-of (1 - 0.8**4)**20 = 3e-5, more similar pairs with less. Candidates are verified by their whole sets, so no pair
-below 0.8 links. SimHash bits aren't used here: pairs at 0.8 differ in up to 17 of 64 bits on the small tables, which
-can touch all eight bytes, so that no key of positional bytes finds them.
+Two sets at 0.8 differ in 15 % of their SimHash bits (up to 19 % for the smallest sets), which touches every byte of a
+64-bit fingerprint. So fingerprints have WIDTH bytes here, of which such a pair shares 27 % (19 %), and the byte-position
+inverted index has three positions a key, as in simhash.py:
 
-Sets, not documents, are compared: copies meet in one row first. A bucket's members are first verified against one
-member, STARS times over with another one each; only members of different components are then compared pair by pair,
-so that a large group of near-copies makes no square of its size.
+* The index: KEYS triples of positions, each position in three of them; texts of SHORT shingles or fewer have all
+  TRIPLES. Postings of a task meet there first, packed; only postings that two distinct sets share leave the index.
+* Candidates of one posting differ in at most CARRIED_BITS of the 128 bits that rows carry.
+* The count filter: a pair shares at least NEEDED positional bytes of all WIDTH, and differs in at most MOST_BITS bits.
+* Verification: the whole sets' Jaccard similarity, exactly.
+
+All four are set so that they lose next to nothing at 0.8 (some 0.7 % of pairs at exactly 0.8 share no key, 0.1 % at
+0.83, none to speak of above) and nothing below 0.8 links.
+
+Sets, not documents, are compared: copies meet in one row first. A posting's members are first compared with one of
+them, a star, STARS times at most; then only members of different components are compared pair by pair, so that a large
+group of near-copies makes no square of its size.
 
 Defined cases: a text of fewer than five words has one shingle, all its words; texts without words are equal; letters
-A-Z are lower-cased and words split at ASCII white space, as in operator 2.
+A-Z are lower-cased and words split at ASCII white space, as in operator 2; null ids and rows that repeat an id take
+part as rows of their own.
 """
 
 from __future__ import annotations
@@ -21,16 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, stored
+from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored, tidy
 from tidelog.llm.components import connected
 
-SHINGLE, BANDS, ROWS, STARS = 5, 20, 4, 3
-SEED, BLOCK_ROWS = 42, 256
+SHINGLE, SEED = 5, 42
+WIDTH, KEYS, TRIPLES_ALL, SHORT = 264, 264, 1056, 20
+NEEDED, MOST_BITS, CARRIED_BITS = 24, 480, 46
+STARS, CHEAP = 3, 64
+WORDS_KEPT, ROWS_AT_ONCE, POSTINGS_AT_ONCE = 1 << 17, 255, 1 << 20
+#: Entries of a bucket of the index, of which a task holds one at a time.
+BUCKET = 1 << 20
 _RANDOM = np.random.default_rng(7)
-FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-MASKS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+FACTORS = _RANDOM.integers(0, 1 << 64, WIDTH // 8, np.uint64) | np.uint64(1)
+MASKS = _RANDOM.integers(0, 1 << 64, WIDTH // 8, np.uint64)
 PLACES = _RANDOM.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
-WORDS_KEPT, CHUNK = 1 << 18, 1 << 14
+TRIPLES = np.concatenate([_RANDOM.permutation(WIDTH) for _ in range(3 * TRIPLES_ALL // WIDTH)]).reshape(-1, 3)
+LOW_BITS = np.uint64(0x0101010101010101)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,7 +64,7 @@ def shingles(text: bytes, known: dict) -> np.ndarray:
     for w in set(words):
         if w not in known:
             known[w] = xxhash.xxh64_intdigest(w, SEED)
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -57,87 +72,208 @@ def shingles(text: bytes, known: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), CHUNK):
-        part = found[at : at + CHUNK]
-        for k in range(BANDS * ROWS):
-            least[k] = min(least[k], ((part ^ MASKS[k]) * FACTORS[k]).min())
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
+def wide(found: np.ndarray) -> bytes:
+    """The SimHash of WIDTH bytes: a bit is 1 if set in over half of the shingles' hashes."""
+    counts = np.zeros((8, WIDTH), np.int64)
+    for at in range(0, len(found), ROWS_AT_ONCE):  # so many that a byte can count them
+        x = (found[at : at + ROWS_AT_ONCE, None] ^ MASKS) * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        for j in range(8):
+            counts[j] += ((x >> np.uint64(j)) & LOW_BITS).view(np.uint8).sum(0, dtype=np.uint8)
+    return ((counts * 2 > len(found)) << np.arange(8)[:, None]).sum(0).astype(np.uint8).tobytes()
+
+
+def _name(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp (the set's name), n (its size) and the band keys of every document."""
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, key (a hash of the text), fp (the set's name), n (its size), the fingerprint, and its first 128 bits as s and t."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         known: dict = {}
         for batch in slices(batches, "text"):
             sets = [shingles(x, known) for x in byte_column(batch, "text")]
-            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield record_batch(out, [batch.column("doc_id"), batch.column("key"), names, [len(s) for s in sets], [band_keys(s) for s in sets]])
+            names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
+            prints = [wide(s) for s in sets]
+            carried = np.array([np.frombuffer(x[:16], np.int64) for x in prints]).reshape(-1, 2).T
+            yield record_batch(out, [batch.column("doc_id"), batch.column("key"), names, [len(s) for s in sets], *carried, prints])
+
+    rows = doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return rows.mapInArrow(tidy(run), "doc_id long, key long, fp long, n long, s long, t long, bytes binary")
+
+
+def keys(prints: np.ndarray, n: int) -> np.ndarray:
+    """The first n keys of each fingerprint (rows of bytes): 32 bits of the triple's number and its three bytes."""
+    x = prints[:, TRIPLES[:n]].astype(np.uint64)
+    x = x[:, :, 0] << np.uint64(16) | x[:, :, 1] << np.uint64(8) | x[:, :, 2] | np.arange(n, dtype=np.uint64) << np.uint64(24)
+    return (_mixed(x) >> np.uint64(32)).astype(np.uint32)
+
+
+def index(names: DataFrame, buckets: int) -> DataFrame:
+    """key and fp of all postings of two distinct sets or more. names: fp, n, bytes; each set once.
+
+    A task's postings are sorted by key. What it has twice is known to be shared: it leaves at once, and one entry, marked,
+    tells the key's bucket. So a bucket gets one entry of a key from a task, however long the key's posting is.
+    """
+    packed = pa.schema([("bucket", pa.int32()), ("shared", pa.bool_()), ("keys", pa.binary()), ("marks", pa.binary()), ("fps", pa.binary())])
+    out = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    salt = np.uint64(0x9E3779B97F4A7C15)
+
+    def pack(parts: list):
+        key, fp = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        shared = again.copy()
+        shared[:-1] |= again[1:]
+        rows = []
+        if shared.any():
+            bucket = int((fp[0] * salt) >> np.uint64(32)) % buckets
+            rows.append((bucket, True, key[shared].tobytes(), b"", fp[shared].tobytes()))
+        first = ~again
+        key, fp, mark = key[first], fp[first], shared[first]
+        own = (key.astype(np.uint64) * np.uint64(buckets)) >> np.uint64(32)
+        cuts = np.append(np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1)), len(key)).tolist()
+        rows += [(int(own[a]), False, key[a:b].tobytes(), mark[a:b].tobytes(), fp[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        return record_batch(packed, [list(x) for x in zip(*rows)])
 
-    return doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key")).mapInArrow(run, "doc_id long, key long, fp long, n long, bands array<long>")
+    def spread(batches):
+        parts, held = [], 0
+        for batch in batches:
+            size, fps = batch.column("n").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            prints = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, WIDTH)
+            for short, n in ((False, KEYS), (True, TRIPLES_ALL)):
+                rows = np.flatnonzero((size > 0) & ((size <= SHORT) == short))
+                step = POSTINGS_AT_ONCE // n
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    parts.append((keys(prints[some], n).ravel(), fps[some].repeat(n)))
+                    held += len(some) * n
+                    if held >= POSTINGS_AT_ONCE:
+                        yield pack(parts)
+                        parts, held = [], 0
+        if parts:
+            yield pack(parts)
+
+    def settle(parts: list):
+        key, mark, fp = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        key, mark, fp = key[order], mark[order], fp[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        group = np.cumsum(~again) - 1
+        wanted = (np.bincount(group) > 1)[group] & ~mark
+        return record_batch(out, [key[wanted].astype(np.int64), fp[wanted].view(np.int64)])
+
+    def meet(batches):
+        parts, now = [], None
+        for batch in batches:
+            for bucket, shared, key, mark, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                if shared:
+                    yield record_batch(out, [np.frombuffer(key, np.uint32).astype(np.int64), np.frombuffer(fp, np.int64)])
+                    continue
+                if bucket != now and parts:
+                    yield settle(parts)
+                    parts = []
+                now = bucket
+                parts.append((np.frombuffer(key, np.uint32), np.frombuffer(mark, bool), np.frombuffer(fp, np.uint64)))
+        if parts:
+            yield settle(parts)
+
+    rows = names.select("fp", "n", "bytes").mapInArrow(tidy(spread), "bucket int, shared boolean, keys binary, marks binary, fps binary")
+    return rows.repartition(shuffle_partitions(names), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "key long, fp long")
 
 
 def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp and the set itself, of wanted's texts (key)."""
-    out = pa.schema([("fp", pa.int64()), ("found", pa.list_(pa.int64()))])
+    """fp, fingerprint and the set itself of wanted's texts (key)."""
+    out = pa.schema([("fp", pa.int64()), ("bytes", pa.binary()), ("found", pa.binary())])
 
     def run(batches):
         known: dict = {}
         for batch in slices(batches, "text"):
             each = [shingles(x, known) for x in byte_column(batch, "text")]
-            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in each], np.uint64).view(np.int64)
-            yield record_batch(out, [names, [s.view(np.int64) for s in each]])
+            names = np.array([_name(s) for s in each], np.uint64).view(np.int64)
+            yield record_batch(out, [names, [wide(s) for s in each], [s.tobytes() for s in each]])
 
     rows = doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key")).join(wanted.select("key"), "key", "left_semi")
-    return rows.dropDuplicates(["key"]).select("text").mapInArrow(run, "fp long, found array<long>")
+    return rows.dropDuplicates(["key"]).select("text").mapInArrow(tidy(run), "fp long, bytes binary, found binary")
+
+
+def alike(one: bytes, two: bytes, left: bytes, right: bytes) -> bool:
+    """The count filter over the fingerprints' positional bytes, their bits, then the sets' exact similarity."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    x = a ^ b
+    if WIDTH - np.count_nonzero(x.view(np.uint8)) < NEEDED or int(np.bitwise_count(x).sum()) > MOST_BITS:
+        return False
+    p, q = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = np.sort(np.concatenate([p, q]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 5 * shared >= 4 * (len(p) + len(q) - shared)
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 0.8 or more in common. Members with many pairs are joined in blocks."""
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
-    own = F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))).cast("int")
-    left = pairs.join(many, "b", "left").select("a", "b", own.alias("block"))
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    right = members.join(many.withColumnRenamed("b", "fp"), "fp", "left").select(F.col("fp").alias("b"), F.col("found").alias("found2"), each.alias("block"))
-    both = left.join(members.withColumnRenamed("fp", "a"), "a").join(right, ["b", "block"])
-    shared = F.size(F.array_intersect("found", "found2"))
-    return both.filter(5 * shared >= 4 * (F.size("found") + F.size("found2") - shared)).select("a", "b")
+    """The pairs (a, b) that are alike."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            a, b, *each = (batch.column(x).to_pylist() for x in ("a", "b", "one", "two", "left", "right"))
+            kept = [k for k, x in enumerate(zip(*each)) if alike(*x)]
+            yield record_batch(out, [[a[k] for k in kept], [b[k] for k in kept]])
+
+    left = members.select(F.col("fp").alias("a"), F.col("bytes").alias("one"), F.col("found").alias("left"))
+    right = members.select(F.col("fp").alias("b"), F.col("bytes").alias("two"), F.col("found").alias("right"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(run), "a long, b long")
+
+
+def _near(one: str, two: str):
+    """Sizes that 0.8 allows, and the carried bits' distance."""
+    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
+    apart = sum((F.bit_count(F.col(f"{one}.{s}").bitwiseXOR(F.col(f"{two}.{s}"))) for s in ("s", "t")), F.lit(0))
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (apart <= CARRIED_BITS)
 
 
 def links(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """names: distinct sets (fp, key, n, bands). Links that connect every candidate pair of 0.8 or more, not each such pair."""
-    postings = names.select("fp", "key", "n", F.posexplode("bands").alias("slot", "value"))
-    sizes = postings.groupBy("slot", "value").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    postings = stored(postings.join(sizes, ["slot", "value"]), "postings")
-    members = stored(sets(docs, postings.select("key").distinct()).dropDuplicates(["fp"]), "sets")
-    postings = postings.drop("key")
-    near = (F.col("n") * 5 >= F.col("n2") * 4) & (F.col("n2") * 5 >= F.col("n") * 4)
+    """names: distinct sets (fp, key, n, bytes). Links that connect every candidate pair of 0.8 or more, not each such pair."""
+    buckets = max(shuffle_partitions(docs), -(-names.count() * KEYS // BUCKET))
+    postings = index(names, buckets)
+    facts = names.select("fp", "n", "s", "t")
+    rows = stored(postings.join(facts, "fp").select("key", F.struct("fp", "n", "s", "t").alias("x")), "postings")
     found = None
     for k in range(STARS + 1):
-        rows = postings
+        own = rows.withColumn("root", F.col("x.fp"))
         if found is not None:
-            roots = connected(found).withColumnRenamed("node", "fp")
-            rows = rows.join(roots, "fp", "left")
-        rows = stored(rows.withColumn("root", F.coalesce("root", "fp") if found is not None else F.col("fp")), "members")
-        mixed = rows.groupBy("slot", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(k))).alias("one")).filter("low != high")
-        if k < STARS:
-            pairs = rows.join(mixed, ["slot", "value"]).filter("root != one.root").select(F.col("fp").alias("a"), F.col("one.fp").alias("b"), "n", F.col("one.n").alias("n2"))
+            roots = connected(found).select(F.col("node").alias("fp"), "root")
+            own = rows.withColumn("fp", F.col("x.fp")).join(roots, "fp", "left").select("key", "x", F.coalesce("root", F.col("x.fp")).alias("root"))
+            own = stored(own, "members")
+        mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min_by(F.struct("x", "root"), F.xxhash64(F.col("x.fp"), F.lit(k))).alias("one")).filter("low != high")
+        last = k == STARS
+        if not last and found is not None:
+            all_, square = own.count(), mixed.agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+            last = (square or 0) <= CHEAP * all_
+        if last:
+            here = own.join(mixed.select("key"), "key")
+            other = here.select("key", F.col("x").alias("y"), F.col("root").alias("root2"))
+            pairs = here.join(other, "key").filter((F.col("root") < F.col("root2")) & _near("x", "y"))
         else:
-            rows = rows.join(mixed.select("slot", "value"), ["slot", "value"])
-            other = rows.select("slot", "value", F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = rows.join(other, ["slot", "value"]).filter("root < root2").select(F.col("fp").alias("a"), "b", "n", "n2")
-        pairs = stored(pairs.filter(near).select("a", "b").distinct(), "pairs")
+            pairs = own.join(mixed.select("key", F.col("one.x").alias("y"), F.col("one.root").alias("root2")), "key").filter((F.col("root") != F.col("root2")) & _near("x", "y"))
+        pairs = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "pairs")
+        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        members = stored(sets(docs, names.select("fp", "key").join(asked, "fp")).dropDuplicates(["fp"]), "sets")
         more = stored(verified(pairs, members), "verified")
         found = more if found is None else found.union(more)
+        if last:
+            return found
     return found
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, key, fp of every document; fp and root (the name of the group's smallest set) of every distinct set."""
     found = stored(sketches(docs), "sketches")
-    names = found.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    names = stored(found.groupBy("fp").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("n", "s", "t", "bytes"))), "names")
     roots = connected(links(names, docs)).withColumnRenamed("node", "fp")
-    return found.drop("bands"), found.select("fp").distinct().join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return found.select("doc_id", "key", "fp"), names.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import record_batch, stored
+from tidelog.llm.common import record_batch, stored, tidy
 from tidelog.llm.repeats import Spec, keyed, repeats, span
 
 LENGTH, ANCHOR, TILE = 50, 16, 25
@@ -141,7 +141,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     found = repeats(SPEC, rows)
     routes = found.select(bucket.alias("bucket"), F.col("odid").alias("did"), F.col("otag").alias("tag"), "oat").distinct()
     routes = stored(routes, "routes").groupBy("did", "tag").agg(F.collect_list(F.struct("bucket", "oat")).alias("routes"))
-    passages = rows.join(routes, ["did", "tag"]).select("did", "text", "routes").mapInArrow(_passages, "bucket long, did long, passage binary")
+    passages = rows.join(routes, ["did", "tag"]).select("did", "text", "routes").mapInArrow(tidy(_passages), "bucket long, did long, passage binary")
     passages = passages.groupBy("bucket", "passage").agg(F.min("did").alias("did"))
     nothing = F.lit(None).cast("long")
     both = passages.select("bucket", F.lit(0).alias("kind"), "did", nothing.alias("doc_id"), "passage").union(rows.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "did", "doc_id", F.col("text").cast("binary")))
@@ -164,4 +164,4 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             yield record_batch(out, [[x[k] for x in kept] for k in range(4)])
 
     dealt = both.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(stream, "doc_id long, n_words long, n_removed long, kept binary")
+    return dealt.mapInArrow(tidy(stream), "doc_id long, n_words long, n_removed long, kept binary")

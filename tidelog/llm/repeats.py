@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, slices, stored
+from tidelog.llm.common import byte_column, slices, stored, tidy
 
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Rows that a task gathers before it resolves among them and sends the rest.
@@ -438,15 +438,15 @@ def repeats(spec: Spec, rows: DataFrame) -> DataFrame:
     def sort(df: DataFrame) -> DataFrame:
         return df.repartition("h").sortWithinPartitions("h", "c", "did", "at")
 
-    found = text.mapInArrow(lambda b: anchor_rows(spec, b), spec.schema)
-    runs = stored(sort(found).mapInArrow(lambda b: resolved(spec, b, True), spec.schema).select(*spec.place, "state"), "runs")
+    found = text.mapInArrow(tidy(lambda b: anchor_rows(spec, b)), spec.schema)
+    runs = stored(sort(found).mapInArrow(tidy(lambda b: resolved(spec, b, True)), spec.schema).select(*spec.place, "state"), "runs")
     open_ = runs.filter(F.col("state") == OPEN).groupBy("did", "tag").agg(F.collect_list("at").alias("places"))
     # all columns of rows: then these joins and one of the caller's on the same keys share the texts' exchange
-    halves = rows.join(open_, ["did", "tag"]).mapInArrow(lambda b: side_rows(spec, b), spec.schema)
-    halves = halves.repartition("h").sortWithinPartitions("h", "did", "at").mapInArrow(lambda b: shared_sides(spec, b), spec.schema)
+    halves = rows.join(open_, ["did", "tag"]).mapInArrow(tidy(lambda b: side_rows(spec, b)), spec.schema)
+    halves = halves.repartition("h").sortWithinPartitions("h", "did", "at").mapInArrow(tidy(lambda b: shared_sides(spec, b)), spec.schema)
     sides = halves.groupBy("did", "tag").agg(F.collect_list("at").alias("sides"))
-    windows = rows.join(sides, ["did", "tag"]).mapInArrow(lambda b: window_rows(spec, b), spec.schema)
-    single = sort(windows).mapInArrow(lambda b: resolved(spec, b, False), spec.schema)
+    windows = rows.join(sides, ["did", "tag"]).mapInArrow(tidy(lambda b: window_rows(spec, b)), spec.schema)
+    single = sort(windows).mapInArrow(tidy(lambda b: resolved(spec, b, False)), spec.schema)
     return runs.filter(F.col("state") == RESOLVED).select(*spec.place).union(single.filter(F.col("state") == RESOLVED).select(*spec.place))
 
 

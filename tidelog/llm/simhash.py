@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, stored
+from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, stored, tidy
 from tidelog.llm.components import connected
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(x) for x in byte_column(batch, "text")], np.uint64)
             yield record_batch(_OUT, [batch.column("doc_id"), batch.column("key"), found.view(np.int64)])
 
-    return doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key")).mapInArrow(run, FINGERPRINTS)
+    return doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key")).mapInArrow(tidy(run), FINGERPRINTS)
 
 
 def _byte(fp, k: int):

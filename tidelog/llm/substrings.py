@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidelog.llm.common import byte_column, record_batch, slices
+from tidelog.llm.common import byte_column, record_batch, slices, tidy
 from tidelog.llm.repeats import Spec, covered, keyed, repeats
 
 LENGTH, ANCHOR = 100, 24
@@ -62,7 +62,7 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
             first = record_batch(head, [batch.column("doc_id"), sizes, gone, spans, kept])
             yield pa.RecordBatch.from_arrays([*first.columns, *(batch.column(x) for x in more)], names=[*head.names, *more])
 
-    return joined.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, schema)
+    return joined.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(cut), schema)
 
 
 def kept_text(kept):

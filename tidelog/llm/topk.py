@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import record_batch, stored
+from tidelog.llm.common import record_batch, stored, tidy
 
 SCALE, SAMPLE, PIVOTS, PART_ROWS, ANNULUS_ROWS = 256, 2048, 32, 1 << 15, 512
 EXACT = 1 << 20  # below it, sums of 2^12 products are exact in doubles
@@ -42,7 +42,7 @@ def integer_vectors(rows: DataFrame) -> DataFrame:
             flat, n = v.flatten().to_numpy().astype("<i4"), np.cumsum([0, *pa.compute.list_value_length(v).to_pylist()])
             yield record_batch(out, [batch.column("vec_id"), [flat[a:b].tobytes() for a, b in zip(n, n[1:])]])
 
-    return ints.mapInArrow(pack, "vec_id long, code binary").dropDuplicates(["code", "vec_id"])
+    return ints.mapInArrow(tidy(pack), "vec_id long, code binary").dropDuplicates(["code", "vec_id"])
 
 
 def matrix(codes) -> np.ndarray:
@@ -172,7 +172,7 @@ def _longest(of_dim: DataFrame) -> int:
             v = matrix([x or b"" for x in batch.column("code").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([int((v * v).sum(1).max(initial=0))], pa.int64())], names=["n"])
 
-    return of_dim.select("code").mapInArrow(norm, "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return of_dim.select("code").mapInArrow(tidy(norm), "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def _search(of_dim: DataFrame, asked: DataFrame, of_space: tuple, k: int) -> DataFrame:
@@ -191,11 +191,11 @@ def _search(of_dim: DataFrame, asked: DataFrame, of_space: tuple, k: int) -> Dat
                 repeat = batch.take(pa.array(np.repeat(np.arange(n), p)))
                 yield pa.RecordBatch.from_arrays([*repeat.columns, pa.array(np.tile(np.arange(p), n), pa.int32()), pa.array(d.ravel(), pa.float64()), pa.array((np.arange(p) == near[:, None]).ravel())], names=[*batch.schema.names, "pivot", "dist", "own"])
 
-    index = stored(of_dim.mapInArrow(lambda b: measured(b, False), "code binary, ids array<long>, pivot int, dist double"), "index")
+    index = stored(of_dim.mapInArrow(tidy(lambda b: measured(b, False)), "code binary, ids array<long>, pivot int, dist double"), "index")
     ranges = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
     ranges = F.broadcast(ranges.select("pivot", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), "low", "high"))  # PIVOTS rows at most
     dealt = index.join(ranges.select("pivot", "parts"), "pivot").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
-    visits = asked.mapInArrow(lambda b: measured(b, True), "code binary, qid long, pivot int, dist double, own boolean").join(ranges, "pivot")
+    visits = asked.mapInArrow(tidy(lambda b: measured(b, True)), "code binary, qid long, pivot int, dist double, own boolean").join(ranges, "pivot")
 
     def run(visits: DataFrame) -> DataFrame:
         spread = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", "part", "qid", "code", "dist", "bound")
