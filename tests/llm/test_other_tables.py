@@ -1,5 +1,6 @@
 """Operators on embeddings and pages."""
 
+import math
 import random
 
 import duckdb
@@ -41,6 +42,7 @@ def test_top_k_with_copies_parts_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "PART_ROWS", 60)
     monkeypatch.setattr(topk, "ANNULUS_ROWS", 16)
     monkeypatch.setattr(topk, "PIVOTS", 5)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)
     r = np.random.default_rng(3)
     v = r.integers(-3, 4, (400, 6)).astype(np.float64)
     v[100:230] = v[100]  # copies
@@ -52,6 +54,20 @@ def test_top_k_with_copies_parts_and_ties(spark, monkeypatch):
     assert collected(topk.top_k(df, F.col("vec_id") % 7 == 0, 5).collect()) == want
 
 
+def test_top_k_of_large_components(spark):
+    """No finite component is too large: exact sums in 64 bits, bounds beyond them."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 3) * 10.0 ** r.integers(0, 8)]) for i in range(120)] + [(120, [9e6, 1.0, 0.0]), (121, [1e30, 0.0, 0.0]), (122, [-1e30, 2.0, 0.0])]
+    ints = [[max(-(1 << 62), min(1 << 62, math.floor(256 * x))) for x in v] for _, v in rows]
+    hold = lambda x: max(1 - (1 << 63), min((1 << 63) - 1, x))
+    want = {}
+    for i in range(0, 123, 10):
+        scores = sorted((-hold(sum(a * b for a, b in zip(ints[i], ints[j]))), j) for j in range(123) if j != i)
+        want[i] = [(j, -s) for s, j in scores[:5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert collected(topk.top_k(df, F.col("vec_id") % 10 == 0, 5).collect()) == want
+
+
 def test_top_k_cases(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, [0.5]), (6, []), (None, [1.0, 1.0]), (7, [-1.0, 0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
@@ -92,6 +108,18 @@ def test_url_rules_and_cases(spark):
     assert urlfilter.judge(rows.limit(0)).count() == 0
 
 
+def test_long_urls(spark):
+    """A megabyte, whole, with characters of every width; scores equal the plain sum."""
+    r = random.Random(4)
+    urls = ["http://a.example.com/" + "".join(r.choice("abc/-é\U0001f600Z\n") for _ in range(n)) for n in (0, 1, 5, 3000, 1_000_000)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["page_id"]: x["score"] for x in urlfilter.judge(rows).collect()}
+    w = urlfilter.weights()
+    for k, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        assert got[k] == sum(w[i] for i in urlfilter.grams(host, "/" + path)) + w[-1]
+
+
 def test_url_regression_fits_its_table():
     wrong = [u for u, label in urlfilter.LABELLED if (sum(urlfilter.weights()[i] for i in urlfilter.grams(*urlfilter._split(u))) + urlfilter.weights()[-1] > 0) != bool(label)]
     assert not wrong
@@ -158,6 +186,37 @@ def test_page_table(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) and "\n\n" not in r["text"] for r in rows)
 
 
+def test_attributes():
+    assert html._marks(' class="a b-c" data-hidden="true" title="Hidden gems"') == (("a", "b", "c"), False)
+    assert html._marks(" href=/wiki/hidden-falls") == ((), False)
+    assert html._marks(" hidden") == html._marks(' style="Display: none"') == html._marks(" aria-hidden=true") == html._marks(" class='' HIDDEN=''") == ((), True)
+    assert html._marks(' "hidden" id=x/y role = main') == (("x", "y", "main"), False)
+    page = '<main class="content"><p>Go to <a href="/wiki/hidden-falls">the falls</a> today, it is well worth the walk.</p><p title="Hidden gems">More of them can be found around here.</p></main>'
+    assert html.model().extract(page) == "Go to the falls today, it is well worth the walk.\nMore of them can be found around here."
+
+
+def test_broken_pages_take_linear_time():
+    """Unclosed quotes, tags, names and end tags of a megabyte or two."""
+    import time
+
+    pages = ["<p '" * 500_000, '<p "' * 500_000, "<a" * 500_000, "<" + "a" * 2_000_000, "<p x" * 400_000, "<b>" * 300_000 + "</i>" * 300_000, "<div>" * 200_000 + "</p>" * 200_000, "<dl>" + "<div>" * 100_000 + "<dt></dt>" * 100_000, "<!" * 500_000, "<p " + "a " * 500_000, "<p>x" * 300_000, "<p a='" + "x " * 300_000 + "<i>"]
+    for page in pages:
+        began = time.process_time()
+        html.model().extract(page)
+        assert time.process_time() - began < 25, page[:20]
+
+
+def test_markup_of_broken_pages_is_that_of_whole_ones():
+    """The table for broken pages gives the tags that the pattern gives."""
+    r = random.Random(8)
+    for _ in range(400):
+        page = "".join(r.choice(["<", ">", "</p>", "<p", "'", '"', "x", " ", "<!--", "-->", "<a b='", "<li>", "<b c=\"d>\">", "/>"]) for _ in range(60))
+        broken = html.Broken(page)
+        for at in range(len(page)):
+            m = html.TAG.match(page, at)
+            assert broken.tag(at) == (m and (m[1], m[2], m[3], m.end()))
+
+
 def test_page_cases(spark):
     r = random.Random(1)
     junk = ["".join(r.choice(["<", ">", "</p>", "<p", "'", '"', "&", "x", " ", "<!--", "<script>", "</", "<a b='", "<li>"]) for _ in range(40)) for _ in range(200)]

@@ -9,12 +9,14 @@ Windows of the item's size start at every word of every document.
 * CGK embedding: a walk over the window writes the word under its pointer, and a random bit of (step, word) says
   whether the pointer moves; edit distance becomes Hamming distance.
 * Bit-sampling LSH: each repetition samples SAMPLED steps of one walk; windows and items with equal samples are
-  candidates. Repetitions are added until RECALL of the items, edited at random up to the limit, are found.
+  candidates. Repetitions are added until RECALL of the items, edited at random up to the limit, are found; for
+  items of a size that MOST_REPEATS repetitions don't suffice for, all windows that the count filter leaves are candidates.
 * Verification: exact edit distance of the item to its best passage around the candidates (free ends).
 
-Words are compared lower-cased and without characters that are no letters, digits or underscores; empty ones don't
-count. Items with fewer than LEAST_WORDS words are not looked for: so short a phrase is no evidence. Items are handled
-in blocks of BLOCK_ITEMS, each broadcast (a fixed bound) and each one pass over the documents.
+Words, of items and documents alike, end at Unicode white space and are compared lower-cased and without characters
+that are no letters, digits or underscores; empty ones don't count. Items of fewer than five words allow no edit, so they
+are found where their words stand as they are; an item without words is nowhere. Items are handled in blocks of
+BLOCK_ITEMS, each broadcast (a fixed bound), PASS_BLOCKS of them in each pass over the documents.
 
 Defined cases: null text has no words; null or repeated items count as they are, each by its item_id; rows that repeat
 a document give equal rows; ties between passages go to the first; no items or no documents give no rows.
@@ -24,16 +26,17 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, slices, tidy
+from tidelog.llm.common import bounded_batches, byte_column, doc_rows, record_batch, slices, stored, tidy
 
-EDITS, LEAST_WORDS, BLOCK_ITEMS = 0.2, 5, 5000
-SAMPLED, RECALL, MOST_REPEATS, TRIALS = 2, 0.995, 96, 20
+EDITS, BLOCK_ITEMS, PASS_BLOCKS = 0.2, 5000, 4
+SAMPLED, RECALL, MOST_REPEATS, TRIAL_ITEMS, TRIALS = 2, 0.995, 96, 50, 1000
 STRETCH = 3  # steps of a walk per word
 SCAN_BYTES = 4 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edit_distance", pa.int64()), ("item_words", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
@@ -51,13 +54,15 @@ class Words(dict):
         super().__init__()
         self.known = known
 
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) > 300_000:
+    def __missing__(self, raw: str) -> int:
+        if len(self) > 200_000:
             self.clear()
-        text = raw.decode("utf-8", "replace").lower()
+        text = raw.lower()
         word = text.strip(".,;:!?*#$%&\"()")
         word = word if word.isalnum() else normal(text)
-        self[raw] = found = self.known.get(word, 0) if word else -1
+        found = self.known.get(word, 0) if word else -1
+        if len(raw) <= 64:
+            self[raw] = found
         return found
 
 
@@ -77,7 +82,8 @@ def samples(windows: np.ndarray, repeat: int) -> np.ndarray:
     """windows: rows of word ids. One row's SAMPLED symbols of the repetition's embedding."""
     n, m = windows.shape
     r = random.Random(repeat * 7919 + m)
-    chosen = sorted(r.sample(range(STRETCH * m // 2), SAMPLED))  # later steps are mostly past the end
+    steps = range(STRETCH * m // 2)  # later steps are mostly past the end
+    chosen = sorted(r.sample(steps, min(SAMPLED, len(steps))))
     padded = np.concatenate([windows, np.full((n, 1), -2, windows.dtype)], 1)
     at, rows, out = np.zeros(n, np.int64), np.arange(n), []
     for step in range(chosen[-1] + 1):
@@ -103,13 +109,15 @@ def best_passage(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 def grams(words: np.ndarray, q: int) -> np.ndarray:
     """Each q consecutive words as one number (a block's words have ids below 2^21)."""
+    if q == 1:
+        return words
     return words[:-1] << 21 | words[1:] if q == 2 else words[:-2] << 42 | words[1:-1] << 21 | words[2:]
 
 
 def needed(m: int) -> tuple[int, int]:
     """The q that the count filter uses for items of m words, and how many of their q-grams any passage keeps."""
     limit = edit_limit(m)
-    return (3, m - 2 - 3 * limit) if m - 2 - 3 * limit > 0 else (2, m - 1 - 2 * limit)
+    return next((q, m + 1 - q - q * limit) for q in (3, 2, 1) if m + 1 - q - q * limit > 0)
 
 
 class Items:
@@ -120,26 +128,29 @@ class Items:
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in rows:
             words = [w for w in map(normal, (text or "").split()) if w]
-            if len(words) >= LEAST_WORDS:
+            if words:
                 self.items.append((item_id, np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64)))
         self.sizes: dict[int, list[int]] = {}
         for k, (_, words) in enumerate(self.items):
             self.sizes.setdefault(len(words), []).append(k)
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # q: (q-grams, where each one's items begin, items)
-        for q in (2, 3):
+        for q in (1, 2, 3):
             own = [(grams(w, q), k) for k, (_, w) in enumerate(self.items) if needed(len(w))[0] == q]
             pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([g, np.full(len(g), k)], 1) for g, k in own)]), axis=0)
             known, begins = np.unique(pairs[:, 0], return_index=True)
             self.grams[q] = known, np.append(begins, len(pairs)), pairs[:, 1]
         self.keys = {m: self.repeated(m) for m in sorted(self.sizes)}
 
-    def repeated(self, m: int) -> list[np.ndarray]:
-        """The items' samples of each repetition, until randomly edited items of this size are found at the target recall."""
+    def repeated(self, m: int) -> list[np.ndarray] | None:
+        """The items' samples of each repetition, until randomly edited items of this size are found at the target recall.
+
+        None if MOST_REPEATS aren't enough.
+        """
         own = np.stack([self.items[k][1] for k in self.sizes[m]])
         r = random.Random(m)
         tests, of = [], []
-        for row, words in enumerate(own[:50]):
-            for _ in range(TRIALS):
+        for row, words in enumerate(own[:TRIAL_ITEMS]):
+            for _ in range(-(-TRIALS // min(TRIAL_ITEMS, len(own)))):
                 tests.append(edited(words.tolist(), edit_limit(m), r, m))
                 of.append(row)
         tests, of = np.array(tests), np.array(of)
@@ -149,8 +160,8 @@ class Items:
             out.append(keys)
             missed &= (samples(tests, repeat) != keys[of]).any(1)
             if missed.mean() <= 1 - RECALL:
-                break
-        return out
+                return out
+        return None
 
 
 def edited(words: list[int], edits: int, r: random.Random, size: int) -> list[int]:
@@ -178,8 +189,9 @@ def near_items(flat: np.ndarray, ends: np.ndarray, items: Items) -> dict[int, np
         at = np.flatnonzero(ours)
         if not len(at) or not len(known):
             continue
-        own = flat[at] << 21 | flat[at + 1]
-        own = own if q == 2 else own << 21 | flat[at + 2]
+        own = flat[at]
+        for k in range(1, q):
+            own = own << 21 | flat[at + k]
         gram = np.minimum(np.searchsorted(known, own), len(known) - 1)
         hit = known[gram] == own
         at, gram = at[hit], gram[hit]
@@ -209,7 +221,7 @@ def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
     """Per contaminated row and item: the row's number, then what contaminated() returns."""
     ids, owner, sizes = [], [], []
     for text in byte_column(batch, "text"):
-        own = [i for i in [words[w] for w in text.split()] if i >= 0]
+        own = [i for i in [words[w] for w in text.decode("utf-8", "replace").split()] if i >= 0]
         sizes.append(len(own))
         ids.append(np.array(own, np.int64))
     flat = np.concatenate([np.zeros(0, np.int64), *ids])
@@ -222,6 +234,11 @@ def scan(batch: pa.RecordBatch, items: Items, words: Words) -> list[tuple]:
     near = near_items(flat, ends, items)
     for m, keys in items.keys.items():
         mine = [(k, row, near[k]) for row, k in enumerate(items.sizes[m]) if k in near]
+        if keys is None:
+            for k, _, at in mine:
+                for i, o in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist()):
+                    found.setdefault((o, k), []).append(i)
+            continue
         if not mine:
             continue
         starts = np.unique(np.concatenate([x for _, _, x in mine]))
@@ -262,17 +279,24 @@ def _blocks(benchmark: DataFrame):
         yield benchmark.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
 
 
+def _passes(benchmark: DataFrame):
+    """PASS_BLOCKS blocks at a time."""
+    blocks = _blocks(benchmark)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        yield some
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edit_distance, item_words, start_word and end_word of every contaminated document and item."""
     out = None
-    for shared in _blocks(benchmark):
+    for shared in _passes(benchmark):
 
         def run(batches, shared=shared):
-            items = shared.value
-            words = Words(items.known)
+            every = [(x.value, Words(x.value.known)) for x in shared]
             for batch in slices(batches, "text", SCAN_BYTES):
-                found = scan(batch, items, words)
-                yield record_batch(_OUT, [[r[k] for r in found] for k in range(1, 7)])
+                for items, words in every:
+                    found = scan(batch, items, words)
+                    yield record_batch(_OUT, [[r[k] for r in found] for k in range(1, 7)])
 
         found = doc_rows(docs).mapInArrow(tidy(run), "doc_id long, item_id long, edit_distance long, item_words long, start_word long, end_word long")
         out = found if out is None else out.union(found)
@@ -280,15 +304,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; no row is moved."""
-    for shared in _blocks(benchmark):
+    """docs without contaminated documents; no row is moved. After each pass but the last, what is left is written."""
+    bounded_batches(docs.sparkSession)
+    before = []
+    for shared in _passes(benchmark):
+        if before:
+            docs = stored(docs, "clean")
+            for x in before:
+                x.destroy()
 
         def run(batches, shared=shared):
-            items = shared.value
-            words = Words(items.known)
+            every = [(x.value, Words(x.value.known)) for x in shared]
             for batch in slices(batches, "text", SCAN_BYTES):
-                out = {r[0] for r in scan(batch, items, words)}
-                yield batch.filter(pa.array([k not in out for k in range(batch.num_rows)])) if out else batch
+                for items, words in every:
+                    out = {r[0] for r in scan(batch, items, words)}
+                    batch = batch.filter(pa.array([k not in out for k in range(batch.num_rows)])) if out else batch
+                yield batch
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+        docs, before = docs.mapInArrow(tidy(run), docs.schema), shared
     return docs

@@ -20,7 +20,9 @@ import html as references
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -36,8 +38,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "input", "embed"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>a-zA-Z][^>]*>?|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: What no element holds: comments, declarations, instructions and end tags without a name.
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>a-zA-Z][^>]*+>?|<![^>]*+>?|<\?[^>]*+>?", re.S)
+#: Possessive throughout: a tag that doesn't end fails at once, after one look at what follows.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+ATTRIBUTE = re.compile(r"\"[^\"]*+\"|'[^']*+'|([^\s\"'=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -56,7 +61,7 @@ def _marks(raw: str) -> tuple[tuple, bool]:
     found, hidden = [], False
     if raw and not raw.isspace():
         for name, value in ATTRIBUTE.findall(raw):
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, value = name.lower(), value[:1] in ("'", '"') and value[1:-1].lower() or value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
             elif name in ("class", "id", "role"):
@@ -64,11 +69,89 @@ def _marks(raw: str) -> tuple[tuple, bool]:
     return tuple(found), hidden
 
 
+class Broken:
+    """The tags of a page that has an unclosed one, each found in a time that doesn't grow with what follows.
+
+    A tag ends at the first ``>`` outside quotes. What that is for each quote and ``>`` follows from the next ones, so
+    one pass from the page's end knows it for all.
+    """
+
+    NAME = re.compile(r"<(/?)([a-zA-Z])")
+    NAME_END = re.compile(r"[\s/>]")
+
+    def __init__(self, page: str):
+        self.page, self.name = page, (0, 0)
+        self.marks = [m.start() for m in re.finditer(r"[\"'>]", page)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        following = {}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[i]]
+            if c == ">":
+                self.ends[i] = self.marks[i]
+            else:
+                j = following.get(c)
+                self.ends[i] = -1 if j is None else self.ends[j + 1]
+                following[c] = i
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        m = self.NAME.match(self.page, at)
+        if not m:
+            return None
+        if not self.name[0] <= m.end() <= self.name[1]:
+            found = self.NAME_END.search(self.page, m.end())
+            self.name = m.end(), found.start() if found else len(self.page)
+        stop = self.name[1]
+        end = self.ends[bisect_left(self.marks, stop)]
+        return None if end < 0 else (m[1], self.page[m.start(2) : stop], self.page[stop:end], end + 1)
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, "/" of an end tag, name and attributes of each piece of markup; comments and the like have no name."""
+    at, broken = page.find("<"), None
+    while at >= 0:
+        if m := OTHER.match(page, at):
+            found = "", "", "", m.end()
+        elif broken:
+            found = broken.tag(at)
+        elif m := TAG.match(page, at):
+            found = m[1], m[2], m[3], m.end()
+        else:
+            found = None
+            if Broken.NAME.match(page, at):
+                broken = Broken(page)
+        if found:
+            at_end = yield (at, found[3], *found[:3])
+            at = page.find("<", max(found[3], at_end or 0))
+        else:
+            at = page.find("<", at + 1)
+
+
+class Open:
+    """The open elements, and where those of each tag are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.where = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.where[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, n: int) -> None:
+        """Closes all but the first n."""
+        while len(self.nodes) > n:
+            self.where[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Where the innermost of these tags is, 0 if none is open."""
+        return max((self.where[t][-1] for t in tags if self.where[t]), default=0)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block nodes, parents first, and the text runs (blocks) in page order."""
     root = Node("html", None, (), False)
-    nodes, stack, blocks = [root], [root], []
-    inline: list[tuple[str, bool]] = []  # open inline elements, and whether they are silent
+    nodes, blocks, open_ = [root], [], Open(root)
+    stack = open_.nodes
+    inline: dict[str, list[bool]] = defaultdict(list)  # open inline elements by tag: whether each is silent
     links = mute = 0
     run: list[str] = []
 
@@ -88,80 +171,67 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 stack[-1].linked += n
 
     at, end = 0, len(page)
-    while at < end:
-        m = PIECE.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if not tag:
-            continue
+    pieces = markup(page)
+    piece = next(pieces, None)
+    while piece:
+        start, stop, ending, tag, raw = piece
+        text(page[at:start])
+        at, skip = stop, None
         tag = tag.lower()
-        if m[1]:
+        if not tag:
+            pass
+        elif ending:
             if tag in INLINE:
-                for i in range(len(inline) - 1, -1, -1):
-                    if inline[i][0] == tag:
-                        _, silent = inline.pop(i)
-                        mute -= silent
-                        links -= tag == "a"
-                        break
-            elif any(x.tag == tag for x in stack[1:]):
+                if inline[tag]:
+                    mute -= inline[tag].pop()
+                    links -= tag == "a"
+            elif open_.where[tag]:
                 flush()
-                while stack.pop().tag != tag:
-                    pass
+                open_.cut(open_.where[tag][-1])
                 inline.clear()
                 links = mute = 0
-            continue
-        if tag == "br":
+        elif tag == "br":
             text(" ")
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 flush()
-            continue
-        closed = m[3].rstrip().endswith("/") and tag not in ("p", "div", "a", "li")
-        if tag in INLINE:
-            _, hidden = _marks(m[3])
-            if not closed:
-                inline.append((tag, hidden))
+        elif tag in INLINE:
+            if not raw.rstrip().endswith("/") or tag == "a":
+                _, hidden = _marks(raw)
+                inline[tag].append(hidden)
                 mute += hidden
                 links += tag == "a"
-            continue
-        if tag in ("html", "body"):
+        elif tag in ("html", "body"):
             flush()
-            marks, _ = _marks(m[3])
             if tag == "body":
                 while stack[-1].tag == "head":
-                    stack.pop()
-            continue
-        flush()
-        if tag == "p" or tag not in CLOSES:  # a block ends an open paragraph
-            if stack[-1].tag == "p":
-                stack.pop()
-        elif tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SCOPE[tag]:
-                    break
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-        if inline:  # inline elements end with their block, so a lost end tag reaches no further
-            links = mute = 0
-            inline.clear()
-        marks, hidden = _marks(m[3])
-        node = Node(tag, stack[-1], marks, stack[-1].silent or hidden or tag in SILENT)
-        nodes.append(node)
-        stack.append(node)
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = stop.start() if stop else end
-            if not stop:
-                break
-        if closed:
-            stack.pop()
+                    open_.cut(len(stack) - 1)
+        else:
+            flush()
+            if tag not in CLOSES:  # a block ends an open paragraph
+                if stack[-1].tag == "p":
+                    open_.cut(len(stack) - 1)
+            else:
+                before = open_.last(CLOSES[tag])
+                if before > open_.last(SCOPE[tag]):
+                    open_.cut(before)
+            if links or mute or inline:  # inline elements end with their block, so a lost end tag reaches no further
+                links = mute = 0
+                inline.clear()
+            marks, hidden = _marks(raw)
+            node = Node(tag, stack[-1], marks, stack[-1].silent or hidden or tag in SILENT)
+            nodes.append(node)
+            open_.push(node)
+            if tag in RAW:
+                found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+                at = skip = found.start() if found else end
+            if raw.rstrip().endswith("/") and tag not in ("p", "div", "li"):
+                open_.cut(len(stack) - 1)
+        try:
+            piece = pieces.send(skip)
+        except StopIteration:
+            piece = None
+    text(page[at:])
     flush()
     return nodes, blocks
 

@@ -34,8 +34,8 @@ from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_part
 CLASSES, CLASS_WORDS, HIDDEN = 32, 48, 8
 WORDS = (CLASSES - 1) * CLASS_WORDS
 HEAD = 1 << 18
-STEPS, LANES, PIECE, RATE, WARM, PART = 24, 256, 512, 0.01, 8, 1 << 13
-TRAIN_BYTES = 1 << 20
+STEPS, LANES, PIECE, RATE, WARM, PART = 16, 1024, 512, 0.01, 8, 1 << 13
+TRAIN_BYTES = 4 << 20
 #: The rounds' bounds: each reads a share of all training documents, and together they read every one once.
 ROUNDS = (0, 1, 3, 7, 15, 32)
 FIXED_POINT = 1 << 14
@@ -279,7 +279,7 @@ def learn(adam: Adam, flat: np.ndarray, sizes: np.ndarray) -> None:
     starts = np.repeat(ends - sizes, pieces) + number * PIECE
     long = np.minimum(PIECE, np.repeat(ends, pieces) - starts)
     heads = np.where(number > 0, flat.take(starts - 1, mode="wrap"), WORDS + 1) if len(starts) else starts
-    for mine in batches_of(long, min(LANES, max(1, math.isqrt(len(flat) // STEPS)))):
+    for mine in batches_of(long, min(LANES, max(1, math.isqrt(4 * len(flat) // STEPS)))):
         h, size = np.zeros((HIDDEN, len(mine)), np.float32), long[mine]
         for low in range(0, size[0], STEPS):
             high = min(low + STEPS, size[0])

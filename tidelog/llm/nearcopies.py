@@ -45,7 +45,6 @@ FACTORS = _RANDOM.integers(0, 1 << 64, WIDTH // 8, np.uint64) | np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 64, WIDTH // 8, np.uint64)
 PLACES = _RANDOM.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 TRIPLES = np.concatenate([_RANDOM.permutation(WIDTH) for _ in range(3 * TRIPLES_ALL // WIDTH)]).reshape(-1, 3)
-LOW_BITS = np.uint64(0x0101010101010101)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,16 +53,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, known: dict) -> np.ndarray:
-    """Sorted distinct 64-bit names of the shingles. known: names of words, filled here."""
+class Names(dict):
+    """Word -> its 64-bit name. Emptied when it has WORDS_KEPT."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        name = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= 64:
+            self[word] = name
+        return name
+
+
+def shingles(text: bytes, known: Names) -> np.ndarray:
+    """Sorted distinct 64-bit names of the shingles."""
     words = text.lower().split()
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
@@ -74,14 +80,13 @@ def shingles(text: bytes, known: dict) -> np.ndarray:
 
 def wide(found: np.ndarray) -> bytes:
     """The SimHash of WIDTH bytes: a bit is 1 if set in over half of the shingles' hashes."""
-    counts = np.zeros((8, WIDTH), np.int64)
+    counts = np.zeros(WIDTH * 8, np.int64)
     for at in range(0, len(found), ROWS_AT_ONCE):  # so many that a byte can count them
         x = (found[at : at + ROWS_AT_ONCE, None] ^ MASKS) * FACTORS
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9FB21C651E98DF25)
-        for j in range(8):
-            counts[j] += ((x >> np.uint64(j)) & LOW_BITS).view(np.uint8).sum(0, dtype=np.uint8)
-    return ((counts * 2 > len(found)) << np.arange(8)[:, None]).sum(0).astype(np.uint8).tobytes()
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), 0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(found), bitorder="little").tobytes()
 
 
 def _name(found: np.ndarray) -> int:
@@ -93,7 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
-        known: dict = {}
+        known = Names()
         for batch in slices(batches, "text"):
             sets = [shingles(x, known) for x in byte_column(batch, "text")]
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
@@ -193,7 +198,7 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     out = pa.schema([("fp", pa.int64()), ("bytes", pa.binary()), ("found", pa.binary())])
 
     def run(batches):
-        known: dict = {}
+        known = Names()
         for batch in slices(batches, "text"):
             each = [shingles(x, known) for x in byte_column(batch, "text")]
             names = np.array([_name(s) for s in each], np.uint64).view(np.int64)

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import record_batch, stored, tidy
+from tidelog.llm.common import record_batch, shuffle_partitions, stored, tidy
 from tidelog.llm.repeats import Spec, keyed, repeats, span
 
 LENGTH, ANCHOR, TILE = 50, 16, 25
-#: Text of one bucket, about; its automaton has a part of that.
+#: Text of one bucket, about; its automaton has a part of that. A task has its buckets one after the other.
 BUCKET_BYTES = 4 << 20
+#: Routes that one row of an owner has, about; an owner with more has its text in so many rows, dealt over the tasks.
+ROUTES = 1 << 12
 
 
 def word_symbols(text: bytes) -> np.ndarray:
@@ -140,8 +142,12 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("did"), F.lit(buckets))
     found = repeats(SPEC, rows)
     routes = found.select(bucket.alias("bucket"), F.col("odid").alias("did"), F.col("otag").alias("tag"), "oat").distinct()
-    routes = stored(routes, "routes").groupBy("did", "tag").agg(F.collect_list(F.struct("bucket", "oat")).alias("routes"))
-    passages = rows.join(routes, ["did", "tag"]).select("did", "text", "routes").mapInArrow(tidy(_passages), "bucket long, did long, passage binary")
+    routes = stored(routes, "routes")
+    owners = routes.groupBy("did", "tag").agg(F.ceil(F.count("*") / ROUTES).cast("int").alias("parts"))
+    part = F.pmod("bucket", F.col("parts")).cast("int")
+    routes = routes.join(owners, ["did", "tag"]).withColumn("part", part).groupBy("did", "tag", "part").agg(F.collect_list(F.struct("bucket", "oat")).alias("routes"))
+    texts = rows.select("did", "tag", "text").join(owners, ["did", "tag"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    passages = texts.join(routes, ["did", "tag", "part"]).select("did", "text", "routes").mapInArrow(tidy(_passages), "bucket long, did long, passage binary")
     passages = passages.groupBy("bucket", "passage").agg(F.min("did").alias("did"))
     nothing = F.lit(None).cast("long")
     both = passages.select("bucket", F.lit(0).alias("kind"), "did", nothing.alias("doc_id"), "passage").union(rows.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "did", "doc_id", F.col("text").cast("binary")))
@@ -163,5 +169,5 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 kept.append((doc_id, len(words), n, b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n else words)))
             yield record_batch(out, [[x[k] for x in kept] for k in range(4)])
 
-    dealt = both.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = both.repartition(shuffle_partitions(docs), "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(tidy(stream), "doc_id long, n_words long, n_removed long, kept binary")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, slices, stored, tidy
+from tidelog.llm.common import bounded_batches, byte_column, slices, stored, tidy
 
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Rows that a task gathers before it resolves among them and sends the rest.
@@ -420,6 +420,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     tag tells documents that repeat an id apart: a hash of the text where the id may be repeated (by a bitmap of
     SLOTS hashed ids that are, so its size is bounded), else 0.
     """
+    bounded_batches(docs.sparkSession)
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     slot = F.pmod(F.xxhash64("did"), F.lit(SLOTS)).cast("int")
     rows = docs.withColumns({"did": did, "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
@@ -432,7 +433,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(spec: Spec, rows: DataFrame) -> DataFrame:
-    """rows: keyed(). Resolved places of all documents: did, tag, at, and the owners' if asked for."""
+    """rows: keyed(). Resolved places of all documents: did, tag, at, and the owners' if asked for.
+
+    Rows that repeat an id and its text have one set of places between them, which each of them gets.
+    """
     text = rows.select("did", "tag", "text")
 
     def sort(df: DataFrame) -> DataFrame:
@@ -440,11 +444,11 @@ def repeats(spec: Spec, rows: DataFrame) -> DataFrame:
 
     found = text.mapInArrow(tidy(lambda b: anchor_rows(spec, b)), spec.schema)
     runs = stored(sort(found).mapInArrow(tidy(lambda b: resolved(spec, b, True)), spec.schema).select(*spec.place, "state"), "runs")
-    open_ = runs.filter(F.col("state") == OPEN).groupBy("did", "tag").agg(F.collect_list("at").alias("places"))
+    open_ = runs.filter(F.col("state") == OPEN).groupBy("did", "tag").agg(F.collect_set("at").alias("places"))
     # all columns of rows: then these joins and one of the caller's on the same keys share the texts' exchange
     halves = rows.join(open_, ["did", "tag"]).mapInArrow(tidy(lambda b: side_rows(spec, b)), spec.schema)
     halves = halves.repartition("h").sortWithinPartitions("h", "did", "at").mapInArrow(tidy(lambda b: shared_sides(spec, b)), spec.schema)
-    sides = halves.groupBy("did", "tag").agg(F.collect_list("at").alias("sides"))
+    sides = halves.groupBy("did", "tag").agg(F.collect_set("at").alias("sides"))
     windows = rows.join(sides, ["did", "tag"]).mapInArrow(tidy(lambda b: window_rows(spec, b)), spec.schema)
     single = sort(windows).mapInArrow(tidy(lambda b: resolved(spec, b, False)), spec.schema)
     return runs.filter(F.col("state") == RESOLVED).select(*spec.place).union(single.filter(F.col("state") == RESOLVED).select(*spec.place))

@@ -43,7 +43,7 @@ def remove_repeats(docs: DataFrame, *more: str) -> DataFrame:
     kept_text() gives it as a string.
     """
     rows = keyed(docs.select("doc_id", "text", *more))
-    found = repeats(SPEC, rows).groupBy("did", "tag").agg(F.collect_list("at").alias("places"))
+    found = repeats(SPEC, rows).groupBy("did", "tag").agg(F.collect_set("at").alias("places"))
     joined = rows.join(found, ["did", "tag"], "left").select("doc_id", "text", "places", *more)
     base = joined.drop("text", "places")
     schema = base.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), *more).schema

@@ -6,40 +6,45 @@ it. A query first searches its own pivot's vectors, which bounds its k-th distan
 whose annuli that bound can reach, |d(q,p) - d(v,p)| <= d(q,v), in sorted annuli, and stops in each where the
 triangle inequality says that nothing closer can follow. Scores are integers, computed exactly.
 
-Pivots are picked farthest first from SAMPLE vectors, a documented bound; all vectors are indexed, and the search
-is exact for any pivots. A pivot's vectors are dealt into parts of about PART_ROWS. Copies of a vector are searched
-as one row with its k + 1 smallest ids; equal queries are searched once.
-
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do those with a component
-of 2^23 or more (256 x leaves 32 bits) and those without id; a vector is compared with vectors of its own length;
-rows that repeat id and vector count once; ties go to the smaller id; an empty table gives an empty table.
+Pivots are picked farthest first from SAMPLE vectors, a documented bound, more for larger tables (PIVOTS to
+MOST_PIVOTS); all vectors are indexed, and the search is exact for any pivots. A pivot's vectors are dealt into parts
+of about PART_ROWS and its queries into blocks of about QUERY_ROWS, and each part meets each block in a task of its own.
+Copies of a vector are searched as one row with its k + 1 smallest ids; equal queries are searched once.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do those without id; of
+finite components none is too large: integers beyond 2^62 and scores beyond a long's range stand at that bound; a vector is
+compared with vectors of its own length; rows that repeat id and vector count once; ties go to the smaller id; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import record_batch, stored, tidy
+from tidelog.llm.common import bounded_batches, record_batch, stored, tidy
 
-SCALE, SAMPLE, PIVOTS, PART_ROWS, ANNULUS_ROWS = 256, 2048, 32, 1 << 15, 512
-EXACT = 1 << 20  # below it, sums of 2^12 products are exact in doubles
+SCALE, SAMPLE, PIVOTS, MOST_PIVOTS, PART_ROWS, QUERY_ROWS, ANNULUS_ROWS = 256, 2048, 32, 512, 1 << 15, 1 << 13, 512
+LARGEST, MOST_SCORE = float(1 << 62), (1 << 63) - 1
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and code: the vector's integers as little-endian 32-bit binary, each pair once."""
+    """vec_id and code: the vector's integers as little-endian 64-bit binary, each pair once."""
+    bounded_batches(rows.sparkSession)
     x = F.transform("embedding", lambda x: x.cast("double"))
-    ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < (1 << 23), F.lit(False)))
-    ints = rows.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(y * SCALE).cast("int")).alias("v"))
+    ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
+    ints = rows.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda y: F.floor(F.greatest(F.least(y * SCALE, F.lit(LARGEST)), F.lit(-LARGEST)))).alias("v"))
     out = pa.schema([("vec_id", pa.int64()), ("code", pa.binary())])
 
     def pack(batches):
         for batch in batches:
             v = batch.column("v")
-            flat, n = v.flatten().to_numpy().astype("<i4"), np.cumsum([0, *pa.compute.list_value_length(v).to_pylist()])
+            flat, n = v.flatten().to_numpy().astype("<i8"), np.cumsum([0, *pa.compute.list_value_length(v).to_pylist()])
             yield record_batch(out, [batch.column("vec_id"), [flat[a:b].tobytes() for a, b in zip(n, n[1:])]])
 
     return ints.mapInArrow(tidy(pack), "vec_id long, code binary").dropDuplicates(["code", "vec_id"])
@@ -47,41 +52,55 @@ def integer_vectors(rows: DataFrame) -> DataFrame:
 
 def matrix(codes) -> np.ndarray:
     """Rows of integers from codes of one length."""
-    return np.frombuffer(b"".join(codes), "<i4").reshape(len(codes), -1).astype(np.int64)
+    return np.frombuffer(b"".join(codes), "<i8").reshape(len(codes), -1)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < EXACT and a.shape[1] <= 1 << 12:
+    """Inner products, exact: in doubles where every sum stays below 2^53, in 64 bits below 2^63, else in whole numbers of any size."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 1 << 63:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -MOST_SCORE, MOST_SCORE).astype(np.int64)
+
+
+def squares(v: np.ndarray) -> np.ndarray:
+    return (v.astype(np.float64) ** 2).sum(1)
 
 
-def pick_pivots(codes: list[bytes]) -> list[bytes]:
+def pick_pivots(codes: list[bytes], most: int) -> list[bytes]:
     """Farthest first among the sample; equal vectors are picked once."""
     v = matrix(codes).astype(np.float64)
     found, far = [0], ((v - v[0]) ** 2).sum(1)
-    while len(found) < min(PIVOTS, len(v)) and far.max() > 0:
+    while len(found) < min(most, len(v)) and far.max() > 0:
         found.append(int(far.argmax()))
         far = np.minimum(far, ((v - v[found[-1]]) ** 2).sum(1))
     return [codes[i] for i in found]
 
 
 class Space:
-    """Distances to the pivots among lifted vectors of one length."""
+    """Distances to the pivots among lifted vectors of one length. Doubles: SLACK covers what they round."""
 
-    def __init__(self, pivots: list[bytes], longest: int):
+    def __init__(self, pivots: list[bytes], longest: float):
         self.p = matrix(pivots)
-        self.longest = float(longest)
-        self.lift = np.sqrt(np.maximum(self.longest - (self.p.astype(np.float64) ** 2).sum(1), 0))
+        self.longest = longest
+        self.lift = np.sqrt(np.maximum(self.longest - squares(self.p), 0))
 
     def distances(self, v: np.ndarray) -> np.ndarray:
-        lift = np.sqrt(np.maximum(self.longest - (v.astype(np.float64) ** 2).sum(1), 0))
-        inner = products(v, self.p) + lift[:, None] * self.lift
+        lift = np.sqrt(np.maximum(self.longest - squares(v), 0))
+        inner = v.astype(np.float64) @ self.p.T.astype(np.float64) + lift[:, None] * self.lift
         return np.sqrt(np.maximum(2 * self.longest - 2 * inner, 0))
 
     def reach(self, score: np.ndarray) -> np.ndarray:
         """The distance of a score, a little more for rounding."""
-        return np.sqrt(np.maximum(2 * self.longest - 2 * score.astype(np.float64), 0)) * (1 + 1e-9) + 1e-3 * max(1.0, self.longest**0.25)
+        found = np.sqrt(np.maximum(2 * self.longest - 2 * score.astype(np.float64), 0)) + slack(self.longest)
+        return np.where(score <= -MOST_SCORE, np.inf, found)
+
+
+def slack(longest: float) -> float:
+    """Rounding moves a squared distance by 1e-7 of the largest norm's square at most, a distance by the root of that."""
+    return 1e-3 * max(1.0, math.sqrt(longest))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -155,7 +174,8 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     for dim in dims:  # one, unless vectors differ in length
         of_dim = distinct.filter(F.octet_length("code") == dim)
         sample = [bytes(r["code"]) for r in of_dim.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).collect()]
-        spaces[dim] = (pick_pivots(sample) if dim else [b""], _longest(of_dim))
+        most = max(PIVOTS, min(MOST_PIVOTS, math.isqrt(of_dim.count()) // 16))
+        spaces[dim] = (pick_pivots(sample, most) if dim else [b""], _longest(of_dim))
         out = out.union(_search(of_dim, asked.filter(F.octet_length("code") == dim), spaces[dim], k + 1))
     found = out.dropDuplicates(["qid", "vec_id", "score"])
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k + 1)
@@ -166,13 +186,15 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     return kept.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _longest(of_dim: DataFrame) -> int:
+def _longest(of_dim: DataFrame) -> float:
+    """The largest square of a norm, rounded up."""
+
     def norm(batches):
         for batch in batches:
             v = matrix([x or b"" for x in batch.column("code").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([int((v * v).sum(1).max(initial=0))], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(squares(v).max(initial=0)) * (1 + 1e-12)], pa.float64())], names=["n"])
 
-    return of_dim.select("code").mapInArrow(tidy(norm), "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return of_dim.select("code").mapInArrow(tidy(norm), "n double").agg(F.coalesce(F.max("n"), F.lit(0.0))).first()[0]
 
 
 def _search(of_dim: DataFrame, asked: DataFrame, of_space: tuple, k: int) -> DataFrame:
@@ -195,19 +217,23 @@ def _search(of_dim: DataFrame, asked: DataFrame, of_space: tuple, k: int) -> Dat
     ranges = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
     ranges = F.broadcast(ranges.select("pivot", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), "low", "high"))  # PIVOTS rows at most
     dealt = index.join(ranges.select("pivot", "parts"), "pivot").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
-    visits = asked.mapInArrow(tidy(lambda b: measured(b, True)), "code binary, qid long, pivot int, dist double, own boolean").join(ranges, "pivot")
+    measure = tidy(lambda b: measured(b, True))
+    visits = stored(asked.mapInArrow(measure, "code binary, qid long, pivot int, dist double, own boolean"), "visits").join(ranges, "pivot")
 
     def run(visits: DataFrame) -> DataFrame:
-        spread = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", "part", "qid", "code", "dist", "bound")
+        blocks = F.broadcast(visits.groupBy("pivot").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks")))  # PIVOTS rows at most
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        spread = visits.join(blocks, "pivot").withColumn("part", every("parts")).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+        spread = spread.select("pivot", "part", "block", "qid", "code", "dist", "bound")
+        held = dealt.join(blocks, "pivot").withColumn("block", every("blocks")).select("pivot", "part", "block", "code", "ids", "dist")
         search = lambda key, v, q: search_part(v, q, Space(*shared.value), k)
-        return dealt.groupBy("pivot", "part").cogroup(spread.groupBy("pivot", "part")).applyInPandas(search, "qid long, vec_id long, score long")
+        return held.groupBy("pivot", "part", "block").cogroup(spread.groupBy("pivot", "part", "block")).applyInPandas(search, "qid long, vec_id long, score long")
 
     first = stored(run(visits.filter("own").withColumn("bound", F.lit(None).cast("long"))), "first")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     bound = first.withColumn("r", rank).filter(F.col("r") == k).select("qid", F.col("score").alias("bound"))
     longest = float(of_space[1])
-    slack = 1e-3 * max(1.0, longest**0.25)
     far = F.greatest(F.lit(0.0), F.col("low") - F.col("dist"), F.col("dist") - F.col("high"))
-    reach = F.sqrt(F.greatest(F.lit(2 * longest) - 2 * F.col("bound").cast("double"), F.lit(0.0))) * (1 + 1e-9) + slack
-    rest = visits.filter("not own").join(bound, "qid", "left").filter(F.col("bound").isNull() | (far <= reach))
+    reach = F.sqrt(F.greatest(F.lit(2 * longest) - 2 * F.col("bound").cast("double"), F.lit(0.0))) + F.lit(slack(longest))
+    rest = visits.filter("not own").join(bound, "qid", "left").filter(F.col("bound").isNull() | (F.col("bound") <= -MOST_SCORE) | (far <= reach))
     return first.union(run(rest))

@@ -5,7 +5,8 @@ URLs in this module, and its weights (BUCKETS integers, a fixed size) go into th
 are rounded to integers, so a sum doesn't depend on its order.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; no rule fits it and the method judges the
-empty string. Rows are independent of each other, so ties, repeats and clashing extra columns have no effect.
+empty string. Rows are independent of each other, so ties, repeats and clashing extra columns have no effect. Long URLs are
+judged whole, in a time that grows with their length.
 """
 
 from __future__ import annotations
@@ -76,13 +77,15 @@ def score(host: Column, path: Column) -> Column:
     """The regression's integer score; above zero means block."""
     text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
     table = F.array(*[F.lit(x).cast("long") for x in weights()[:BUCKETS]])
-
-    def total(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        slot = lambda i: F.conv(F.substring(F.md5(F.substring(text, i, F.lit(n)).cast("binary")), 1, 4), 16, 10).cast("int") % BUCKETS
-        return F.aggregate(starts, F.lit(0).cast("long"), lambda acc, i: acc + F.element_at(table, slot(i) + 1))
-
-    return sum((total(n) for n in SIZES), F.lit(weights()[BUCKETS]).cast("long"))
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))  # split once: a substring's cost grows with its place
+    shifted = lambda k: F.slice(letters, F.lit(k + 1), F.size(letters))
+    joined, total = letters, F.lit(weights()[BUCKETS]).cast("long")
+    for n in range(2, max(SIZES) + 1):  # neighbours are joined; what reaches past the end is null
+        joined = F.zip_with(joined, shifted(n - 1), lambda a, b: F.concat(a, b))
+        if n in SIZES:
+            slot = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 4), 16, 10).cast("int") % BUCKETS
+            total = total + F.aggregate(joined, F.lit(0).cast("long"), lambda acc, g: acc + F.when(g.isNull(), F.lit(0).cast("long")).otherwise(F.element_at(table, slot(g) + 1)))
+    return total
 
 
 def judge(pages: DataFrame) -> DataFrame:
