@@ -2,7 +2,10 @@
 
 import datetime as dt
 import hashlib
+import ipaddress
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,13 +24,21 @@ def fnv(raw: bytes) -> int:
 
 def test_key_hash(spark):
     keys = [*KEYS, "", "x" * 300, "日本" * 40]
-    rows = spark.createDataFrame([(k,) for k in keys], "key string").select("key", hashing.fnv1a(F.col("key")).alias("h"), *[hashing.partition_for(F.col("key"), n).alias(f"p{n}") for n in (1, 2, 4, 7, 256)]).collect()
+    rows = spark.createDataFrame([(k,) for k in keys], "key string").select("key", *[hashing.partition_for(F.col("key"), n).alias(f"p{n}") for n in (1, 2, 4, 7, 256)]).collect()
     for r in rows:
         want = fnv(r["key"].encode())
-        assert KEYS.get(r["key"], want) == want == (r["h"]["hi"] << 32) + r["h"]["lo"]
+        assert KEYS.get(r["key"], want) == want
         assert [r[f"p{n}"] for n in (1, 2, 4, 7, 256)] == [want % n for n in (1, 2, 4, 7, 256)]
 
 
+def test_key_hash_of_arrays():
+    """Nulls, slices, empty arrays and keys of very different lengths."""
+    keys = [None, "", "a", "日本", None, "x" * 5000, "b" * 3, "é"]
+    for low, high in ((0, 8), (2, 6), (3, 3), (0, 2)):
+        got = hashing.fnv1a(pa.array(keys, pa.string())[low:high])
+        assert got.tolist() == [fnv((k or "").encode()) for k in keys[low:high]]
+
+
 def test_acceptance_keys_are_even(spark):
     rows = spark.range(10_000).select(hashing.partition_for(F.concat(F.lit("customer_"), F.col("id") % 500), 4).alias("p")).groupBy("p").count().collect()
     assert {r["p"]: r["count"] for r in rows} == dict.fromkeys(range(4), 2500)
@@ -85,11 +96,40 @@ def test_addresses_and_urls(spark):
     rows = spark.createDataFrame([(x,) for x in cases], "ip string").select("ip", policy.is_public_ip("ip").alias("ok"), policy.public_ipv4(F.col("ip")).alias("four")).collect()
     assert {r["ip"]: r["ok"] for r in rows} == cases
     assert all(r["four"] == r["ok"] for r in rows if "." in r["ip"] and ":" not in r["ip"])
-    urls = {"https://a.example/x": None, "http://a.example": "scheme", "https://127.0.0.1/": "address", "https://u:p@a.example": "credentials", "https://a.example:8080": "port", "https://a.example:443/": None, "https://a.example/#f": "fragment", "https://a.example/" + "x" * 2048: "length", None: "length"}
+    urls = {"https://a.example/x": None, "http://a.example": "scheme", "https://127.0.0.1/": "address", "https://u:p@a.example": "credentials", "https://a.example:8080": "port", "https://[::1]/x": "address", "https://[fd00::1]/": "address", "https://[::ffff:10.0.0.1]:443/": "address", "https://[2606:4700::1]/x": None, "https://[2606:4700::1]:80/x": "port", "https://[]/": "scheme", "https://[x]/": "address", "https://a.example:x/": "port", "https:///p": "scheme", "https://a.example:443/": None, "https://a.example/#f": "fragment", "https://a.example/" + "x" * 2048: "length", None: "length"}
     rows = spark.createDataFrame([(x,) for x in urls], "u string").select("u", policy.url_error(F.col("u")).alias("e")).collect()
     assert {r["u"]: r["e"] for r in rows} == urls
 
 
+def test_addresses_equal_the_library(spark):
+    """IPv4 and IPv6 literals of every denied range, their neighbours and random ones, against Python's own parser."""
+    r = random.Random(5)
+    four, six = set(), {"::", "::1", "1::", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "::8.8.8.8", "64:ff9b::1.2.3.4", "2606:4700::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8"}
+    for net in map(ipaddress.ip_network, policy.DENIED):
+        for n in (int(net.network_address), int(net.broadcast_address), int(net.network_address) - 1, int(net.broadcast_address) + 1):
+            if 0 <= n < 1 << net.max_prefixlen:
+                (four if net.version == 4 else six).add(str(ipaddress.ip_address(n) if net.version == 4 else ipaddress.IPv6Address(n)))
+    for _ in range(200):
+        six.add(str(ipaddress.IPv6Address(r.getrandbits(128))))
+        six.add(ipaddress.IPv6Address(r.getrandbits(128) & ~(0xFFFFFFFFFFFF << r.randrange(80))).exploded)
+        four.add(str(ipaddress.IPv4Address(r.getrandbits(32))))
+    wrong = ["", ":", ":::", "1::2::3", "12345::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "fe80::1%eth0", "::1.2.3", "::1.2.3.256", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "g::", "1:2:3:4:5:6:7::8"]
+    rows = spark.createDataFrame([(x,) for x in [*four, *six, *wrong]], "a string").select("a", policy.public_ipv4(F.col("a")).alias("four"), policy.public_ipv6(F.col("a")).alias("six"), policy.ipv6_groups(F.col("a")).alias("groups")).collect()
+    for row in rows:
+        assert row["four"] == (row["a"] in four and policy.public_address(row["a"])), row
+        assert row["six"] == (row["a"] in six and policy.public_address(row["a"])), row
+        assert (row["groups"] is not None) == (row["a"] in six), row
+        if row["a"] in six:
+            assert sum(g << (112 - 16 * i) for i, g in enumerate(row["groups"])) == int(ipaddress.IPv6Address(row["a"]))
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([("s", "secret", {"Authorization": "x", "X-A": "1"})], "id string, secret string, headers map<string,string>")
+    r = rows.select(policy.redacted(F.col("headers"), F.array(F.lit("authorization"))).alias("h")).first()
+    assert r["h"] == {"Authorization": "***", "X-A": "1"}
+    assert policy.without_secrets(rows).collect()[0].asDict() == {"id": "s", "header_names": ["Authorization", "X-A"]}
+
+
 def test_headers(spark):
     cases = [({"X-A": "1"}, None), ({f"h{i}": "" for i in range(17)}, "count"), ({"a b": "1"}, "name"), ({"a": "é"}, "value"), ({"a": "x\n"}, "value"), ({"Host": "x"}, "reserved"), (dict([(f"X-{S.PREFIX}-b", "1")]), "reserved"), ({"a": "1", "A": "2"}, "duplicate"), ({"a": "x" * 1025}, "size"), ({f"h{i}": "x" * 1000 for i in range(9)}, "total"), ({}, None)]
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h map<string,string>").select("i", policy.headers_error(F.col("h")).alias("e"), policy.header_names(F.col("h")).alias("n")).collect()

@@ -177,12 +177,15 @@ def test_fencing(spark):
 
 
 def test_delivery_state_machine(spark):
-    schema = "subscription_id string, partition int, tick long, at long, event_ids array<string>, http_status int, crash boolean, max_attempts int, delay int"
+    schema = "subscription_id string, partition int, tick long, at long, end long, http_status int, crash boolean, max_attempts int, delay int, retry_after string"
     def go(*ticks):
-        rows = [("s", 0, i, at, ["e1", "e2"], status, crash, 2, 2) for i, (at, status, crash) in enumerate(ticks)]
-        return [(r["event_id"], r["action"], r["status"], r["attempt"]) for r in delivery.run_ticks(spark.createDataFrame(rows, schema)).orderBy("tick").collect()]
+        rows = [("s", 0, i, at, 2, status, crash, 2, 2, *(wish or [None])) for i, (at, status, crash, *wish) in enumerate(ticks)]
+        return [(f"e{r['offset'] + 1}", r["action"], r["status"], r["attempt"]) for r in delivery.run_ticks(spark.createDataFrame(rows, schema)).orderBy("tick").collect()]
     assert go((0, 500, False), (1, 200, False), (2, 200, False), (3, 404, False)) == [("e1", "send", "sending", 1), ("e1", "answer", "retry", 1), ("e1", "wait", "retry", 1), ("e1", "send", "sending", 2), ("e1", "answer", "delivered", 2), ("e2", "send", "sending", 1), ("e2", "answer", "failed", 1), ("e2", "dead letter", "dlq", 1)]
     assert go((0, 200, True), (5, 200, False), (40, 500, False)) == [("e1", "send", "sending", 1), ("e1", "wait", "sending", 1), ("e1", "record", "unknown", 1), ("e1", "send", "sending", 2), ("e1", "answer", "failed", 2), ("e1", "dead letter", "dlq", 2)]
+    # a receiver's wish counts for 429 and 503, where it is later than the backoff
+    for status, wish, at, action in ((503, "60", 59, "wait"), (503, "60", 60, "send"), (429, "1", 1, "wait"), (429, "1", 2, "send"), (500, "60", 2, "send")):
+        assert go((0, status, False, wish), (at, 200, False))[2][1] == action
 
 
 def test_rate_limit_window_starts_at_first_request(spark):
@@ -191,6 +194,82 @@ def test_rate_limit_window_starts_at_first_request(spark):
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_limiter_is_bounded(spark):
+    rows = [("l", f"k{i}", float(i), i) for i in range(4)] + [("l", "k4", 10.0, 4), ("l", "k0", 11.0, 5), ("l", "k4", 63.5, 6), ("l", "k3", 63.6, 7), ("l", "k1", 63.7, 8)]
+    got = {r["seq"]: r["known"] for r in delivery.limited_keys(spark.createDataFrame(rows, "limiter string, key string, at double, seq long"), 4).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: True, 7: True, 8: True}  # at 63.5 k1 to k3 go, k0 stays
+
+
+def test_history_page_is_the_workspaces_own(spark):
+    entries = spark.createDataFrame([("s1", i) for i in range(5)] + [("s2", i) for i in range(5, 9)], "subscription_id string, cursor long")
+    subs = spark.createDataFrame([("s1", "w1"), ("s2", "w2")], "id string, workspace string")
+    page, state = delivery.workspace_page(entries, subs, "w1", "s1", 1, 2)
+    assert [r["cursor"] for r in page.collect()] == [2, 3] and tuple(state.first()) == (3, True)
+    page, state = delivery.workspace_page(entries, subs, "w1", "s2", 0, 2)
+    assert page.count() == 0 and tuple(state.first()) == (0, False)
+
+
+def test_subscription_is_initialised(spark):
+    from tidelog.functions import policy
+
+    key = bytes(range(32))
+    rows = [("a", "w", "orders", "https://a.example/x", "s" * 32, {"x-token": "t"}, 3, 2), ("b", "w", "x" * 125, "https://a.example/x", "s" * 32, {}, 3, 2), ("c", "w", "orders", "https://[::1]/", "s" * 32, {}, 3, 2)]
+    found = delivery.initialised(spark.createDataFrame(rows, "id string, workspace string, topic string, url string, secret string, headers map<string,string>, max_attempts int, delay int"), key)
+    assert "secret" not in found.columns and "headers" not in found.columns
+    plain = found.select("*", policy.decrypt(F.col("encrypted_secret"), key, "webhook-secret").alias("s"), policy.decrypt(F.col("encrypted_headers"), key, "webhook-headers").alias("h"))
+    a, b, c = plain.orderBy("id").collect()
+    assert (a["error"], a["s"], a["h"], a["header_names"], a["dlq_topic"], a["group"]) == (None, "s" * 32, '{"X-Token":"t"}', ["X-Token"], "orders.DLQ", "webhook-a")
+    assert (b["error"], c["error"]) == ("topic", "url: address") and b["encrypted_secret"] is None and c["group"] is None
+
+
+def test_group_gauges(spark):
+    bounds = spark.createDataFrame([("t", 0, 2, 10), ("t", 1, 0, 4)], "topic string, partition int, oldest long, next long")
+    committed = spark.createDataFrame([("t", 0, "g", 1), ("t", 1, "g", 4)], "topic string, partition int, group string, committed long")
+    members = spark.createDataFrame([("t", "g", "a", 50), ("t", "g", "b", 5)], "topic string, group string, member string, until long")
+    leases = spark.createDataFrame([("t", "g", 0, "a", 20), ("t", "g", 1, "b", 20), ("t", "g", 1, "a", 9)], "topic string, group string, partition int, member string, until long")
+    gauges, counts = groups.metrics(committed, bounds, members, leases, F.lit(10))
+    assert {(r["partition"], r["lag"], r["unavailable"], r["in_flight"]) for r in gauges.collect()} == {(0, 9, 1, True), (1, 0, 0, False)}
+    assert [(r["group"], r["members"]) for r in counts.collect()] == [("g", 1)]
+    with pytest.raises(Exception, match="outside the log"):
+        groups.metrics(committed.withColumn("committed", F.lit(11).cast("long")), bounds, members, leases, F.lit(10))[0].collect()
+
+
+def test_prepared_appends(spark):
+    inputs = spark.createDataFrame([("t", p, f"e{p}{i}", f"fp{i}", i) for p in (0, 1) for i in range(3)], "topic string, partition int, id string, fingerprint string, seq long")
+    bounds = spark.createDataFrame([("t", 0, 5), ("t", 1, 0)], "topic string, partition int, next long")
+    pending = replay.reserve(inputs, bounds, ["seq"])
+    assert {(r["partition"], r["id"], r["offset"]) for r in pending.collect()} == {(p, f"e{p}{i}", (5, 0)[p] + i) for p in (0, 1) for i in range(3)}
+    there = pending.filter("partition = 0 and seq < 2").select("topic", "partition", "offset", "id", "fingerprint")
+    now = spark.createDataFrame([("t", 0, 7), ("t", 1, 0)], "topic string, partition int, next long")
+    assert {(r["partition"], r["offset"]) for r in replay.append_prepared(pending, there, now).collect()} == {(0, 7), (1, 0), (1, 1), (1, 2)}
+    assert replay.complete(pending, there).count() == 4
+    with pytest.raises(Exception, match="place taken"):
+        replay.append_prepared(pending, there.withColumn("id", F.lit("x")), now).collect()
+
+
+def test_gaps_across_chunks(spark):
+    kept = [0, 1, 2, 5, 6, 9, 10, 11, 30, 31]
+    rows = spark.createDataFrame([("t", 0, o) for o in kept] + [("t", 1, 3)], "topic string, partition int, offset long")
+    for chunk in (1, 3, 10, 1000):
+        assert {(r["previous"], r["offset"]) for r in log.gaps(rows, chunk).collect()} == {(2, 5), (6, 9), (11, 30)}
+
+
+def test_request_parameters():
+    r = scan.parse_range({"partition": "1", "offset": "+5", "limit": "", "end_offset": "9", "from_time": "2024-01-01T00:00:00.123456789Z", "until_time": "2024-01-01T02:00:00+01:00", "type": "x"})
+    assert (r.partition, r.offset, r.limit, r.end, r.type, r.key) == (1, 5, 100, 9, "x", "")
+    assert r.from_time == dt.datetime(2024, 1, 1, 0, 0, 0, 123456, dt.UTC) and r.check(0, 9).end == 9
+    for bad in ({}, {"partition": "0"}, {"partition": "x", "offset": "0"}, {"partition": "0", "offset": "1.5"}, {"partition": "0", "offset": str(1 << 63)}, {"partition": "0", "offset": "0", "limit": "a"}, {"partition": "0", "offset": "0", "from_time": "2024-01-01"}, {"partition": "0", "offset": "0", "from_time": "2024-13-01T00:00:00Z"}):
+        with pytest.raises(S.Invalid) as e:
+            scan.parse_range(bad)
+        assert scan.error_status(e.value) == 400
+    with pytest.raises(S.Invalid):  # equal times, spelled apart
+        scan.Range(0, 0, from_time="2024-01-01T01:00:00Z", until_time="2024-01-01 01:00:00").check(0, 0)
+    scan.Range(0, 0, from_time="2024-01-01 02:00:00", until_time="2024-01-01T03:00:00").check(0, 0)
+    with pytest.raises(S.OutOfRange) as e:
+        scan.Range(0, 5).check(0, 4)
+    assert scan.error_status(e.value) == 416 and scan.error_status(KeyError()) == 400
+
+
 def test_history_pages(spark):
     rows = spark.createDataFrame([(i,) for i in (1, 4, 6, 9)], "cursor long")
     page, state = delivery.keyset_page(rows, "cursor", 0, 2)

@@ -86,6 +86,19 @@ def test_store(spark, tmp_path):
     assert store.topics("demo") == ["orders"] and store.topics("other") == []
 
 
+def test_a_batch_is_judged_in_its_order(spark, tmp_path):
+    """Rows of a batch have one time; of two with a key the first is accepted, whatever their ids, also against an earlier batch."""
+    store = Store(spark, str(tmp_path), min_free_bytes=0)
+    store.create_topic("demo", "orders", 2)
+    rows = [(f'{{"n":{i}}}', f"k{i % 6}") for i in range(18)]
+    got = store.publish("demo", "orders", inputs(spark, rows).withColumn("key", F.lit("a")), ["seq"], "b1", F.lit(T0)).orderBy("seq").collect()
+    assert [r["status"] for r in got] == [201] * 6 + [409] * 12
+    again = store.publish("demo", "orders", inputs(spark, rows[::-1]).withColumn("key", F.lit("a")), ["seq"], "b2", F.lit(T0)).orderBy("seq").collect()
+    assert [r["status"] for r in again] == [409] * 12 + [201] * 6 and all(r["deduplicated"] for r in again[12:])
+    late = store.publish("demo", "orders", inputs(spark, rows[6:12]), ["seq"], "b3", F.lit(T0 + dt.timedelta(days=1))).collect()
+    assert [r["status"] for r in late] == [201] * 6 and store.log("demo", "orders").count() == 12
+
+
 def test_client_retries_reads_only():
     calls, waits = [], []
     answers = [(503, "x"), (200, {"ok": 1})]
@@ -104,28 +117,82 @@ def test_client_retries_reads_only():
         Client(lambda *a: (302, "moved"), waits.append).call("GET", "/")
 
 
-def test_subscribe_rejoins_and_leaves():
-    log_, epoch = [], [0]
+def service(answers, log_):
+    """A transport that answers by the path's last part; what it was asked is logged."""
 
     def transport(method, path, body):
-        log_.append(path.rsplit("/", 1)[1])
-        if path.endswith("/join"):
-            epoch[0] += 1
-            return 200, {"epoch": epoch[0]}
-        if path.endswith("/pull"):
-            if body["epoch"] == 1:
-                return 409, "fenced"
-            return 200, {"deliveries": [{"partition": 0, "token": "t", "epoch": 2, "events": [{"id": "a"}]}]}
-        return 200, {}
-
-    seen = []
-    Client(transport, lambda s: None).subscribe("t", "g", "m", lambda d: (seen.append(d.events), d.ack()), running=lambda: not seen)
-    assert seen == [[{"id": "a"}]] and log_ == ["join", "pull", "join", "pull", "ack", "leave"]
+        name = path.split("?")[0].rsplit("/", 1)[1]
+        log_.append((method, path, body))
+        found = answers[name].pop(0) if isinstance(answers.get(name), list) else answers.get(name, {"ok": True})
+        if isinstance(found, Exception):
+            raise found
+        return found if isinstance(found, tuple) else (200, found)
+
+    return transport
+
+
+LEASED = {"partition": 1, "token": "t", "epoch": 2, "events": [{"id": "a"}]}
+
+
+@pytest.mark.parametrize(("failure", "joins", "waits"), [((409, {"error": "fenced"}), 2, []), ((503, {"error": "busy"}), 1, [0.2]), (OSError("offline"), 2, [0.2]), (TimeoutError("late"), 2, [0.2]), (ConnectionResetError(), 2, [0.2])])
+def test_subscribe_recovers(failure, joins, waits):
+    asked, slept, seen = [], [], []
+    answers = {"join": [{"epoch": 1}, {"epoch": 2}], "pull": [failure, [LEASED]]}
+    client = Client(service(answers, asked), slept.append)
+    client.subscribe("t", "g", "m", lambda d: (seen.append(d.events), d.ack()), running=lambda: not seen)
+    names = [p.rsplit("/", 1)[1] for _, p, _ in asked]
+    assert seen == [[{"id": "a"}]] and names == ["join", "pull", *["join"] * (joins - 1), "pull", "ack", "leave"] and slept == waits
+    assert asked[-2] == ("POST", "/v1/topics/t/groups/g/ack", {"member": "m", "epoch": 2, "partition": 1, "token": "t"})
+    assert asked[-3][2] == {"member": "m", "epoch": joins, "limit": 100}
+
+
+def test_subscribe_passes_errors_on():
+    """A refused pull and a callback's error reach the caller, whatever leaving does."""
+    for answers, error in (({"join": {"epoch": 1}, "pull": [(403, {"error": "no"})], "leave": (500, "x")}, ClientError), ({"join": {"epoch": 1}, "pull": [[LEASED]], "leave": OSError()}, KeyError)):
+        asked = []
+        with pytest.raises(error) as e:
+            Client(service(answers, asked), lambda s: None).subscribe("t", "g", "m", lambda d: {}["callback"])
+        assert asked[-1][1].endswith("/leave") and getattr(e.value, "status", 403) == 403
+
+
+def test_requests_have_the_fields_of_the_service():
+    asked = []
+    answers = {"batch": {"results": [{"event": {"id": "a"}}, {"error": "type"}]}, "pull": [[LEASED]], "dead-letters": {"events": []}}
+    c = Client(service(answers, asked))
+    assert c.publish_batch("a/b", [{"type": "x", "data": 1}])[1] == {"error": "type"}
+    c.publish("t", "x", {"n": 1}, key="k", headers={"h": "v"}, idempotency_key="i")
+    c.dead_letters("t", 0, 5, limit=7)
+    c.resolve_dead_letter("t", 0, 5, "retry")
+    c.replay("t", "copy", "run", 1, 0, 9, type="x")
+    c.reset("t", "g", 0, 3)
+    (d,) = c.pull("t", "g", "m", 2)
+    d.commit(4)
+    d.nack()
+    lease = {"member": "m", "epoch": 2, "partition": 1, "token": "t"}
+    assert asked == [
+        ("POST", "/v1/topics/a%2Fb/events/batch", {"events": [{"type": "x", "data": 1}]}),
+        ("POST", "/v1/topics/t/events", {"type": "x", "key": "k", "data": {"n": 1}, "headers": {"h": "v"}, "idempotency_key": "i"}),
+        ("GET", "/v1/topics/t/dead-letters?partition=0&offset=5&limit=7", None),
+        ("POST", "/v1/topics/t/dead-letters/retry", {"partition": 0, "offset": 5, "confirm": True}),
+        ("POST", "/v1/topics/t/replay", {"target": "copy", "replay_id": "run", "partition": 1, "offset": 0, "end_offset": 9, "limit": 100, "confirm": True, "type": "x"}),
+        ("POST", "/v1/topics/t/groups/g/reset", {"partition": 0, "offset": 3, "confirm": True}),
+        ("POST", "/v1/topics/t/groups/g/pull", {"member": "m", "epoch": 2, "limit": 100}),
+        ("POST", "/v1/topics/t/groups/g/commit", lease | {"next_offset": 4}),
+        ("POST", "/v1/topics/t/groups/g/nack", lease),
+    ]
+    with pytest.raises(ValueError):
+        c.resolve_dead_letter("t", 0, 5, "drop")
 
 
 def test_scan_all_and_command_line():
     pages = [{"events": [{"id": 1}], "next_offset": 5, "end_offset": 9, "done": False}, {"events": [], "next_offset": 7, "end_offset": 9, "done": False}, {"events": [{"id": 2}], "next_offset": 9, "end_offset": 9, "done": True}]
-    client = Client(lambda m, p, b: (200, pages.pop(0)))
+    asked = []
+    client = Client(lambda m, p, b: (asked.append(p), (200, pages.pop(0)))[1])
     assert [e["id"] for e in client.scan_all("t", 0)] == [1, 2]
+    assert asked[0].endswith("partition=0&offset=0&limit=100") and asked[2].endswith("partition=0&offset=7&limit=100&end_offset=9")
     out = io.StringIO()
     assert main(["topics", "list"], Client(lambda m, p, b: (200, ["a"])), out) == 0 and out.getvalue() == '["a"]\n'
+    answers = {"join": {"epoch": 1}, "pull": [[], [LEASED], [LEASED]]}
+    out = io.StringIO()
+    assert main(["consume", "t", "g", "m", "--events", "2"], Client(service(answers, []), lambda s: None), out) == 0
+    assert out.getvalue() == '[{"id": "a"}, {"id": "a"}]\n' and main(["nothing"], client, out) == 2

@@ -16,7 +16,7 @@ def drain(query):
 
 
 def test_dedup_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([("w", "t", f"k{i % 7}", f"{i:04d}", T0 + dt.timedelta(hours=i), "a" if i % 5 else "b") for i in range(120)], "workspace string, topic string, idempotency_key string, id string, timestamp timestamp, fingerprint string")
+    rows = spark.createDataFrame([("w", "t", f"k{i % 7}" if i % 7 else [None, ""][i % 2], f"{i:04d}", T0 + dt.timedelta(hours=i), "a" if i % 5 else "b") for i in range(120)], "workspace string, topic string, idempotency_key string, id string, timestamp timestamp, fingerprint string")
     for part in range(3):
         rows.filter(f"cast(id as int) div 40 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -38,6 +38,31 @@ def test_tail_resumes_behind_offsets(spark, tmp_path):
     assert spark.table("tail").count() == want > 0
 
 
+def test_tail_starts_and_follows():
+    import pytest
+
+    from tidelog import schema as S
+
+    bounds = {0: (3, 9), 1: (0, 0)}
+    assert [streams.start_offset(bounds, 0, *a) for a in ((), (3,), (5, 6), (None, 8))] == [9, 3, 7, 9] and streams.start_offset(bounds, 1) == 0
+    for partition, *a in ((0, 2), (0, 10), (0, None, 9), (0, None, (1 << 63) - 1), (0, None, -1), (2,)):
+        with pytest.raises(S.OutOfRange):
+            streams.start_offset(bounds, partition, *a)
+    with pytest.raises(S.TooMany):
+        streams.admit_stream({"a": 16}, "a")
+    with pytest.raises(S.TooMany):
+        streams.admit_stream({str(k): 8 for k in range(8)}, "z")
+    streams.admit_stream({"a": 16}, "b")
+    log_ = [{"offset": i, "type": "ab"[i % 2]} for i in range(250)]
+    read = lambda offset, limit: [e for e in log_ if e["offset"] >= offset][:limit]
+    assert [e and e["offset"] for e, _ in zip(streams.follow(read, 0, "b"), range(127))] == [*range(1, 250, 2), None, None]
+
+
+def test_frames(spark):
+    rows = log.to_log(spark.createDataFrame([("a", T0, "x", "k", '{"n":1}', 0)], "id string, timestamp timestamp, type string, key string, data string, seq long"), "t", 1, ["seq"])
+    assert streams.frames(rows).first()["frame"] == 'id: 0\ndata: {"id":"a","topic":"t","partition":0,"offset":0,"timestamp":"2024-01-01T00:00:00.000000Z","type":"x","key":"k","data":{"n":1}}\n\n'
+
+
 def test_rollup_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([("w1", f"s{i % 2}", f"e{i % 9}", i % 3 + 1, ["delivered", "retry", "unknown", "dlq"][i % 4], T0 + dt.timedelta(seconds=i)) for i in range(90)], "workspace string, subscription_id string, event_id string, attempt int, status string, timestamp timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

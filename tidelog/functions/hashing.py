@@ -1,37 +1,42 @@
-"""Key hashing in the JVM (P2), digests (P22), checksums (P26) and the canonical record text."""
+"""Key hashing (P2), digests (P22), checksums (P26) and the canonical record text."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LOW = (1 << 32) - 1
-#: FNV-1a, 64 bits (fixed values): offset basis, and the prime as 2^40 + 435.
-_BASIS, _PRIME_LOW = 14695981039346656037, 435
+#: FNV-1a, 64 bits (fixed values).
+BASIS, PRIME = 14695981039346656037, 1099511628211
 
 
-def fnv1a(key: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes as struct(hi, lo) of unsigned 32-bit halves: 64 unsigned bits don't fit a long under ANSI."""
-    raw = F.encode(F.coalesce(key, F.lit("")), "UTF-8")
-    size = F.octet_length(raw)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(_BASIS >> 32).cast("long").alias("hi"), F.lit(_BASIS & _LOW).cast("long").alias("lo"))
+def fnv1a(keys: pa.Array) -> np.ndarray:
+    """FNV-1a of the keys' UTF-8 bytes, unsigned; a null key is empty. One pass over the bytes of all keys at each place."""
+    raw = keys.cast(pa.large_binary())
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    text = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    starts, sizes = ends[:-1], np.diff(ends)
+    out = np.full(len(raw), BASIS, np.uint64)
+    order = np.argsort(-sizes, kind="stable")  # longer keys first: those that have a byte at a place are in front
+    starts, sizes = starts[order], sizes[order]
+    h = out[order]
+    for place in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -place, "left"))
+        h[:n] = (h[:n] ^ text[starts[:n] + place]) * np.uint64(PRIME)
+    out[order] = h
+    return out
 
-    def step(h, i):
-        byte = F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
-        x = h["lo"].bitwiseXOR(byte)
-        low = x * _PRIME_LOW
-        high = h["hi"] * _PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(x, 8)
-        return F.struct(high.bitwiseAND(_LOW).alias("hi"), low.bitwiseAND(_LOW).alias("lo"))
 
-    return F.aggregate(places, start, step)
+def partition_for(key: Column, partitions: int) -> Column:
+    """The unsigned hash modulo the partition count: an Arrow function, as 64 unsigned bits don't fit a long under ANSI."""
 
+    def route(keys: pa.Array) -> pa.Array:
+        return pa.array((fnv1a(keys) % np.uint64(partitions)).astype(np.int32))
 
-def partition_for(key: Column, partitions: int) -> Column:
-    """The unsigned hash modulo the partition count."""
-    h = fnv1a(key)
-    of = lambda h: ((h["hi"] % partitions) * ((1 << 32) % partitions) + h["lo"] % partitions) % partitions
-    return F.element_at(F.transform(F.array(h), of), 1).cast("int")  # the hash is evaluated once
+    route.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    return F.arrow_udf(route, "int")(key.cast("string"))
 
 
 def digest(value: Column) -> Column:

@@ -116,30 +116,104 @@ def is_public_ip(raw: pd.Series) -> pd.Series:
     return raw.map(public_address)
 
 
-def public_ipv4(raw: Column) -> Column:
-    """The same for dotted IPv4 without Python: ranges of integers."""
-    parts = F.split(raw, r"\.")
-    n = sum((F.element_at(parts, k + 1).try_cast("long") * (1 << 8 * (3 - k)) for k in range(1, 4)), F.element_at(parts, 1).try_cast("long") * (1 << 24))
-    ok = raw.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
+_DOTTED = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _denied_ipv4(n: Column) -> Column:
     inside = F.lit(False)
     for net in (n for n in _NETWORKS if n.version == 4):
         inside = inside | n.between(int(net.network_address), int(net.broadcast_address))
-    return F.coalesce(ok & ~inside, F.lit(False))
+    return inside
+
+
+def public_ipv4(raw: Column) -> Column:
+    """The same for dotted IPv4 without Python: ranges of integers."""
+
+    def number(parts):
+        return sum((F.element_at(parts, k + 1).try_cast("long") * (1 << 8 * (3 - k)) for k in range(1, 4)), F.element_at(parts, 1).try_cast("long") * (1 << 24))
+
+    inside = let(number(F.split(raw, r"\.")), _denied_ipv4)
+    return F.coalesce(F.when(raw.rlike(f"^{_DOTTED}$"), ~inside), F.lit(False))
+
+
+def ipv6_groups(raw: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 literal, null if it is none. A zone makes it none."""
+    tail = F.regexp_extract(raw, rf":({_DOTTED})$", 1)
+    pair = lambda x, i: F.hex(F.element_at(x, i).cast("long") * 256 + F.element_at(x, i + 1).cast("long"))
+    dotted = F.transform(F.split(tail, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    text = F.when(tail != "", F.concat(F.substring(raw, F.lit(1), F.length(raw) - F.length(tail)), pair(dotted, 1), F.lit(":"), pair(dotted, 3))).otherwise(raw)
+
+    def expand(text):
+        groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        sides = F.split(text, "::", -1)
+        left, right = groups(F.element_at(sides, 1)), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        ok = text.rlike(r"^[0-9a-fA-F:]{2,39}$") & ~text.rlike(r"[0-9a-fA-F]{5}|:::|^:[^:]|[^:]:$") & F.when(F.size(sides) == 1, missing == 0).otherwise((F.size(sides) == 2) & (missing >= 1))
+        return F.when(ok, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return let(text, expand)
+
+
+def public_ipv6(raw: Column) -> Column:
+    """The same for IPv6; an address that holds an IPv4 one is judged by it."""
+
+    def judge(g):
+        at = lambda i: F.element_at(g, i + 1)
+        denied = F.lit(False)
+        for net in (n for n in _NETWORKS if n.version == 6):
+            value, whole = int(net.network_address), net.prefixlen // 16
+            inside = F.lit(True)
+            for i in range(whole):
+                inside = inside & (at(i) == (value >> (112 - 16 * i)) & 0xFFFF)
+            if rest := net.prefixlen % 16:
+                inside = inside & (F.shiftright(at(whole), 16 - rest) == ((value >> (112 - 16 * whole)) & 0xFFFF) >> (16 - rest))
+            denied = denied | inside
+        mapped = (at(5) == 0xFFFF) & (at(0) + at(1) + at(2) + at(3) + at(4) == 0)
+        return F.when(mapped, ~_denied_ipv4(at(6).cast("long") * 65536 + at(7))).otherwise(~denied)
+
+    return F.coalesce(let(ipv6_groups(raw), lambda g: F.when(g.isNotNull(), judge(g))), F.lit(False))
 
 
 def url_error(url: Column) -> Column:
-    """Why a delivery URL is refused, or null (P18); literal IPv4 hosts must be public."""
+    """Why a delivery URL is refused, or null (P18); literal hosts must be public addresses."""
+
+    def judge(authority):
+        host = F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
+        port = F.regexp_extract(authority, r":(\d*)$", 1)
+        other = F.regexp_extract(authority, r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
+
+        def of(host):
+            address = F.when(host.startswith("["), ~public_ipv6(F.substring(host, F.lit(2), F.length(host) - 2))).when(host.rlike(r"^[\d.]+$"), ~public_ipv4(host)).otherwise(F.lit(False))
+            return (
+                F.when(~F.lower(url).startswith("https://") | host.isin("", "[]"), "scheme")
+                .when(authority.contains("@"), "credentials")
+                .when(url.contains("#"), "fragment")
+                .when(~port.isin("", "443") | ~other.rlike(r"^(:\d*)?$"), "port")
+                .when(address, "address")
+            )
+
+        return let(host, of)
+
     authority = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    host = F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
-    port = F.regexp_extract(authority, r":(\d*)$", 1)
-    return (
-        F.when(url.isNull() | (F.octet_length(url) > 2048), "length")
-        .when(~F.lower(url).startswith("https://") | (host == ""), "scheme")
-        .when(authority.contains("@"), "credentials")
-        .when(url.contains("#"), "fragment")
-        .when(~port.isin("", "443"), "port")
-        .when(host.rlike(r"^[\d.]+$") & ~public_ipv4(host), "address")
-    )
+    return F.when(url.isNull() | (F.octet_length(url) > 2048), "length").otherwise(let(authority, judge))
+
+
+def redacted(headers: Column, names: Column) -> Column:
+    """Headers whose named values (in any case) are replaced: what is shown instead of secrets."""
+    lower = F.transform(names, F.lower)
+    return F.transform_values(headers, lambda k, v: F.when(F.array_contains(lower, F.lower(k)), F.lit("***")).otherwise(v))
+
+
+def without_secrets(rows, secret: tuple[str, ...] = ("secret", "headers", "encrypted_secret", "encrypted_headers", "password_hash", "key_hash", "token_hash")):
+    """A table as it may be answered: columns that hold secrets are left out, header names stay."""
+    shown = rows.withColumn("header_names", header_names(F.col("headers"))) if "headers" in rows.columns and "header_names" not in rows.columns else rows
+    return shown.drop(*[c for c in secret if c in shown.columns])
 
 
 @F.pandas_udf(T.StringType())

@@ -23,25 +23,25 @@ def classify(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("status", status).withColumn("next_delay", F.when(F.col("status") == "retry", delay))
 
 
-DELIVERED = "subscription_id string, partition int, tick long, event_id string, action string, status string, attempt int, next_at long"
+DELIVERED = "subscription_id string, partition int, tick long, offset long, action string, status string, attempt int, next_at long"
 
 
 def run_ticks(ticks: DataFrame) -> DataFrame:
     """The attempt state machine of each subscription's partition, tick by tick.
 
-    ticks: subscription_id, partition, tick, at (seconds), event_ids (the partition's log, in order), http_status (what the
-    receiver would answer now; null: transport error), crash (the answer is lost), max_attempts, delay. One event is
-    in flight at a time: a failure that isn't due blocks those behind it. A lost answer leaves ``sending``, which the
-    next tick records as ``unknown`` before it tries again.
+    ticks: subscription_id, partition, tick, at (seconds), end (the partition's high watermark), http_status (what the
+    receiver would answer now; null: transport error), crash (the answer is lost), max_attempts, delay and optionally
+    retry_after (the answer's header). What comes out names events by their offset in the partition. One event is in
+    flight at a time: a failure that isn't due blocks those behind it. A lost answer leaves ``sending``, which the
+    next tick records as ``unknown`` before it tries again. A receiver's wish counts where it is later than the backoff.
     """
+    wish = policy.retry_after(F.coalesce("retry_after", F.lit("")), F.timestamp_seconds("at")) if "retry_after" in ticks.columns else F.lit(0).cast("long")
 
     def step(s, row):
-        events = row["event_ids"]
         out = []
-        note = lambda action: out.append({"subscription_id": row["subscription_id"], "partition": row["partition"], "tick": row["tick"], "event_id": event, "action": action, "status": s["status"], "attempt": s["attempt"], "next_at": s["next"]})
-        if s["at"] >= len(events):
+        note = lambda action: out.append({"subscription_id": row["subscription_id"], "partition": row["partition"], "tick": row["tick"], "offset": s["at"], "action": action, "status": s["status"], "attempt": s["attempt"], "next_at": s["next"]})
+        if s["at"] >= row["end"]:
             return out
-        event = events[s["at"]]
         if row["at"] < s["next"]:
             note("wait")
             return out
@@ -57,7 +57,8 @@ def run_ticks(ticks: DataFrame) -> DataFrame:
             code = row["http_status"]
             again = code is None or code in (408, 425, 429) or code >= 500
             s["status"] = "delivered" if code is not None and 200 <= code < 300 else "failed" if not again or s["attempt"] >= row["max_attempts"] else "retry"
-            s["next"] = row["at"] + min(row["delay"] << min(s["attempt"] - 1, 32), S.MAX_DELAY) if s["status"] == "retry" else row["at"]
+            pause = max(min(row["delay"] << min(s["attempt"] - 1, 32), S.MAX_DELAY), row["wish"] if code in (429, 503) else 0)
+            s["next"] = row["at"] + pause if s["status"] == "retry" else row["at"]
             note("answer")
         else:
             s["status"] = "failed"
@@ -68,7 +69,7 @@ def run_ticks(ticks: DataFrame) -> DataFrame:
             s |= {"at": s["at"] + 1, "status": "", "attempt": 0, "next": 0}
         return out
 
-    return ordered_fold(ticks, ["subscription_id", "partition"], ["tick"], lambda row: {"at": 0, "status": "", "attempt": 0, "next": 0}, step, DELIVERED)
+    return ordered_fold(ticks.withColumn("wish", wish), ["subscription_id", "partition"], ["tick"], lambda row: {"at": 0, "status": "", "attempt": 0, "next": 0}, step, DELIVERED)
 
 
 def history(records: DataFrame) -> DataFrame:
@@ -105,6 +106,12 @@ def keyset_page(rows: DataFrame, cursor: str, after: int, limit: int) -> tuple[D
     return page, state
 
 
+def workspace_page(entries: DataFrame, subscriptions: DataFrame, workspace: str, subscription: str, after: int, limit: int = S.HISTORY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """A subscription's history page as its workspace may see it: another workspace's subscription gives nothing."""
+    own = subscriptions.filter((F.col("workspace") == workspace) & (F.col("id") == subscription)).select(F.col("id").alias("subscription_id"))
+    return keyset_page(entries.join(F.broadcast(own), "subscription_id"), "cursor", after, limit)  # one row
+
+
 def logs(attempts: DataFrame, subscriptions: DataFrame, workspace: str, limit: int = S.HISTORY_ROWS) -> DataFrame:
     """A workspace's latest attempts in the order of their events."""
     own = subscriptions.filter(F.col("workspace") == workspace).select(F.col("id").alias("subscription_id"))
@@ -131,6 +138,43 @@ def subscription_error(rows: DataFrame) -> Column:
     )
 
 
+def initialised(rows: DataFrame, key: bytes) -> DataFrame:
+    """Subscriptions (id, workspace, topic, url, secret, headers, max_attempts, delay) as they are kept.
+
+    error says why one is refused; else its secret and headers are encrypted under their purposes, the plain ones go, and
+    dlq_topic (DLQ_PARTITIONS partitions) and group (from the earliest offset) are what must be made for it.
+    """
+    error = F.coalesce(subscription_error(rows), F.when(F.octet_length("topic") + len(S.DLQ_SUFFIX) > 128, F.lit("topic")))
+    ok = F.col("error").isNull()
+    names = policy.canonical_headers(F.col("headers"))
+    out = rows.withColumn("error", error).withColumns({
+        "encrypted_secret": F.when(ok, policy.encrypt(F.col("secret"), key, "webhook-secret")), "encrypted_headers": F.when(ok, policy.encrypt(F.to_json(names), key, "webhook-headers")),
+        "header_names": F.when(ok, policy.header_names(names)), "dlq_topic": F.when(ok, F.concat("topic", F.lit(S.DLQ_SUFFIX))), "group": F.when(ok, F.concat(F.lit("webhook-"), "id")), "paused": F.lit(False),
+    })
+    return out.drop("secret", "headers")
+
+
+def limited_keys(requests: DataFrame, capacity: int = S.LIMITER_KEYS, idle: float = 60.0) -> DataFrame:
+    """Whether the limiter knows or can take each request's key (L1): key, seq, known.
+
+    It has at most so many keys; when it is full, those whose window began more than idle seconds ago go, and a
+    new key is refused if none did. requests: limiter, key, at (seconds), seq. The bound couples a limiter's keys, so
+    the fold runs by limiter.
+    """
+
+    def step(s, row):
+        key, at = row["key"], row["at"]
+        if key not in s and len(s) >= capacity:
+            for k in [k for k, since in s.items() if at - since > idle]:
+                del s[k]
+        known = key in s or len(s) < capacity
+        if known and at - s.get(key, -1e300) >= 1.0:
+            s[key] = at
+        return [{"limiter": row["limiter"], "key": key, "seq": row["seq"], "known": known}]
+
+    return ordered_fold(requests, ["limiter"], ["at", "seq"], lambda row: {}, step, "limiter string, key string, seq long, known boolean")
+
+
 def rate_limited(requests: DataFrame, limit: int, seconds: float = 1.0) -> DataFrame:
     """Whether each request (key, at in seconds, seq) passes: windows begin at a key's first request after the last one (L1)."""
 

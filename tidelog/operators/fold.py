@@ -6,9 +6,11 @@ rows. A fold is sequential in its key, as the semantics are; keys run in paralle
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -42,6 +44,28 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], begin: Call
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, parsed)
 
 
+def sorted_runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Key, first row and end of each run of equal keys in a batch that is sorted by them, compared column by column."""
+    n = batch.num_rows
+    if not n:
+        return
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        column = batch.column(k)
+        both = pc.equal(column.slice(1), column.slice(0, n - 1))
+        nulls = pc.xor(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, n - 1)))
+        new[1:] |= ~pc.fill_null(both, True).to_numpy(zero_copy_only=False) | nulls.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new).tolist()
+    for a, b in zip(starts, [*starts[1:], n]):
+        yield tuple(batch.column(k)[a].as_py() for k in keys), a, b
+
+
+def micros(column: pa.Array) -> np.ndarray:
+    """A timestamp column as microseconds."""
+    return column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
 def _fields(schema: str) -> list[str]:
     """Top-level fields of a DDL schema."""
     out, depth, start = [], 0, 0

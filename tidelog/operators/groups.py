@@ -38,6 +38,22 @@ def lag(committed: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.withColumns({"lag": F.col("latest") - F.col("committed"), "unavailable": F.greatest(F.col("oldest") - F.col("committed"), F.lit(0).cast("long"))})
 
 
+def metrics(committed: DataFrame, bounds: DataFrame, members: DataFrame, leases: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Gauges of every group's partition (with in_flight) and of every group (members), at an instant (M5).
+
+    members: topic, group, member, until. leases: topic, group, partition, member, until. A lease counts while it and its
+    member live. A committed offset beyond the log is an error, raised when the rows are read.
+    """
+    live = live_members(members, now)
+    keys = ["topic", "group"]
+    held = leases.filter(F.col("until") > now).join(live.select(*keys, "member"), [*keys, "member"], "left_semi").select(*keys, "partition").distinct()
+    rows = lag(committed, bounds).join(held.withColumn("in_flight", F.lit(True)), [*keys, "partition"], "left").withColumn("in_flight", F.coalesce("in_flight", F.lit(False)))
+    wrong = (F.col("committed") < 0) | (F.col("committed") > F.col("latest"))
+    rows = rows.withColumn("committed", F.when(wrong, F.raise_error(F.lit("group committed offset is outside the log")).cast("long")).otherwise(F.col("committed")))
+    count = live.groupBy(*keys).agg(F.count_distinct("member").alias("members"))
+    return rows, committed.select(*keys).distinct().join(count, keys, "left").withColumn("members", F.coalesce("members", F.lit(0).cast("long")))
+
+
 def inspect(assigned: DataFrame, lags: DataFrame) -> DataFrame:
     """Per group and member: partitions and their lag."""
     rows = assigned.join(lags.select("group", "partition", "lag"), ["group", "partition"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
 from tidelog.functions.hashing import partition_for, record_text
-from tidelog.operators.fold import ordered_fold
+from tidelog.operators.fold import micros, sorted_runs
 
 
 def number_rows(rows: DataFrame, keys: list[str], order: list[str], name: str, chunk: Column | None = None) -> DataFrame:
@@ -57,24 +59,43 @@ def with_record_bytes(log: DataFrame) -> DataFrame:
 def segment_starts(log: DataFrame, segment_bytes: int = S.SEGMENT_BYTES) -> DataFrame:
     """topic, partition, base, next, size, last: a segment ends where the next record would pass segment_bytes.
 
-    The sum resets at every segment, so it is a fold; only segments leave it.
+    The sum resets at every segment, so it is a fold over each partition: one search in a running sum for a segment.
     """
     if segment_bytes < S.LEAST_SEGMENT_BYTES:
         raise S.Invalid(f"segments have {S.LEAST_SEGMENT_BYTES} bytes at least")
 
-    def begin(row):
-        return {"topic": row["topic"], "partition": row["partition"], "base": row["offset"], "next": row["offset"], "size": 0, "last": None}
-
-    def step(s, row):
-        out = []
-        if s["size"] and s["size"] + row["record_bytes"] > segment_bytes:
-            out = [dict(s)]
-            s |= {"base": row["offset"], "size": 0}
-        s |= {"next": row["offset"] + 1, "size": s["size"] + row["record_bytes"], "last": row["timestamp"]}
-        return out
+    schema = "topic string, partition int, base long, next long, size long, last timestamp"
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def rows(found: list[list], time: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate([*kinds, time])], names=["topic", "partition", "base", "next", "size", "last"])
+
+    def run(batches):
+        now = None  # the open segment: topic, partition, base, next, size, last
+        for batch in batches:
+            out, time = [], micros(batch.column("timestamp"))
+            offsets, sizes = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("offset", "record_bytes"))
+            total = np.append(0, np.cumsum(sizes))
+            for key, i, end in sorted_runs(batch, ["topic", "partition"]):
+                if now is None or (now[0], now[1]) != key:
+                    out += [now] if now else []
+                    now = [*key, int(offsets[i]), int(offsets[i]), 0, 0]
+                while i < end:
+                    if now[4] and now[4] + sizes[i] > segment_bytes:
+                        out.append(now)
+                        now = [*key, int(offsets[i]), int(offsets[i]), 0, 0]
+                    fits = int(np.searchsorted(total, total[i] + segment_bytes - now[4], "right")) - 1
+                    last = min(end, max(i + (not now[4]), fits))  # an empty segment takes any record
+                    now[3], now[4], now[5] = int(offsets[last - 1]) + 1, int(now[4] + total[last] - total[i]), int(time[last - 1])
+                    i = last
+            kind = batch.column("timestamp").type
+            if out:
+                yield rows(out, kind)
+        if now:
+            yield rows([now], kind)
 
     columns = log.select("topic", "partition", "offset", "record_bytes", "timestamp")
-    return ordered_fold(columns, ["topic", "partition"], ["offset"], begin, step, "topic string, partition int, base long, next long, size long, last timestamp", lambda s: [dict(s)])
+    return columns.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset").mapInArrow(run, schema)
 
 
 def bounds(log: DataFrame, partitions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
@@ -121,10 +142,20 @@ def apply_retention(log: DataFrame, segments: DataFrame) -> DataFrame:
     return log.join(floor, ["topic", "partition"], "left").filter(F.col("_floor").isNull() | (F.col("offset") >= F.col("_floor"))).drop("_floor")
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """Rows whose offset doesn't follow the one before in their partition (O2)."""
-    w = Window.partitionBy("topic", "partition").orderBy("offset")
-    return log.withColumn("previous", F.lag("offset").over(w)).filter(F.col("previous").isNotNull() & (F.col("offset") != F.col("previous") + 1))
+def gaps(log: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
+    """Rows whose offset doesn't follow the one before in their partition (O2).
+
+    Offsets are looked at in chunks of chunk_rows, so no task sorts a whole partition; a chunk's first row follows the
+    last one of the chunk before, which a table of a row for each chunk knows.
+    """
+    keys = ["topic", "partition"]
+    rows = log.withColumn("_chunk", F.floor(F.col("offset") / chunk_rows))
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max("offset").alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_end")
+    local = F.lag("offset").over(Window.partitionBy(*keys, "_chunk").orderBy("offset"))
+    found = rows.withColumn("previous", local).filter(F.col("previous").isNull() | (F.col("offset") != F.col("previous") + 1))
+    found = found.join(ends, [*keys, "_chunk"]).withColumn("previous", F.coalesce("previous", "_before")).drop("_chunk", "_before")
+    return found.filter(F.col("previous").isNotNull() & (F.col("offset") != F.col("previous") + 1))
 
 
 def damage(segments: DataFrame) -> DataFrame:

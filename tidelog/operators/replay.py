@@ -27,13 +27,38 @@ def replay(events: DataFrame, replay_id: str, target: str) -> DataFrame:
     return events.select(F.lit(target).alias("target"), F.col("topic").alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), F.col("id").alias("source_id"), "timestamp", "type", "key", "data", F.map_concat(kept, own).alias("headers"), key.alias("idempotency_key"))
 
 
-def recover(pending: DataFrame, log: DataFrame) -> DataFrame:
-    """What to do with each prepared append: complete, append or conflict.
+def reserve(inputs: DataFrame, bounds: DataFrame, order: list[str], chunk: Column | None = None) -> DataFrame:
+    """Prepared appends: the places that inputs (topic, partition, id and more) will have, by order behind the log's end.
+
+    bounds: topic, partition, next. The rows are kept as pending before anything is appended; recover() says later what
+    became of each, and complete() drops those that are in the log.
+    """
+    from tidelog.operators.log import number_rows
+
+    ends = bounds.select("topic", "partition", "next")
+    rows = number_rows(inputs, ["topic", "partition"], order, "_n", chunk).join(F.broadcast(ends), ["topic", "partition"])  # MAX_PARTITIONS rows a topic
+    return rows.withColumn("offset", F.col("next") + F.col("_n")).drop("_n", "next")
+
+
+def append_prepared(pending: DataFrame, log: DataFrame, bounds: DataFrame) -> DataFrame:
+    """pending's rows that are to be appended at their places; raises when read if one's place is taken by another event."""
+    rows = recover(pending.join(F.broadcast(bounds.select("topic", "partition", "next")), ["topic", "partition"]), log, following=True)
+    action = F.when(F.col("action") == "conflict", F.raise_error(F.concat(F.lit("place taken: "), F.col("offset").cast("string")))).otherwise(F.col("action"))
+    return rows.withColumn("action", action).filter("action = 'append'").drop("action", "next")
+
+
+def complete(pending: DataFrame, log: DataFrame) -> DataFrame:
+    """pending without what the log has."""
+    return pending.join(log.select("topic", "partition", "offset", "id"), ["topic", "partition", "offset", "id"], "left_anti")
+
+
+def recover(pending: DataFrame, log: DataFrame, following: bool = False) -> DataFrame:
+    """What to do with each prepared append: complete, append or conflict (W8, J8). following: places behind the end count too.
 
     pending: topic, partition, offset, id, fingerprint, next (the partition's high watermark). log: the same places' id and fingerprint.
     """
     there = log.select("topic", "partition", "offset", F.col("id").alias("log_id"), F.col("fingerprint").alias("log_fingerprint"))
     joined = pending.join(there, ["topic", "partition", "offset"], "left")
     same = (F.col("id") == F.col("log_id")) & (F.col("fingerprint") == F.col("log_fingerprint"))
-    action = F.when(F.col("log_id").isNotNull(), F.when(same, "complete").otherwise("conflict")).when(F.col("offset") == F.col("next"), "append").otherwise("conflict")
+    action = F.when(F.col("log_id").isNotNull(), F.when(same, "complete").otherwise("conflict")).when(F.col("offset") >= F.col("next") if following else F.col("offset") == F.col("next"), "append").otherwise("conflict")
     return joined.withColumn("action", action).drop("log_id", "log_fingerprint")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ class Range:
         """Raises what the service would; returns the range with its end."""
         if not 1 <= self.limit <= S.PAGE_ROWS:
             raise S.Invalid(f"limit must be 1..{S.PAGE_ROWS}")
-        if self.from_time is not None and self.until_time is not None and not str(self.from_time) < str(self.until_time):
+        if self.from_time is not None and self.until_time is not None and not instant(self.from_time) < instant(self.until_time):
             raise S.Invalid("from must be before until")
         end = next_offset if self.end is None else self.end
         if self.offset < oldest or self.offset > next_offset or end < self.offset or end > next_offset:
@@ -49,6 +50,45 @@ class Range:
         return out
 
 
+def instant(value: datetime | str) -> datetime:
+    """A time with its zone (UTC if it names none), whatever its spelling; digits beyond microseconds are cut."""
+    if isinstance(value, str):
+        try:
+            value = datetime.fromisoformat(re.sub(r"(\.\d{6})\d+", r"\1", value))
+        except ValueError:
+            raise S.Invalid(f"no time: {value}") from None
+    return value if value.tzinfo else value.replace(tzinfo=UTC)
+
+
+_RFC3339 = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)")
+
+
+def parse_range(values: dict[str, str]) -> Range:
+    """A Range from a request's query parameters (P11); what doesn't parse is S.Invalid (400).
+
+    partition and offset are required, limit is 100 unless given, end_offset the snapshot's end, times are RFC 3339.
+    """
+    found: dict = {}
+    for name, own, needed in (("partition", "partition", True), ("offset", "offset", True), ("limit", "limit", False), ("end_offset", "end", False)):
+        raw = values.get(name, "")
+        if raw == "" and not needed:
+            continue
+        if not re.fullmatch(r"[+-]?\d{1,19}", raw) or not -(1 << 63) <= int(raw) < 1 << 63:
+            raise S.Invalid(f"{name} must be a whole number")
+        found[own] = int(raw)
+    for name in ("from_time", "until_time"):
+        if raw := values.get(name, ""):
+            if not _RFC3339.fullmatch(raw):
+                raise S.Invalid(f"{name} must be RFC 3339")
+            found[name] = instant(raw)
+    return Range(**{"limit": 100, **found, **{name: values.get(name, "") for name in ("type", "key", "id")}})
+
+
+def error_status(error: Exception) -> int:
+    """The HTTP status of a scan's or replay's failure (P12): the error's own, 400 for anything else."""
+    return getattr(error, "status", 400)
+
+
 def read(log: DataFrame, partition: int, offset: int, limit: int, page_bytes: int = S.PAGE_BYTES) -> DataFrame:
     """Up to limit rows from offset, the last one that which reaches page_bytes.
 

@@ -116,11 +116,23 @@ def scan_time_range(spark, sf_dir):
     return scan.scan(event_log(spark, sf_dir), scan.Range(1, 50, limit=500, from_time=low[0], until_time=low[1])).select(*_PAGE)
 
 
-@query(_page_sql(2, 10, 1000, "key = '14' AND id = (SELECT min(id) FROM log WHERE key = '14' AND partition = 2 AND \"offset\" BETWEEN 10 AND 1009)"))
+_KEY_PAGE = 'partition = 2 AND "offset" BETWEEN 10 AND 1009'
+_SOME_KEY = f"(SELECT max(key) FROM log WHERE {_KEY_PAGE})"
+
+
+@query(_page_sql(2, 10, 1000, f"key = {_SOME_KEY}"))
+def scan_by_key(spark, sf_dir):
+    rows = event_log(spark, sf_dir)
+    key = rows.filter("partition = 2 AND offset BETWEEN 10 AND 1009").agg(F.max("key")).first()[0]
+    return scan.scan(rows, scan.Range(2, 10, limit=1000, key=key or "none")).select(*_PAGE)
+
+
+@query(_page_sql(2, 10, 1000, f"key = {_SOME_KEY} AND id = (SELECT min(id) FROM log WHERE key = {_SOME_KEY} AND {_KEY_PAGE})"))
 def scan_by_key_and_id(spark, sf_dir):
     rows = event_log(spark, sf_dir)
-    found = rows.filter("key = '14' AND partition = 2 AND offset BETWEEN 10 AND 1009").agg(F.min("id")).first()[0]
-    return scan.scan(rows, scan.Range(2, 10, limit=1000, key="14", id=found or "none")).select(*_PAGE)
+    page = rows.filter("partition = 2 AND offset BETWEEN 10 AND 1009")
+    key, event = page.groupBy("key").agg(F.min("id").alias("id")).orderBy(F.desc("key")).first() or ("none", "none")
+    return scan.scan(rows, scan.Range(2, 10, limit=1000, key=key, id=event)).select(*_PAGE)
 
 
 @query(with_log(', page AS (SELECT *, coalesce(sum(record_bytes) OVER (ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT * FROM log WHERE partition = 2 AND "offset" >= 100 ORDER BY "offset" LIMIT 1000)) SELECT partition, "offset", record_bytes FROM page WHERE before < 20000'))
@@ -146,28 +158,32 @@ def export_jsonl(spark, sf_dir):
     return scan.export_jsonl(scan.scan(event_log(spark, sf_dir), scan.Range(0, 0, limit=500)))
 
 
-def _replayed(spark, sf_dir, first: int, last: int, name: str = "run-1"):
-    rows = event_log(spark, sf_dir).filter(f"partition = 0 AND offset >= {first} AND offset < {last} AND type = 'purchase'")
-    return replay.replay(rows.withColumn("headers", F.lit(None).cast("map<string,string>")), name, "copy")
+def _replayed(rows, name: str = "run-1"):
+    """The whole log's purchases, all partitions, as inputs of the topic copy."""
+    return replay.replay(rows.filter("type = 'purchase'").withColumn("headers", F.lit(None).cast("map<string,string>")), name, "copy")
 
 
 _REPLAY_KEY = """'replay-' || sha256('["run-1","events",' || partition || ',' || "offset" || ',"' || id || '"]')"""
 
 
-@query(with_log(f""", r AS (SELECT *, CAST(hash % 2 AS INTEGER) AS target_partition FROM log WHERE partition = 0 AND "offset" < 500 AND type = 'purchase')
-SELECT id AS source_id, target_partition, CAST(row_number() OVER (PARTITION BY target_partition ORDER BY "offset") - 1 AS BIGINT) AS target_offset, {_REPLAY_KEY} AS idempotency_key,
+@query(with_log(f""", r AS (SELECT *, CAST(hash % 2 AS INTEGER) AS target_partition FROM log WHERE type = 'purchase')
+SELECT id AS source_id, target_partition, CAST(row_number() OVER (PARTITION BY target_partition ORDER BY partition, "offset") - 1 AS BIGINT) AS target_offset, {_REPLAY_KEY} AS idempotency_key,
 '{S.PREFIX}.replay.id=run-1;{S.PREFIX}.replay.source_id=' || id || ';{S.PREFIX}.replay.source_offset=' || "offset" || ';{S.PREFIX}.replay.source_partition=' || partition || ';{S.PREFIX}.replay.source_topic=events' AS headers FROM r"""))
 def replay_copy(spark, sf_dir):
-    rows = _replayed(spark, sf_dir, 0, 500).withColumn("partition", partition_for(F.col("key"), 2))
-    rows = log.number_rows(rows, ["target", "partition"], ["source_partition", "source_offset"], "target_offset")
+    """Every partition replayed, one after the other; numbered by stretches of the source."""
+    rows = _replayed(event_log(spark, sf_dir)).withColumn("partition", partition_for(F.col("key"), 2))
+    stretch = F.col("source_partition").cast("long") * (1 << 40) + F.floor(F.col("source_offset") / 100_000)
+    rows = log.number_rows(rows, ["target", "partition"], ["source_partition", "source_offset"], "target_offset", stretch)
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return rows.select("source_id", F.col("partition").alias("target_partition"), "target_offset", "idempotency_key", headers.alias("headers"))
 
 
-@query(with_log(f"""SELECT id AS source_id, {_REPLAY_KEY} AS idempotency_key FROM log WHERE partition = 0 AND "offset" >= 500 AND "offset" < 900 AND type = 'purchase'"""))
+@query(with_log(f""", n AS (SELECT partition, max("offset") + 1 AS n FROM log GROUP BY partition) SELECT id AS source_id, {_REPLAY_KEY} AS idempotency_key FROM log JOIN n USING (partition) WHERE "offset" * 2 >= n AND type = 'purchase'"""))
 def replay_retry_dedup(spark, sf_dir):
-    """A second, longer run of the same replay appends only what the first didn't."""
-    known, again = _replayed(spark, sf_dir, 0, 500), _replayed(spark, sf_dir, 200, 900)
+    """A replay was cut off half-way through each partition; run again over all, it appends only what the first run didn't."""
+    rows = event_log(spark, sf_dir)
+    ends = F.broadcast(log.bounds(rows, partitions(spark)).select("partition", "next"))  # a row a partition
+    known, again = _replayed(rows.join(ends, "partition").filter("offset * 2 < next").drop("next")), _replayed(rows)
     own = lambda df: df.withColumns({"workspace": F.lit("demo"), "topic": F.lit("copy")})
     return dedup.new_rows(own(again), own(known)).select("source_id", "idempotency_key")
 
@@ -437,21 +453,50 @@ def history_cursor(spark, sf_dir):
     return delivery.keyset_page(rows, "cursor", 100, 50)[1]
 
 
+@query(_HISTORY + " SELECT subscription_id, event_id, attempt, status, cursor FROM h WHERE subscription_id = 'sub-3' AND cursor > 200 ORDER BY cursor LIMIT 70")
+def history_of_workspace(spark, sf_dir):
+    """sub-3 belongs to w1: the page is that of its workspace; another workspace's page of it is empty."""
+    rows, subs = _first_history(spark, sf_dir), _subscriptions(spark)
+    mine, other = (delivery.workspace_page(rows, subs, w, "sub-3", 200, 70)[0] for w in ("w1", "w0"))
+    return mine.unionByName(other).select("subscription_id", "event_id", "attempt", "status", "cursor")
+
+
 @query(_HISTORY + ", l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY subscription_id, event_id ORDER BY cursor DESC) = 1) SELECT subscription_id, event_id, attempt, status, cursor FROM l WHERE CAST(substr(subscription_id, 5) AS INTEGER) % 2 = 1 ORDER BY event_id, subscription_id LIMIT 100")
 def delivery_logs(spark, sf_dir):
     return delivery.logs(delivery.latest(_first_history(spark, sf_dir)), _subscriptions(spark), "w1")
 
 
-@query()
+#: The attempt state machine by recursion, one step a tick of each subscription, with numbers for statuses (0 none, 1 sending,
+#: 2 retry, 3 failed, 4 delivered, 5 dlq). A step keeps what it did; its notes are unfolded at the end.
+_TICKS = _ATTEMPTS.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + f""",
+t AS MATERIALIZED (SELECT user_id % 7 AS sub, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id % 7) AS n, event_id AS tick, event_id * 2 AS tm, http_status AS code, event_id % 19 = 0 AS crash, delay, CASE WHEN http_status IN (429, 503) THEN wish ELSE 0 END AS wish FROM a),
+s AS (SELECT DISTINCT CAST(sub AS BIGINT) AS sub, 0::BIGINT AS k, 0::BIGINT AS pos, 0 AS status, 0 AS attempt, 0::BIGINT AS nxt, 0::BIGINT AS o_pos, 0 AS o_status, 0 AS o_attempt, 0::BIGINT AS o_next, true AS over, false AS waits, false AS lost, false AS sends, false AS answers, 0 AS answer, 0 AS tried, 0 AS final, 0::BIGINT AS later, 0::BIGINT AS tick, 0::BIGINT AS tm FROM t
+UNION ALL SELECT CAST(sub AS BIGINT), k, CASE WHEN final IN (4, 5) THEN pos + 1 ELSE pos END, CASE WHEN final IN (4, 5) THEN 0 ELSE final END, CASE WHEN final IN (4, 5) THEN 0 ELSE tried END, CASE WHEN final IN (4, 5) THEN 0 ELSE later END, pos, status, attempt, nxt, over, waits, lost, sends, answers, answer, tried, final, later, CAST(tick AS BIGINT), CAST(tm AS BIGINT)
+ FROM (SELECT *, CASE WHEN over OR waits THEN status WHEN answers THEN CASE WHEN answer = 3 THEN 5 ELSE answer END WHEN sends THEN 1 ELSE 5 END AS final, CAST(CASE WHEN over OR waits THEN nxt WHEN answers THEN CASE WHEN answer = 2 THEN tm + greatest(CAST(least(delay * pow(2, tried - 1), {S.MAX_DELAY}) AS BIGINT), wish) ELSE tm END WHEN sends THEN tm + 30 ELSE nxt END AS BIGINT) AS later
+ FROM (SELECT *, CASE WHEN code BETWEEN 200 AND 299 THEN 4 WHEN code IS NOT NULL AND code NOT IN (408, 425, 429) AND code < 500 OR tried >= 4 THEN 3 ELSE 2 END AS answer
+ FROM (SELECT *, sends AND NOT crash AS answers, attempt + CAST(sends AS INTEGER) AS tried
+ FROM (SELECT *, NOT over AND NOT waits AND status = 1 AS lost, NOT over AND NOT waits AND attempt < 4 AS sends
+ FROM (SELECT t.*, s.pos, s.status, s.attempt, s.nxt, s.pos >= t.n AS over, s.pos < t.n AND t.tm < s.nxt AS waits FROM s JOIN t ON t.sub = s.sub AND t.k = s.k + 1)))))),
+e AS (SELECT sub, tick, o_pos, 'wait' AS action, o_status AS status, o_attempt AS attempt, o_next AS next_at FROM s WHERE waits
+UNION ALL SELECT sub, tick, o_pos, 'record', 6, o_attempt, o_next FROM s WHERE lost UNION ALL SELECT sub, tick, o_pos, 'send', 1, tried, tm + 30 FROM s WHERE sends
+UNION ALL SELECT sub, tick, o_pos, 'answer', answer, tried, later FROM s WHERE answers UNION ALL SELECT sub, tick, o_pos, 'dead letter', 5, tried, later FROM s WHERE final = 5 AND NOT over AND NOT waits)
+SELECT 'sub-' || e.sub AS subscription_id, e.tick, 'e' || q.tick AS event_id, e.action, ['', 'sending', 'retry', 'failed', 'delivered', 'dlq', 'unknown'][e.status + 1] AS status, CAST(e.attempt AS INTEGER) AS attempt, e.next_at FROM e JOIN t q ON q.sub = e.sub AND q.k = e.o_pos + 1"""
+
+
+@query(_TICKS)
 def delivery_ticks(spark, sf_dir):
-    """The attempt state machine over answers made from the events."""
-    a = _attempts(spark, sf_dir)
-    n = F.col("event_id")
-    ticks = a.select(F.concat(F.lit("sub-"), F.col("user_id") % 7).alias("subscription_id"), F.lit(0).alias("partition"), n.alias("tick"), (n * 2).alias("at"), F.array(*[F.lit(f"e{k}") for k in range(50)]).alias("event_ids"), "http_status", (n % 19 == 0).alias("crash"), "max_attempts", "delay")
-    return delivery.run_ticks(ticks)
-
-
-@query()
+    """The attempt state machine over answers made from the events; each subscription's log has as many events as ticks."""
+    a, n = _attempts(spark, sf_dir), F.col("event_id")
+    rows = a.select(F.concat(F.lit("sub-"), F.col("user_id") % 7).alias("subscription_id"), F.lit(0).alias("partition"), n.alias("tick"), (n * 2).alias("at"), "http_status", (n % 19 == 0).alias("crash"), "max_attempts", "delay", "retry_after")
+    places = log.number_rows(rows, ["subscription_id"], ["tick"], "offset", F.floor(F.col("tick") / 100_000)).select("subscription_id", "offset", F.concat(F.lit("e"), "tick").alias("event_id"))
+    ends = rows.groupBy("subscription_id").agg(F.count("*").alias("end"))
+    found = delivery.run_ticks(rows.join(ends, "subscription_id"))
+    return found.join(places, ["subscription_id", "offset"]).select("subscription_id", "tick", "event_id", "action", "status", "attempt", "next_at")
+
+
+@query("""WITH RECURSIVE src AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id AS seq FROM events),
+w AS (SELECT key, min(ts) AS since FROM src GROUP BY key UNION ALL SELECT * FROM (SELECT w.key, (SELECT min(s.ts) FROM src s WHERE s.key = w.key AND s.ts >= w.since + INTERVAL 6 HOUR) AS since FROM w) WHERE since IS NOT NULL)
+SELECT src.key, seq, row_number() OVER (PARTITION BY src.key, w.since ORDER BY ts, seq) <= 2 AS allowed FROM src ASOF JOIN w ON src.key = w.key AND src.ts >= w.since""")
 def rate_limit(spark, sf_dir):
     e = event_rows(spark, sf_dir)
     return delivery.rate_limited(e.select("key", (F.unix_micros("timestamp") / 1e6).alias("at"), F.col("event_id").alias("seq")), 2, 6 * 3600.0)
@@ -461,25 +506,32 @@ def rate_limit(spark, sf_dir):
 
 
 def _failed(spark, sf_dir):
-    rows = event_log(spark, sf_dir).filter("partition = 0 AND offset % 25 = 0").withColumn("headers", F.lit(None).cast("map<string,string>"))
-    return rows.withColumns({"subscription_id": F.concat(F.lit("sub-"), F.col("offset") % 7), "attempts": F.when(F.col("offset") % 100 == 0, 0).otherwise(3), "error": F.lit("http 500"), "failed_at": F.lit("2024-01-01T00:00:00Z")})
+    """Every event of the log whose delivery failed; some records break a rule of the parser."""
+    outcome = delivery.classify(_attempts(spark, sf_dir)).filter("status = 'failed'").select("event_id", "attempt")
+    n = F.col("event_id")
+    rows = event_log(spark, sf_dir).join(outcome, "event_id").withColumn("headers", F.lit(None).cast("map<string,string>"))
+    return rows.withColumns({"subscription_id": F.when(n % 31 == 0, "").otherwise(F.concat(F.lit("sub-"), n % 7)), "attempts": F.when(n % 29 == 0, 0).otherwise(F.col("attempt")), "error": F.lit("http 500"), "failed_at": F.lit("2024-01-01T00:00:00Z")})
 
 
 def _dead_letters(spark, sf_dir):
-    rows = deadletters.envelopes(_failed(spark, sf_dir)).withColumns({"workspace": F.lit("demo"), "id": F.concat(F.lit("d"), F.col("key"))})
-    return log.number_rows(rows, ["workspace", "topic", "partition"], ["key"], "offset")
+    """The dead-letter topic's one partition, numbered by event in stretches; some events are of another type or don't parse."""
+    rows = deadletters.envelopes(_failed(spark, sf_dir)).withColumns({"workspace": F.lit("demo"), "id": F.concat(F.lit("d"), F.col("key")), "n": F.col("key").cast("long")})
+    rows = log.number_rows(rows, ["workspace", "topic", "partition"], ["n"], "offset", F.floor(F.col("n") / 100_000))
+    return rows.withColumns({"type": F.when(F.col("n") % 37 == 0, "other").otherwise(F.col("type")), "data": F.when(F.col("n") % 41 == 0, "{}").otherwise(F.col("data"))})
 
 
-_FAILED = """, f AS (SELECT *, 'sub-' || ("offset" % 7) AS sub, CASE WHEN "offset" % 100 = 0 THEN 0 ELSE 3 END AS attempts FROM log WHERE partition = 0 AND "offset" % 25 = 0),
-d AS (SELECT *, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS place, CASE (row_number() OVER (ORDER BY id) - 1) % 4 WHEN 0 THEN 'retry' WHEN 1 THEN 'discard' END AS action, CASE (row_number() OVER (ORDER BY id) - 1) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' END AS status FROM f)"""
+_FAILED = f""", o AS ({_ATTEMPTS} SELECT event_id, attempt FROM c WHERE status = 'failed'),
+f AS (SELECT log.*, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'sub-' || (event_id % 7) END AS sub, CASE WHEN event_id % 29 = 0 THEN 0 ELSE attempt END AS attempts, event_id % 29 = 0 OR event_id % 31 = 0 OR event_id % 37 = 0 OR event_id % 41 = 0 AS malformed FROM log JOIN o USING (event_id)),
+d AS (SELECT *, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS place, CASE (row_number() OVER (ORDER BY event_id) - 1) % 4 WHEN 0 THEN 'retry' WHEN 1 THEN 'discard' END AS action, CASE (row_number() OVER (ORDER BY event_id) - 1) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'complete' END AS status FROM f)"""
+_ENVELOPE = """'{"original_event":{"id":"' || id || '","topic":"events","partition":' || partition || ',"offset":' || "offset" || ',"type":"' || type || '","key":"' || key || '","headers":{},"data":' || to_json(data) || '},"original_topic":"events","original_partition":' || partition || ',"original_offset":' || "offset" || ',"subscription_id":"' || sub || '","attempts":' || attempts || ',"error":"http 500","failed_at":"2024-01-01T00:00:00Z"}'"""
 
 
-@query(with_log(_FAILED + f""" SELECT 'events.DLQ' AS topic, 0 AS partition, id AS key, '{S.FAILURE_TYPE}' AS type, '{{"original_event":{{"id":"' || id || '","topic":"events","partition":0,"offset":' || "offset" || ',"type":"' || type || '","key":"' || key || '","headers":{{}},"data":' || to_json(data) || '}},"original_topic":"events","original_partition":0,"original_offset":' || "offset" || ',"subscription_id":"' || sub || '","attempts":' || attempts || ',"error":"http 500","failed_at":"2024-01-01T00:00:00Z"}}' AS data FROM f"""))
+@query(with_log(_FAILED + f" SELECT 'events.DLQ' AS topic, 0 AS partition, id AS key, '{S.FAILURE_TYPE}' AS type, {_ENVELOPE} AS data FROM f"))
 def dlq_envelope(spark, sf_dir):
     return deadletters.envelopes(_failed(spark, sf_dir))
 
 
-@query(with_log(_FAILED + " SELECT place AS \"offset\", attempts = 0 AS malformed, CASE WHEN attempts > 0 THEN id END AS original_id, CASE WHEN attempts > 0 THEN \"offset\" END AS original_offset FROM d"))
+@query(with_log(_FAILED + " SELECT place AS \"offset\", malformed, CASE WHEN NOT malformed THEN id END AS original_id, CASE WHEN NOT malformed THEN \"offset\" END AS original_offset FROM d"))
 def dlq_parse(spark, sf_dir):
     return deadletters.parse(_dead_letters(spark, sf_dir)).select("offset", "malformed", F.col("failure.original_event.id").alias("original_id"), F.col("failure.original_offset").alias("original_offset"))
 
@@ -489,20 +541,20 @@ def _decisions(events):
     return events.filter(k < 2).select(*deadletters.PLACE, F.when(k == 0, "retry").otherwise("discard").alias("action"), F.when(k == 0, "pending").otherwise("complete").alias("status"))
 
 
-@query(with_log(_FAILED + ' SELECT place AS "offset", attempts = 0 AS malformed, action, status FROM d'))
+@query(with_log(_FAILED + ' SELECT place AS "offset", malformed, action, status FROM d'))
 def dlq_with_decisions(spark, sf_dir):
     events = _dead_letters(spark, sf_dir)
     return deadletters.listed(events, _decisions(events)).select("offset", "malformed", "action", "status")
 
 
-@query(with_log(_FAILED + """ SELECT place AS "offset", 'retry' AS action, CASE WHEN attempts = 0 THEN 'malformed' WHEN action = 'retry' THEN 'done before' WHEN action IS NOT NULL THEN 'conflict' ELSE 'pending' END AS verdict FROM d UNION ALL SELECT 1000000, 'retry', 'missing'"""))
+@query(with_log(_FAILED + """ SELECT place AS "offset", 'retry' AS action, CASE WHEN malformed THEN 'malformed' WHEN action = 'retry' THEN 'done before' WHEN action IS NOT NULL THEN 'conflict' ELSE 'pending' END AS verdict FROM d UNION ALL SELECT -1, 'retry', 'missing'"""))
 def dlq_resolve(spark, sf_dir):
     events = _dead_letters(spark, sf_dir)
-    wanted = events.select(*deadletters.PLACE).unionByName(spark.createDataFrame([("demo", "events.DLQ", 0, 1_000_000)], "workspace string, topic string, partition int, offset long"))
+    wanted = events.select(*deadletters.PLACE).unionByName(spark.createDataFrame([("demo", "events.DLQ", 0, -1)], "workspace string, topic string, partition int, offset long"))
     return deadletters.resolve(events, _decisions(events), wanted.withColumn("action", F.lit("retry"))).select("offset", "action", "verdict")
 
 
-@query(with_log(_FAILED + f""" SELECT 'events' AS target, 'd' || id AS id, type, key, data, '{S.PREFIX}.dlq.original_id=' || id || ';{S.PREFIX}.dlq.source_id=d' || id || ';{S.PREFIX}.dlq.source_offset=' || place || ';{S.PREFIX}.dlq.source_partition=0' AS headers FROM d WHERE attempts > 0"""))
+@query(with_log(_FAILED + f""" SELECT 'events' AS target, 'd' || id AS id, type, key, data, '{S.PREFIX}.dlq.original_id=' || id || ';{S.PREFIX}.dlq.source_id=d' || id || ';{S.PREFIX}.dlq.source_offset=' || place || ';{S.PREFIX}.dlq.source_partition=0' AS headers FROM d WHERE NOT malformed"""))
 def dlq_retry_headers(spark, sf_dir):
     rows = deadletters.retries(deadletters.parse(_dead_letters(spark, sf_dir)))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -514,14 +566,22 @@ def dlq_next_pending(spark, sf_dir):
     return deadletters.next_pending(_decisions(_dead_letters(spark, sf_dir))).select("offset", "action")
 
 
-@query(with_log(""", m AS (SELECT max("offset") + 1 AS n FROM log WHERE partition = 1), p AS (SELECT "offset" + CASE WHEN "offset" % 5 = 4 THEN (SELECT n FROM m) - "offset" ELSE 0 END AS o, CASE WHEN "offset" % 5 = 1 THEN 'other' ELSE id END AS id, CASE WHEN "offset" % 5 = 2 THEN 'other' ELSE type || '|' || data END AS fp FROM log WHERE partition = 1 AND "offset" < 300)
-SELECT CAST(p.o AS BIGINT) AS "offset", p.id, CASE WHEN l.id IS NOT NULL THEN CASE WHEN l.id = p.id AND l.type || '|' || l.data = p.fp THEN 'complete' ELSE 'conflict' END WHEN p.o = (SELECT n FROM m) THEN 'append' ELSE 'conflict' END AS action FROM p LEFT JOIN log l ON l.partition = 1 AND l."offset" = p.o"""))
+@query(with_log(""", m AS (SELECT partition, max("offset") + 1 AS n FROM log GROUP BY partition), p AS (SELECT partition, CASE WHEN "offset" % 5 = 4 THEN n ELSE "offset" END AS o, n, CASE WHEN "offset" % 5 = 1 THEN 'other' ELSE id END AS id, CASE WHEN "offset" % 5 = 2 THEN 'other' ELSE type || '|' || data END AS fp FROM log JOIN m USING (partition))
+SELECT p.partition, CAST(p.o AS BIGINT) AS "offset", p.id, CASE WHEN l.id IS NOT NULL THEN CASE WHEN l.id = p.id AND l.type || '|' || l.data = p.fp THEN 'complete' ELSE 'conflict' END WHEN p.o = p.n THEN 'append' ELSE 'conflict' END AS action FROM p LEFT JOIN log l ON l.partition = p.partition AND l."offset" = p.o"""))
 def outbox_recover(spark, sf_dir):
-    rows = event_log(spark, sf_dir).filter("partition = 1").withColumn("fingerprint", F.concat("type", F.lit("|"), "data"))
-    ends = log.bounds(rows, partitions(spark).filter("partition = 1")).select("partition", "next")
+    """Recovery over the whole log: of every five prepared appends two differ from what is there, one is still to be appended."""
+    rows = event_log(spark, sf_dir).withColumn("fingerprint", F.concat("type", F.lit("|"), "data"))
+    ends = F.broadcast(log.bounds(rows, partitions(spark)).select("partition", "next"))  # a row a partition
     o = F.col("offset")
-    pending = rows.filter("offset < 300").join(ends, "partition").select("topic", "partition", F.when(o % 5 == 4, F.col("next")).otherwise(o).alias("offset"), F.when(o % 5 == 1, "other").otherwise(F.col("id")).alias("id"), F.when(o % 5 == 2, "other").otherwise(F.col("fingerprint")).alias("fingerprint"), "next")
-    return replay.recover(pending, rows).select("offset", "id", "action")
+    pending = rows.join(ends, "partition").select("topic", "partition", F.when(o % 5 == 4, F.col("next")).otherwise(o).alias("offset"), F.when(o % 5 == 1, "other").otherwise(F.col("id")).alias("id"), F.when(o % 5 == 2, "other").otherwise(F.col("fingerprint")).alias("fingerprint"), "next")
+    return replay.recover(pending, rows).select("partition", "offset", "id", "action")
+
+
+@query(with_log(""", p AS (SELECT *, CAST(row_number() OVER (PARTITION BY partition ORDER BY ts, event_id) - 1 AS BIGINT) AS o FROM log), m AS (SELECT partition, max("offset") + 1 AS n FROM log GROUP BY partition) SELECT p.id, partition, CAST(n + o AS BIGINT) AS "offset" FROM p JOIN m USING (partition)"""))
+def outbox_reserve(spark, sf_dir):
+    """Places for a second copy of every event, behind the log's end."""
+    rows = event_log(spark, sf_dir)
+    return replay.reserve(rows.drop("offset"), log.bounds(rows, partitions(spark)), ["timestamp", "event_id"], F.to_date("timestamp")).select("id", "partition", "offset")
 
 
 # --- metadata and policy predicates -------------------------------------------------------------------------
@@ -538,9 +598,19 @@ def scope_allowed(spark, sf_dir):
     return c.select("c_custkey", policy.allowed(F.col("role"), F.col("scopes"), F.lit("events"), F.col("action")).alias("allowed"), policy.metrics_allowed(F.col("role"), F.col("scopes")).alias("metrics"))
 
 
-@query("SELECT page_id, CASE WHEN url IS NULL OR strlen(url) > 2048 THEN 'length' WHEN NOT starts_with(lower(url), 'https://') THEN 'scheme' WHEN contains(url, '#') THEN 'fragment' END AS error FROM pages")
+#: Ways that a page's URL is bent, so that every branch is met (see url_check).
+_BENT = {2: "https://u:p@", 3: "https://10.0.0.1/", 4: "https://a.example:8443/", 5: "https://[::1]/", 6: "https://[2606:4700::1]:443/", 7: "https://8.8.8.8/", 8: "https://[::ffff:192.168.0.1]/", 9: "https://[fd00::1]:80/"}
+_BENT_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in _BENT.items())
+
+
+@query(f"""WITH u AS (SELECT page_id, page_id % 13 AS k, CASE page_id % 13 {_BENT_SQL} WHEN 10 THEN repeat('x', 3000) WHEN 11 THEN 'https:///' WHEN 12 THEN replace(url, 'http://', 'https://') ELSE url END AS url FROM pages)
+SELECT page_id, CASE WHEN url IS NULL OR strlen(url) > 2048 THEN 'length' WHEN NOT starts_with(lower(url), 'https://') OR k = 11 THEN 'scheme' WHEN k = 2 THEN 'credentials' WHEN contains(url, '#') THEN 'fragment' WHEN k IN (4, 9) THEN 'port' WHEN k IN (3, 5, 8) THEN 'address' END AS error FROM u""")
 def url_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", policy.url_error(F.col("url")).alias("error"))
+    """Delivery URLs of every kind: the pages' own and bent ones, by page."""
+    k = (F.col("page_id") % 13).cast("int")
+    bent = F.element_at(F.create_map(*[F.lit(x) for pair in _BENT.items() for x in pair]), k)
+    url = F.when(k < 2, F.col("url")).when(k == 10, F.concat(F.repeat(F.lit("x"), F.lit(3000)), F.lit("x"))).when(k == 11, "https:///x").when(k == 12, F.replace("url", F.lit("http://"), F.lit("https://"))).otherwise(F.concat(bent, F.lit("x")))
+    return table(spark, sf_dir, "pages").select("page_id", policy.url_error(url).alias("error"))
 
 
 def _denied_sql() -> str:
@@ -556,12 +626,15 @@ def public_ip(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", policy.public_ipv4(dotted).alias("is_public"))
 
 
-@query("""SELECT count(*) AS names, count(*) FILTER (WHERE regexp_matches(c_name, '^[a-zA-Z0-9][a-zA-Z0-9._-]{0,127}$')) AS valid, count(DISTINCT sha256(c_name)) AS digests FROM customer""")
+_NAMES_OF = "CASE c_custkey % 7 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '.') WHEN 2 THEN '.' || c_name WHEN 3 THEN c_name || '/x' WHEN 4 THEN '..' WHEN 5 THEN repeat('n', CAST(c_custkey % 200 AS INTEGER)) ELSE 'é' || c_name END"
+
+
+@query(f"WITH n AS (SELECT c_custkey, {_NAMES_OF} AS name FROM customer) SELECT c_custkey, name, regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9._-]{{0,127}}') AS valid, sha256(name) AS digest FROM n")
 def name_check(spark, sf_dir):
     from tidelog.functions.hashing import digest
 
-    c = table(spark, sf_dir, "customer")
-    return c.agg(F.count("*").alias("names"), F.count_if(policy.valid_name(F.col("c_name"))).alias("valid"), F.count_distinct(digest(F.col("c_name"))).alias("digests"))
+    name = F.expr(_NAMES_OF)
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")).select("*", policy.valid_name(F.col("name")).alias("valid"), digest(F.col("name")).alias("digest"))
 
 
 @query("""SELECT o_orderkey, o_custkey AS user_id, c_mktsegment AS workspace, CASE c_nationkey % 2 WHEN 0 THEN 'viewer' ELSE 'developer' END AS role FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate + INTERVAL 12 HOUR > (SELECT max(o_orderdate) - INTERVAL 200 DAY FROM orders)""")
@@ -574,12 +647,13 @@ def session_principals(spark, sf_dir):
     return metadata.principals(sessions, memberships, F.lit(now) - F.expr("INTERVAL 200 DAYS")).withColumnRenamed("token_hash", "o_orderkey")
 
 
-@query("SELECT s.c_custkey AS user_id, n_name AS workspace, c_mktsegment AS role FROM customer s JOIN nation ON n_nationkey = c_nationkey WHERE c_name = (SELECT min(c_name) FROM customer)")
+@query("SELECT s.c_custkey AS user_id, n_name AS workspace, c_mktsegment AS role FROM customer s JOIN nation ON n_regionkey = c_nationkey % 5 WHERE c_name = (SELECT min(c_name) FROM customer)")
 def login_memberships(spark, sf_dir):
+    """A user with a workspace for each nation of a region."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     who = c.agg(F.min("c_name")).first()[0]
     users = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"), F.lit("").alias("password_hash"))
-    memberships = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("user_id"), F.col("n_name").alias("workspace"), F.col("c_mktsegment").alias("role"))
+    memberships = c.join(n, F.col("n_regionkey") == F.col("c_nationkey") % 5).select(F.col("c_custkey").alias("user_id"), F.col("n_name").alias("workspace"), F.col("c_mktsegment").alias("role"))
     return metadata.login(users, memberships, who).drop("password_hash")
 
 

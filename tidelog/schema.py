@@ -9,6 +9,7 @@ PREFIX = "tidelog"
 FAILURE_TYPE = f"{PREFIX}.delivery.failed"
 DLQ_SUFFIX = ".DLQ"
 
+#: Limits (fixed values that clients rely on).
 NAME_PATTERN = r"^[a-zA-Z0-9][a-zA-Z0-9._-]{0,127}$"
 MAX_TYPE_BYTES, MAX_KEY_BYTES, MAX_HEADERS, MAX_IDEMPOTENCY_BYTES = 256, 4096, 64, 256
 MAX_PARTITIONS, MAX_TOPICS = 256, 100
@@ -19,6 +20,7 @@ SEGMENT_BYTES, LEAST_SEGMENT_BYTES = 4 << 20, 1024
 DEDUP_SECONDS, DEDUP_CAPACITY = 24 * 3600, 4096
 MAX_DELIVERIES, MAX_MEMBERS = 8, 256
 MAX_DELAY = 3600
+LIMITER_KEYS = 10_000
 FRAME_BYTES = 8
 MIN_FREE_BYTES = 64 << 20
 #: Bounds of the publish latency histogram in seconds.
@@ -65,6 +67,18 @@ class OutOfRange(LogError):
     status = 416
 
 
+class TooMany(LogError):
+    status = 429
+
+
+class Forbidden(LogError):
+    status = 403
+
+
+class Missing(LogError):
+    status = 404
+
+
 class Unavailable(LogError):
     status = 503
 

@@ -93,6 +93,11 @@ class Store:
             keep = keep | ((F.col("partition") == p) & (F.col("offset") >= floor))
         return rows.filter(keep)
 
+    def receipts(self, workspace: str, topic: str, now) -> DataFrame:
+        """Keyed events that may still have a receipt: of the last S.DEDUP_SECONDS (Parquet's statistics skip older files)."""
+        recent = F.col("timestamp") > now - F.expr(f"INTERVAL {S.DEDUP_SECONDS} SECONDS")
+        return self.log(workspace, topic).filter(recent & F.expr("coalesce(idempotency_key, '') <> ''"))
+
     def publish(self, workspace: str, topic: str, rows: DataFrame, order: list[str], batch: str | None = None, now=None) -> DataFrame:
         """Appends the valid, new rows; returns every row's id, error, status, and its place or its receipt's.
 
@@ -114,11 +119,15 @@ class Store:
             error = F.coalesce(error, F.when(~jsonsem.matches_schema(F.col("data"), config["schema"]), "schema"))
         checked = rows.withColumn("error", error)
         good = checked.filter("error is null")
-        past = self.log(workspace, topic).filter("coalesce(idempotency_key, '') <> ''")
+        past = self.receipts(workspace, topic, now)
         print_ = jsonsem.fingerprint(F.col("type"), F.coalesce("key", F.lit("")), F.to_json("headers"), F.col("data"))
         pick = ["workspace", "topic", "idempotency_key", "id", "timestamp", "fingerprint"]
-        both = past.withColumn("fingerprint", print_).select(*pick).unionByName(good.filter("coalesce(idempotency_key, '') <> ''").withColumn("fingerprint", print_).select(*pick))
-        verdicts = dedup.by_window_and_capacity(both).select("id", "verdict", "receipt_id")
+        # Rows of a batch have one time: they are judged in the batch's own order, behind all that the log has.
+        own = [f"_order{k}" for k in range(len(order))]
+        kinds = dict(rows.dtypes)
+        before = past.withColumn("fingerprint", print_).select(*pick, F.lit(0).alias("_new"), *[F.lit(None).cast(kinds[c]).alias(o) for c, o in zip(order, own)])
+        new = good.filter("coalesce(idempotency_key, '') <> ''").withColumn("fingerprint", print_).select(*pick, F.lit(1).alias("_new"), *[F.col(c).alias(o) for c, o in zip(order, own)])
+        verdicts = dedup.by_window_and_capacity(before.unionByName(new), order=("timestamp", "_new", *own, "id")).select("id", "verdict", "receipt_id")
         judged = good.join(verdicts, "id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("accepted")))
         if not os.path.isdir(target):
             base = self.spark.createDataFrame([(p, n) for p, n in enumerate(config["next"])], "partition int, next long")
