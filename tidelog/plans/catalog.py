@@ -274,6 +274,17 @@ def group_inspect(spark, sf_dir):
     return found.withColumn("partitions", F.array_join(F.col("partitions").cast("array<string>"), ","))
 
 
+@query(with_log(f""", {_LAGS} SELECT "group", partition, committed, latest, oldest, lag, unavailable, ("group" = 'billing' AND partition % 2 = 0) AS in_flight FROM lags"""))
+def group_gauges(spark, sf_dir):
+    """Two members a group, one of them expired; the living one of billing holds the even partitions."""
+    bounds = _bounds(spark, sf_dir)
+    committed = _committed(bounds)
+    members = spark.createDataFrame([("events", g, m, until) for g in ("billing", "audit") for m, until in (("a", 50), ("b", 5))], "topic string, group string, member string, until long")
+    leases = committed.select("topic", "group", "partition", F.when(F.col("partition") % 2 == 0, "a").otherwise("b").alias("member"), F.when(F.col("group") == "billing", 20).otherwise(9).cast("long").alias("until"))
+    gauges, _ = groups.metrics(committed, bounds, members, leases, F.lit(10))
+    return gauges.select("group", "partition", "committed", "latest", "oldest", "lag", "unavailable", "in_flight")
+
+
 @query(with_log(f""", {_BOUNDS} SELECT partition, 'earliest' AS "group", 1::BIGINT AS epoch, oldest AS committed FROM b UNION ALL SELECT partition, 'latest', 1, latest FROM b"""))
 def group_start(spark, sf_dir):
     bounds = _bounds(spark, sf_dir)
@@ -613,6 +624,47 @@ def url_check(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", policy.url_error(url).alias("error"))
 
 
+#: Delivery headers by customer, one kind for each rule (see header_check).
+_HEADERS = ["map('X-A', '1')", "map('a b', '1')", "map('a', 'é')", "map('Host', 'x')", "map('a', '1', 'A', '2')", "map('a', repeat('x', 1025))", "map()", "map('X-Forwarded-For', 'y')", "map('a', concat('x', char(10)))"]
+_HEADER_ERRORS = [None, "name", "value", "reserved", "duplicate", "size", None, "reserved", "value"]
+
+
+def _headers(n):
+    return F.expr("CASE " + " ".join(f"WHEN k = {k} THEN {h}" for k, h in enumerate(x if x != "map()" else "map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))" for x in _HEADERS)) + " END")
+
+
+@query(f"SELECT c_custkey, {_HEADER_ERRORS}[c_custkey % 9 + 1] AS error FROM customer".replace("None", "NULL"))
+def header_check(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % len(_HEADERS))
+    return c.select("c_custkey", policy.headers_error(_headers(F.col("k"))).alias("error"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'url: scheme' WHEN strlen(c_name) * (c_custkey % 5) NOT BETWEEN 32 AND 1024 THEN 'secret' WHEN c_custkey % 25 NOT BETWEEN 1 AND 20 THEN 'max_attempts' WHEN c_custkey % 4000 NOT BETWEEN 1 AND 3600 THEN 'delay' END AS error FROM customer""")
+def subscription_check(spark, sf_dir):
+    n = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(n, F.when(n % 3 == 1, "http://a.example").otherwise("https://a.example/x").alias("url"), F.repeat("c_name", (n % 5).cast("int")).alias("secret"), (n % 25).alias("max_attempts"), (n % 4000).alias("delay"), F.create_map(F.lit("X-A"), F.lit("1")).alias("headers"))
+    return rows.select("c_custkey", delivery.subscription_error(rows).alias("error"))
+
+
+_SOME_JSON = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props || ',' WHEN 2 THEN '[' || props || ', 1e3]' WHEN 3 THEN replace(props, ':', ';') ELSE '[true, null, -0.5]' END"
+
+
+@query(f"SELECT event_id, json_valid({_SOME_JSON}) AS valid FROM events")
+def json_valid(spark, sf_dir):
+    from tidelog.functions import jsonsem
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_SOME_JSON).alias("data"))
+    return rows.select("event_id", jsonsem.is_valid_json(F.col("data")).alias("valid"))
+
+
+@query(with_log(f"""SELECT partition, "offset", 'id: ' || "offset" || chr(10) || 'data: {{"id":"' || id || '","topic":"events","partition":' || partition || ',"offset":' || "offset" || ',"timestamp":"' || {ISO} || '","type":"' || type || '","key":"' || key || '","data":' || data || '}}' || chr(10) || chr(10) AS frame FROM log"""))
+def tail_frames(spark, sf_dir):
+    """What a tail from the log's start sends, frame by frame."""
+    from tidelog.streaming import streams
+
+    return streams.frames(event_log(spark, sf_dir))
+
+
 def _denied_sql() -> str:
     import ipaddress
 

@@ -88,8 +88,9 @@ def dedup(rows: DataFrame, seconds: int = S.DEDUP_SECONDS) -> DataFrame:
     """Verdict of each row like the batch operator's: receipts anchored at the accepted event, with conflicts.
 
     rows: workspace, topic, idempotency_key, id, timestamp, fingerprint. Rows without a key are accepted and touch no
-    state. State is one receipt a key; it goes when the key has been quiet for so long by the clock, so no row is ever too
-    late for a verdict. Rows of a key are ordered within a micro-batch; the log delivers them in order.
+    state. State is one receipt a key. The watermark is on the time of arrival, not the event's: so no row is ever too late
+    for a verdict, and a key's state goes when it has been quiet for so long. Rows of a key are ordered within a
+    micro-batch; the log delivers them in order.
     """
     names = ["workspace", "topic", "idempotency_key", "id", "timestamp"]
 
@@ -107,13 +108,13 @@ def dedup(rows: DataFrame, seconds: int = S.DEDUP_SECONDS) -> DataFrame:
                 out.append(("accepted", event))
         rows[["verdict", "receipt_id"]] = out
         state.update((at, fingerprint, own))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int(rows["_arrival"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + seconds * 1000)
         yield rows[[*names, "verdict", "receipt_id"]]
 
     keyless = F.coalesce("idempotency_key", F.lit("")) == ""
     free = rows.filter(keyless).select(*names, F.lit("accepted").alias("verdict"), F.col("id").alias("receipt_id"))
-    keyed = rows.filter(~keyless).groupBy("workspace", "topic", "idempotency_key")
-    judged = keyed.applyInPandasWithState(judge, VERDICTS, "at double, fingerprint string, id string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = rows.filter(~keyless).withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", "0 seconds").groupBy("workspace", "topic", "idempotency_key")
+    judged = keyed.applyInPandasWithState(judge, VERDICTS, "at double, fingerprint string, id string", "append", GroupStateTimeout.EventTimeTimeout)
     return judged.unionByName(free)
 
 
