@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: STAGES in order, each stage's rows written and read again as the next one's docs."""
+"""The training-corpus pipeline: STAGES in order, each stage's rows written and read again as the next one's docs.
+
+Defined cases: a null or letterless text is rejected by the first stage, and so is every row of an empty table; extra columns
+are left out; rows that repeat an id are documents of their own, so of rows that repeat id and text one stays, and of
+equal texts the smallest id's (a null id comes last); ties in language go to the language that sorts first, ties
+between passages to the first. Texts are whole at every stage, however long.
+"""
 
 from __future__ import annotations
 
