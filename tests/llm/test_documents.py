@@ -234,6 +234,29 @@ def test_lm_without_training_documents(spark):
     assert len(rows) == len(ids) and all(r["held_out"] and r["train_tokens"] == 0 == r["n_known"] and r["score"] == r["base_score"] for r in rows)
 
 
+def test_lm_scores_equal_a_plain_pass(spark, sf, texts, monkeypatch):
+    """score: word by word with the fitted weights, other words by their counts."""
+    seen = []
+    real = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda rows, net: (real(rows, net), seen.append(net))[0])
+    rows = {r["doc_id"]: r for r in queries.op3_lm(spark, sf).collect()}
+    net, table = seen[0], seen[0].table()
+    counts = Counter(w for i, t in texts.items() if not rows[i]["held_out"] for w in lm.tokens(t.encode()))
+    ranked = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    rank = {w: k for k, w in enumerate(ranked[: lm.WORDS])}
+    rest, others = sum(counts[w] for w in ranked[lm.WORDS :]), len(ranked) - len(rank)
+    for i in sorted(texts, key=lambda i: len(texts[i]))[::20]:
+        h, want, before = np.zeros((lm.HIDDEN, 1), np.float32), 0.0, lm.WORDS + 1
+        for w in lm.tokens(texts[i].encode()):
+            k = rank.get(w, lm.WORDS)
+            h, _ = net.cell(table[:, [before]], h)
+            want += float(net.outputs(h.T, np.array([k]))[0]) / math.log(10)
+            if k == lm.WORDS:
+                want += math.log10((counts[w] + 1) / (rest + others + 1))
+            before = k
+        assert rows[i]["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_cases(odd, empty):
     rows = lm.score(odd).collect()
     assert len(rows) == 12 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
@@ -355,6 +378,31 @@ def test_repeat_cases(odd, empty):
     assert substrings.remove_repeats(empty).count() == 0 == phrases.remove_passages(empty).count()
 
 
+def test_many_copies_of_a_row(spark):
+    """Rows that repeat an id and its text share their places: lists don't grow with the copies."""
+    text = " ".join(f"w{k % 40}" for k in range(70))  # repeats itself
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").crossJoin(spark.range(20_000).select()).union(spark.createDataFrame([(0, "x " + text), (2, text)], "doc_id long, text string"))
+    want = brute_cover({0: ("x " + text).encode(), 1: text.encode(), 2: text.encode()}, 100, False)
+    rows = substrings.remove_repeats(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in rows} == {(d, sum(want[d]), 20_000 if d == 1 else 1) for d in range(3)}
+    keyed = repeats.keyed(df)
+    assert repeats.repeats(substrings.SPEC, keyed).groupBy("did", "tag").agg(F.size(F.collect_set("at")).alias("n")).agg(F.max("n")).first()[0] < 500
+    rows = phrases.remove_passages(df).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in rows} == {(0, 0, 1), (1, 70, 20_000), (2, 70, 1)}
+
+
+def test_owners_with_many_routes(spark, monkeypatch):
+    """A passage that every document has goes to all buckets from rows of its own; results don't change."""
+    monkeypatch.setattr(phrases, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(phrases, "ROUTES", 3)
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(90)]
+    docs = {d: " ".join([f"a{r.random()}" for _ in range(r.randrange(9))] + words[r.randrange(20) :] + [f"b{d}"]) for d in range(120)}
+    rows = phrases.remove_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    assert len(rows) == 120
+    check_passages(rows, docs)
+
+
 def test_same_id_other_text(spark):
     a, b = ("word%d " * 60) % tuple(range(60)), ("other%d " * 60) % tuple(range(60))
     df = spark.createDataFrame([(1, a), (2, a + b), (2, b), (3, b), (None, b), (4, "tiny")], "doc_id long, text string")
@@ -372,6 +420,37 @@ def test_langid_query(spark, sf):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held) > 0
 
 
+def test_langid_equals_plain_bayes(spark, sf):
+    """Counting and scoring n-gram by n-gram with Python's numbers (all training documents: the table is below the bound)."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def grams(text):
+        points = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in text]
+        for i, p in enumerate(points):
+            for n in range(3):
+                if i >= n or n == 0:
+                    g = p | (points[i - 1] + 1 if n and i else 0) << 21 | (points[i - 2] + 1 if n == 2 and i > 1 else 0) << 42
+                    yield (g + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 49
+                else:  # an n-gram that would reach before the text is the shorter one
+                    g = p | (points[i - 1] + 1 if n > 1 and i else 0) << 21
+                    yield (g + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 49
+
+    train = [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2 and d["lang"] is not None and d["text"] is not None]
+    counts, prior = {}, Counter(d["lang"] for d in train)
+    for d in train:
+        counts.setdefault(d["lang"], Counter()).update(grams(d["text"]))
+    langs = sorted(counts)
+    total = {k: sum(counts[k].values()) + langid.BUCKETS for k in langs}
+    want = {}
+    for d in docs:
+        found = Counter(grams(d["text"] or ""))
+        log = {k: math.log((prior[k] + 1) / (len(train) + len(langs))) + sum(n * math.log((counts[k][g] + 1) / total[k]) for g, n in found.items()) for k in langs}
+        best = max(langs, key=lambda k: log[k])
+        want[d["doc_id"]] = (best, 1 / sum(math.exp(max(log[k] - log[best], -700)) for k in langs)) if any(c.isalpha() for c in d["text"] or "") else ("und", 0.0)
+    for r in queries.op6_langid(spark, sf).collect():
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-3)
+
+
 def test_langid_cases(odd, empty):
     rows = langid.identify(odd).collect()
     assert len(rows) == 12
@@ -451,6 +530,45 @@ def test_decontamination_query_finds_planted(spark, sf, texts):
     assert planted <= got
 
 
+def test_short_items_and_spaces(spark):
+    """Items of fewer than five words stand word for word; documents and items end words at the same white space."""
+    items = {1: "alpha", 2: "beta gamma", 3: "one two three", 4: "vier W\u00f6rter sind hier", 5: "\u6771\u4eac\u90fd\u306b\u4f4f\u3093\u3067\u3044\u307e\u3059", 6: "!!! ...", 7: "a b c d e f g h i j k l"}
+    docs = {1: ("x ALPHA, y", {1}), 2: ("beta  gamma!", {2}), 3: ("beta x gamma", set()), 4: ("one two\u00a0three", {3}), 5: ("Vier w\u00f6rter\u3000sind hier.", {4}), 6: (f"({items[5]})", {5}), 7: ("\u6771\u4eac\u90fd", set()), 8: (items[7].replace(" ", "\u00a0"), {7}), 9: ("!!! ...", set()), 10: ("two one two three one", {3})}
+    df = spark.createDataFrame([(d, t) for d, (t, _) in docs.items()], "doc_id long, text string")
+    rows = decontaminate.contaminated(df, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(d, k) for d, (_, found) in docs.items() for k in found}
+    assert all(r["edit_distance"] == 0 for r in rows)
+
+
+@pytest.mark.parametrize(("size", "least"), [(5, 0.98), (12, 0.98), (40, 0.98), (150, 0.98), (400, 0.98), (1200, 1.0)])
+def test_recall_on_edits_that_the_index_has_not_seen(size, least):
+    """Passages with as many edits as are allowed; sizes that no number of repetitions suits are searched in full."""
+    import pyarrow as pa
+
+    r = random.Random(size)
+    word = lambda: f"w{r.randrange(3000)}"
+    texts = [[word() for _ in range(size)] for _ in range(6)]
+    items = decontaminate.Items([(k, " ".join(w)) for k, w in enumerate(texts)])
+    n = 120 if size < 1000 else 18
+    docs = [" ".join([word() for _ in range(20)] + edit(texts[d % 6], decontaminate.edit_limit(size), r) + [word() for _ in range(20)]) for d in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": docs})
+    got = {(d, k) for _, d, k, *_ in decontaminate.scan(batch, items, decontaminate.Words(items.known))}
+    assert sum((d, d % 6) in got for d in range(n)) >= least * n
+    assert size < 1000 or items.keys[size] is None
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    """More blocks than a pass takes: each pass's rows are written, and results are those of one block."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(12)) for _ in range(60)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"before {texts[d]} after" if d % 2 else "nothing of it") for d in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 6)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 3)
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, items).collect()} == {(d, d) for d in range(1, 60, 2)}
+    assert {x["doc_id"] for x in decontaminate.clean(docs, items).collect()} == set(range(0, 60, 2))
+
+
 def test_decontamination_cases(spark, odd, empty):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over"), (1, "the quick brown fox jumps over"), (None, "alpha beta gamma delta epsilon"), (2, None)], "item_id long, text string")
     rows = decontaminate.contaminated(odd, items).collect()

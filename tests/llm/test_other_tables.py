@@ -180,6 +180,22 @@ def test_page():
     assert html.model().extract(PAGE.format("x")) == want
 
 
+def test_pages_equal_their_articles(spark, sf):
+    """The tables' pages have one article each: its blocks, cut out by hand, are the gold text of every page."""
+    import html as references
+    import re
+
+    def gold(page):
+        (article,) = re.findall(r"<article>(.*?)</article>", page, re.S)
+        blocks = re.split(r"</?(?:h1|p)>", article)
+        texts = [" ".join(references.unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        return "\n".join(t for t in texts if t)
+
+    pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{sf}/pages.parquet").to_pylist()}
+    got = {r["page_id"]: r["text"] for r in queries.op10_html(spark, sf).collect()}
+    assert got == {i: gold(page) for i, page in pages.items()}
+
+
 def test_page_table(spark, sf):
     rows = queries.op10_html(spark, sf).collect()
     assert len(rows) == pq.read_table(f"{sf}/pages.parquet").num_rows

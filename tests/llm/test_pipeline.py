@@ -1,6 +1,7 @@
 """The pipeline: its stages one by one against plain Python."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_documents import brute_cover
@@ -47,5 +48,34 @@ def test_stages_keep_odd_rows(spark, sf, odd, empty):
     assert np.all([r["n_chars"] == 9 for r in corpus_pipeline.language(spark, odd, sf).collect()])
 
 
+def test_tokens_of_odd_rows(spark, sf, odd, empty):
+    """Equal to the library's ids, whatever the text; the empty table and null texts too."""
+    import base64
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    from tidelog.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f.read().splitlines())}
+    library = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = corpus_pipeline.tokens(spark, odd.withColumn("uid", odd.did), sf).collect()
+    texts = sorted(library.encode_ordinary(r["text"] or "") for r in odd.collect())
+    assert sorted(r["ids"] for r in rows) == texts and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert corpus_pipeline.tokens(spark, empty, sf).count() == 0
+
+
+def test_run_on_odd_and_empty_tables(spark, sf, odd, empty, tmp_path):
+    """Every case at once, from the first stage to the last."""
+    benchmark = table(spark, sf, "benchmark")
+    for name, docs in (("odd", odd.withColumn("more", F.create_map(F.lit("a"), F.lit(1)))), ("empty", empty)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        benchmark.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert set(got) <= {(False, 1), (True, 0), (False, 5), (False, 8)} and (False, 1) in got
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0

@@ -128,6 +128,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def keep_one(docs: DataFrame, grouped=groups) -> DataFrame:
     """docs with one row of each group: the smallest id's (nulls last), then the smallest text hash's, then any of equal rows."""
     found, named = grouped(docs)
@@ -136,5 +144,6 @@ def keep_one(docs: DataFrame, grouped=groups) -> DataFrame:
     kept = each.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     rows = docs.withColumns({"_key2": F.xxhash64(F.col("text").cast("string")), "_id2": F.col("doc_id").cast("long")})
     rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")), "left_semi")
-    w = Window.partitionBy("_id2", "_key2").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["_key2"])
+    more = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and _sortable(f.dataType)]
+    w = Window.partitionBy("_id2", "_key2").orderBy(*more or ["_key2"])
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_id2", "_key2")
