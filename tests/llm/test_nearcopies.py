@@ -47,7 +47,7 @@ def test_stage_drops_near_copies_of_the_tables(spark, sf, texts):
 @pytest.mark.parametrize("stars", [0, 1, 3])
 def test_stage_drops_planted_near_copies(spark, sf, monkeypatch, stars):
     monkeypatch.setattr(nearcopies, "STARS", stars)
-    monkeypatch.setattr(nearcopies, "CHEAP", -1)
+    monkeypatch.setattr(nearcopies, "BLOCK", 3)
     monkeypatch.setattr(nearcopies, "POSTINGS_AT_ONCE", 5000)
     r = random.Random(3)
     word = lambda: f"w{r.randrange(5000)}"

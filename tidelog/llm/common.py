@@ -70,6 +70,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote of these tables: only once nothing that is still to be computed reads them."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, not only by rows, unless the session has a smaller bound."""
     now = (spark.conf.get(BATCH_SETTING, None) or "").removesuffix("b")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored
+from tidelog.llm.common import discard, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def connected(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct(), "links")
     before, now = None, _state(edges)
     while now != before and now[0]:
-        edges = stored(_stars(edges), "links")
+        old, edges = edges, stored(_stars(edges), "links")
+        discard(old)
         before, now = now, _state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -4,7 +4,7 @@ Two sets at 0.8 differ in 15 % of their SimHash bits (up to 19 % for the smalles
 64-bit fingerprint. So fingerprints have WIDTH bytes here, of which such a pair shares 27 % (19 %), and the byte-position
 inverted index has three positions a key, as in simhash.py:
 
-* The index: KEYS triples of positions, each position in three of them; texts of SHORT shingles or fewer have all
+* The index: KEYS triples of positions, each position in three of them at most; texts of SHORT shingles or fewer have all
   TRIPLES. Postings of a task meet there first, packed; only postings that two distinct sets share leave the index.
 * Candidates of one posting differ in at most CARRIED_BITS of the 128 bits that rows carry.
 * The count filter: a pair shares at least NEEDED positional bytes of all WIDTH, and differs in at most MOST_BITS bits.
@@ -13,9 +13,9 @@ inverted index has three positions a key, as in simhash.py:
 All four are set so that they lose next to nothing at 0.8 (some 0.7 % of pairs at exactly 0.8 share no key, 0.1 % at
 0.83, none to speak of above) and nothing below 0.8 links.
 
-Sets, not documents, are compared: copies meet in one row first. A posting's members are first compared with one of
-them, a star, STARS times at most; then only members of different components are compared pair by pair, so that a large
-group of near-copies makes no square of its size.
+Sets, not documents, are compared: copies meet in one row first. Then each set is compared with one that it shares a posting
+with, STARS times at most, and components are formed; only members of different components are compared pair by pair, so
+that a large group of near-copies makes no square of its size.
 
 Defined cases: a text of fewer than five words has one shingle, all its words; texts without words are equal; letters
 A-Z are lower-cased and words split at ASCII white space, as in operator 2; null ids and rows that repeat an id take
@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import byte_column, doc_rows, record_batch, shuffle_partitions, slices, stored, tidy
+from tidelog.llm.common import byte_column, discard, doc_rows, record_batch, shuffle_partitions, slices, stored, tidy
 from tidelog.llm.components import connected
 
 SHINGLE, SEED = 5, 42
-WIDTH, KEYS, TRIPLES_ALL, SHORT = 264, 264, 1056, 20
+WIDTH, KEYS, TRIPLES_ALL, SHORT = 264, 256, 1056, 20
 NEEDED, MOST_BITS, CARRIED_BITS = 24, 480, 46
-STARS, CHEAP = 3, 64
+STARS, BLOCK = 4, 256
 WORDS_KEPT, ROWS_AT_ONCE, POSTINGS_AT_ONCE = 1 << 17, 255, 1 << 20
 #: Entries of a bucket of the index, of which a task holds one at a time.
 BUCKET = 1 << 20
@@ -111,10 +111,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def keys(prints: np.ndarray, n: int) -> np.ndarray:
-    """The first n keys of each fingerprint (rows of bytes): 32 bits of the triple's number and its three bytes."""
+    """The first n keys of each fingerprint (rows of bytes): the triple's number and its three bytes in 32 bits.
+
+    Triples from KEYS on, which only small sets have, are hashed to them.
+    """
     x = prints[:, TRIPLES[:n]].astype(np.uint64)
     x = x[:, :, 0] << np.uint64(16) | x[:, :, 1] << np.uint64(8) | x[:, :, 2] | np.arange(n, dtype=np.uint64) << np.uint64(24)
-    return (_mixed(x) >> np.uint64(32)).astype(np.uint32)
+    x[:, KEYS:] = _mixed(x[:, KEYS:]) >> np.uint64(32)
+    return x.astype(np.uint32)
 
 
 def index(names: DataFrame, buckets: int) -> DataFrame:
@@ -235,50 +239,109 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(run), "a long, b long")
 
 
-def _near(one: str, two: str):
-    """Sizes that 0.8 allows, and the carried bits' distance."""
-    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
-    apart = sum((F.bit_count(F.col(f"{one}.{s}").bitwiseXOR(F.col(f"{two}.{s}"))) for s in ("s", "t")), F.lit(0))
+def near(one: tuple, two: tuple) -> np.ndarray:
+    """(n, s, t) each: sizes that 0.8 allows, and the carried bits' distance."""
+    (n, s, t), (m, u, v) = one, two
+    apart = np.bitwise_count((s ^ u).view(np.uint64)).astype(np.int32) + np.bitwise_count((t ^ v).view(np.uint64))
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (apart <= CARRIED_BITS)
 
 
+FIELDS = ["key", "fp", "n", "s", "t", "root"]
+
+
+def stars(batches):
+    """Rows sorted by key (and rank): each row's pair with its posting's first, if that is near and of another component."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {f: batch.column(f).to_numpy() for f in FIELDS}
+        if carry:
+            x = {f: np.concatenate([carry[f], x[f]]) for f in FIELDS}
+        new = np.ones(len(x["key"]), bool)
+        new[1:] = x["key"][1:] != x["key"][:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        ok = ~new & (x["root"] != x["root"][first]) & near((x["n"], x["s"], x["t"]), (x["n"][first], x["s"][first], x["t"][first]))
+        yield record_batch(out, [x["fp"][ok], x["fp"][first[ok]]])
+        carry = {f: v[first[-1] : first[-1] + 1] for f, v in x.items()}
+
+
+def crossed(batches):
+    """Rows sorted by key: all near pairs of different components in each posting. The largest component's rows aren't paired among themselves."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(x):
+        roots, own, size = np.unique(x["root"], return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return
+        few = np.flatnonzero(own != size.argmax())
+        for at in range(0, len(few), BLOCK):
+            i = few[at : at + BLOCK, None]
+            ok = (x["root"][i] != x["root"]) & near((x["n"][i], x["s"][i], x["t"][i]), (x["n"], x["s"], x["t"]))
+            p, q = np.nonzero(ok)
+            if len(p):
+                yield record_batch(out, [x["fp"][few[at + p]], x["fp"][q]])
+
+    parts = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {f: batch.column(f).to_numpy() for f in FIELDS}
+        cuts = np.append(np.flatnonzero(np.diff(x["key"])) + 1, batch.num_rows)
+        low = 0
+        if parts and parts[0]["key"][0] != x["key"][0]:
+            yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
+            parts = []
+        for high in cuts.tolist():
+            parts.append({f: v[low:high] for f, v in x.items()})
+            if high < batch.num_rows:
+                yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
+                parts = []
+            low = high
+    if parts:
+        yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
+
+
 def links(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """names: distinct sets (fp, key, n, bytes). Links that connect every candidate pair of 0.8 or more, not each such pair."""
+    """names: distinct sets (fp, key, n, s, t, bytes). Links that connect every candidate pair of 0.8 or more, not each such pair."""
     buckets = max(shuffle_partitions(docs), -(-names.count() * KEYS // BUCKET))
-    postings = index(names, buckets)
-    facts = names.select("fp", "n", "s", "t")
-    rows = stored(postings.join(facts, "fp").select("key", F.struct("fp", "n", "s", "t").alias("x")), "postings")
-    found = None
-    for k in range(STARS + 1):
-        own = rows.withColumn("root", F.col("x.fp"))
-        if found is not None:
-            roots = connected(found).select(F.col("node").alias("fp"), "root")
-            own = rows.withColumn("fp", F.col("x.fp")).join(roots, "fp", "left").select("key", "x", F.coalesce("root", F.col("x.fp")).alias("root"))
-            own = stored(own, "members")
-        mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min_by(F.struct("x", "root"), F.xxhash64(F.col("x.fp"), F.lit(k))).alias("one")).filter("low != high")
-        last = k == STARS
-        if not last and found is not None:
-            all_, square = own.count(), mixed.agg(F.sum(F.col("m") * F.col("m"))).first()[0]
-            last = (square or 0) <= CHEAP * all_
-        if last:
-            here = own.join(mixed.select("key"), "key")
-            other = here.select("key", F.col("x").alias("y"), F.col("root").alias("root2"))
-            pairs = here.join(other, "key").filter((F.col("root") < F.col("root2")) & _near("x", "y"))
+    shared = index(names, buckets).groupBy("fp").agg(F.collect_set("key").alias("keys"))  # TRIPLES_ALL keys at most
+    rows = stored(shared.join(names.select("fp", "n", "s", "t"), "fp"), "postings")
+    found, linked, k = docs.sparkSession.createDataFrame([], "a long, b long"), 0, 0
+    while True:
+        own = rows.withColumn("root", F.col("fp"))
+        if linked:
+            roots = connected(found).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+            own = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp"))
+        own = own.withColumn("key", F.explode("keys")).withColumn("rank", F.xxhash64("fp", F.lit(k))).select(*FIELDS, "rank")
+        dealt = own.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "rank").select(*FIELDS)
+        if k < STARS:
+            pairs = dealt.mapInArrow(tidy(stars), "a long, b long").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
         else:
-            pairs = own.join(mixed.select("key", F.col("one.x").alias("y"), F.col("one.root").alias("root2")), "key").filter((F.col("root") != F.col("root2")) & _near("x", "y"))
-        pairs = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "pairs")
-        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        members = stored(sets(docs, names.select("fp", "key").join(asked, "fp")).dropDuplicates(["fp"]), "sets")
-        more = stored(verified(pairs, members), "verified")
-        found = more if found is None else found.union(more)
-        if last:
+            pairs = dealt.mapInArrow(tidy(crossed), "a long, b long")
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        before = linked
+        if not pairs.isEmpty():
+            asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+            members = stored(sets(docs, names.select("fp", "key").join(asked, "fp")).dropDuplicates(["fp"]), "sets")
+            old, found = found, stored(found.union(verified(pairs, members)), "verified")
+            linked = found.count()
+            discard(members, *([old] if before else []))
+        discard(pairs)
+        if k == STARS:
+            discard(rows)
             return found
-    return found
+        k = k + 1 if linked > before else STARS
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, key, fp of every document; fp and root (the name of the group's smallest set) of every distinct set."""
-    found = stored(sketches(docs), "sketches")
-    names = stored(found.groupBy("fp").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("n", "s", "t", "bytes"))), "names")
+    whole = stored(sketches(docs), "sketches")
+    names = stored(whole.groupBy("fp").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("n", "s", "t", "bytes"))), "names")
+    found = stored(whole.select("doc_id", "key", "fp"), "found")
+    discard(whole)
     roots = connected(links(names, docs)).withColumnRenamed("node", "fp")
-    return found.select("doc_id", "key", "fp"), names.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = stored(names.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
+    discard(names, roots)
+    return found, named
