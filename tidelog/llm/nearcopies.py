@@ -7,14 +7,15 @@ inverted index has three positions a key, as in simhash.py:
 * The index: KEYS triples of positions, each position in three of them at most; texts of SHORT shingles or fewer have all
   TRIPLES. Postings of a task meet there first, packed; only postings that two distinct sets share leave the index.
 * Candidates of one posting differ in at most CARRIED_BITS of the 128 bits that rows carry.
-* The count filter: a pair shares at least NEEDED positional bytes of all WIDTH, and differs in at most MOST_BITS bits.
+* The count filter: a pair shares at least NEEDED positional bytes of all WIDTH, and differs in at most MOST_BITS bits
+  (FEWER_BITS from LARGE shingles on).
 * Verification: the whole sets' Jaccard similarity, exactly.
 
 All four are set so that they lose next to nothing at 0.8 (some 0.7 % of pairs at exactly 0.8 share no key, 0.1 % at
 0.83, none to speak of above) and nothing below 0.8 links.
 
-Sets, not documents, are compared: copies meet in one row first. Then each set is compared with one that it shares a posting
-with, STARS times at most, and components are formed; only members of different components are compared pair by pair, so
+Sets, not documents, are compared: copies meet in one row first. Then each set is compared with the
+middle of one of its postings, STARS times at most, and components are formed; only members of different components are compared pair by pair, so
 that a large group of near-copies makes no square of its size.
 
 Defined cases: a text of fewer than five words has one shingle, all its words; texts without words are equal; letters
@@ -35,8 +36,8 @@ from tidelog.llm.components import connected
 
 SHINGLE, SEED = 5, 42
 WIDTH, KEYS, TRIPLES_ALL, SHORT = 264, 256, 1056, 20
-NEEDED, MOST_BITS, CARRIED_BITS = 24, 480, 46
-STARS, BLOCK = 4, 256
+NEEDED, MOST_BITS, FEWER_BITS, LARGE, CARRIED_BITS = 24, 480, 400, 64, 46
+STARS, BLOCK = 2, 256
 WORDS_KEPT, ROWS_AT_ONCE, POSTINGS_AT_ONCE = 1 << 17, 255, 1 << 20
 #: Entries of a bucket of the index, of which a task holds one at a time.
 BUCKET = 1 << 20
@@ -224,19 +225,33 @@ def alike(one: bytes, two: bytes, left: bytes, right: bytes) -> bool:
     return 5 * shared >= 4 * (len(p) + len(q) - shared)
 
 
+def close(one: bytes, two: bytes, n: int, m: int) -> bool:
+    """The count filter over the fingerprints' positional bytes, then their bits; larger sets stray less."""
+    x = np.frombuffer(one, np.uint64) ^ np.frombuffer(two, np.uint64)
+    most = FEWER_BITS if min(n, m) >= LARGE else MOST_BITS
+    return WIDTH - np.count_nonzero(x.view(np.uint8)) >= NEEDED and int(np.bitwise_count(x).sum()) <= most
+
+
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The pairs (a, b) that are alike. Only what passes by its fingerprints is joined to the sets, which are larger."""
 
-    def run(batches):
-        for batch in batches:
-            a, b, *each = (batch.column(x).to_pylist() for x in ("a", "b", "one", "two", "left", "right"))
-            kept = [k for k, x in enumerate(zip(*each)) if alike(*x)]
-            yield record_batch(out, [[a[k] for k in kept], [b[k] for k in kept]])
+    def keep(test):
+        def run(batches):
+            for batch in batches:
+                a, b, *each = (column.to_pylist() for column in batch.columns)
+                kept = [k for k, x in enumerate(zip(*each)) if test(*x)]
+                yield record_batch(_PAIRS, [[a[k] for k in kept], [b[k] for k in kept]])
 
-    left = members.select(F.col("fp").alias("a"), F.col("bytes").alias("one"), F.col("found").alias("left"))
-    right = members.select(F.col("fp").alias("b"), F.col("bytes").alias("two"), F.col("found").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(tidy(run), "a long, b long")
+        return tidy(run)
+
+    def sides(rows: DataFrame, *columns: str) -> DataFrame:
+        for key in ("a", "b"):
+            rows = rows.join(members.select(F.col("fp").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in columns]), key)
+        return rows.select("a", "b", *[f"{c}_{key}" for c in columns for key in ("a", "b")])
+
+    members = members.withColumn("n", (F.octet_length("found") / 8).cast("int"))
+    likely = sides(pairs, "bytes", "n").mapInArrow(keep(close), "a long, b long")
+    return sides(likely, "bytes", "found").mapInArrow(keep(alike), "a long, b long")
 
 
 def near(one: tuple, two: tuple) -> np.ndarray:
@@ -247,60 +262,65 @@ def near(one: tuple, two: tuple) -> np.ndarray:
 
 
 FIELDS = ["key", "fp", "n", "s", "t", "root"]
+CHOSEN = 1 << 18
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def stars(batches):
-    """Rows sorted by key (and rank): each row's pair with its posting's first, if that is near and of another component."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    carry = None
+def postings(batches):
+    """The rows of each posting; batches are sorted by key."""
+    parts: list[dict] = []
+    whole = lambda: {f: np.concatenate([y[f] for y in parts]) for f in FIELDS}
     for batch in batches:
         if not batch.num_rows:
             continue
         x = {f: batch.column(f).to_numpy() for f in FIELDS}
-        if carry:
-            x = {f: np.concatenate([carry[f], x[f]]) for f in FIELDS}
-        new = np.ones(len(x["key"]), bool)
-        new[1:] = x["key"][1:] != x["key"][:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        ok = ~new & (x["root"] != x["root"][first]) & near((x["n"], x["s"], x["t"]), (x["n"][first], x["s"][first], x["t"][first]))
-        yield record_batch(out, [x["fp"][ok], x["fp"][first[ok]]])
-        carry = {f: v[first[-1] : first[-1] + 1] for f, v in x.items()}
+        cuts = np.append(np.flatnonzero(np.diff(x["key"])) + 1, batch.num_rows).tolist()
+        low = 0
+        for high in cuts:
+            if parts and parts[0]["key"][0] != x["key"][low]:
+                yield whole()
+                parts = []
+            parts.append({f: v[low:high] for f, v in x.items()})
+            low = high
+    if parts:
+        yield whole()
 
 
-def crossed(batches):
-    """Rows sorted by key: all near pairs of different components in each posting. The largest component's rows aren't paired among themselves."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def middle(x: dict[str, np.ndarray]) -> int:
+    """The row whose carried bits are nearest to the posting's majority: of copies of one text most likely that text."""
+    if len(x["fp"]) < 3:
+        return 0
+    bits = np.unpackbits(np.stack([x["s"], x["t"]], 1).view(np.uint8), axis=1)
+    return int((bits != (bits.sum(0, dtype=np.int64) * 2 > len(bits))).sum(1).argmin())
+
 
-    def pairs(x):
+def stars(batches):
+    """Each set's pair with the middle of one of its postings, if that is near and of another component: one pair a set and task."""
+    chosen: dict[int, int] = {}
+    for x in postings(batches):
+        m = middle(x)
+        ok = (x["root"] != x["root"][m]) & near((x["n"], x["s"], x["t"]), (x["n"][m], x["s"][m], x["t"][m]))
+        own = int(x["fp"][m])
+        for a in x["fp"][ok].tolist():
+            b = chosen.get(a)
+            if b is None or own < b:
+                chosen[a] = own
+        if len(chosen) > CHOSEN:
+            yield pa.RecordBatch.from_pydict({"a": list(chosen), "b": list(chosen.values())}, schema=_PAIRS)
+            chosen = {}
+    yield pa.RecordBatch.from_pydict({"a": list(chosen), "b": list(chosen.values())}, schema=_PAIRS)
+
+
+def crossed(batches):
+    """All near pairs of different components in each posting. The largest component's rows aren't paired among themselves."""
+    for x in postings(batches):
         roots, own, size = np.unique(x["root"], return_inverse=True, return_counts=True)
-        if len(roots) < 2:
-            return
-        few = np.flatnonzero(own != size.argmax())
+        few = np.flatnonzero(own != size.argmax()) if len(roots) > 1 else []
         for at in range(0, len(few), BLOCK):
             i = few[at : at + BLOCK, None]
-            ok = (x["root"][i] != x["root"]) & near((x["n"][i], x["s"][i], x["t"][i]), (x["n"], x["s"], x["t"]))
-            p, q = np.nonzero(ok)
+            p, q = np.nonzero((x["root"][i] != x["root"]) & near((x["n"][i], x["s"][i], x["t"][i]), (x["n"], x["s"], x["t"])))
             if len(p):
-                yield record_batch(out, [x["fp"][few[at + p]], x["fp"][q]])
-
-    parts = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = {f: batch.column(f).to_numpy() for f in FIELDS}
-        cuts = np.append(np.flatnonzero(np.diff(x["key"])) + 1, batch.num_rows)
-        low = 0
-        if parts and parts[0]["key"][0] != x["key"][0]:
-            yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
-            parts = []
-        for high in cuts.tolist():
-            parts.append({f: v[low:high] for f, v in x.items()})
-            if high < batch.num_rows:
-                yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
-                parts = []
-            low = high
-    if parts:
-        yield from pairs({f: np.concatenate([y[f] for y in parts]) for f in FIELDS})
+                yield record_batch(_PAIRS, [x["fp"][few[at + p]], x["fp"][q]])
 
 
 def links(names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -314,8 +334,8 @@ def links(names: DataFrame, docs: DataFrame) -> DataFrame:
         if linked:
             roots = connected(found).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
             own = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp"))
-        own = own.withColumn("key", F.explode("keys")).withColumn("rank", F.xxhash64("fp", F.lit(k))).select(*FIELDS, "rank")
-        dealt = own.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key", "rank").select(*FIELDS)
+        own = own.withColumn("key", F.explode("keys")).select(*FIELDS)
+        dealt = own.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key")
         if k < STARS:
             pairs = dealt.mapInArrow(tidy(stars), "a long, b long").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
         else:
