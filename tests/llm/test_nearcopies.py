@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -114,3 +115,85 @@ def test_index_finds_all_shared_keys(spark, monkeypatch):
     for parts, buckets in ((1, 3), (4, 50)):
         got = nearcopies.index(names.repartition(parts), buckets).collect()
         assert {(r["key"], r["fp"]) for r in got} == want and len(got) == len(want)
+
+
+def test_parity_loses_no_pair():
+    """Sets of all sizes around 0.8, with parities of equal and different lengths: odd() is at most 1 where the similarity is 0.8."""
+    r = np.random.default_rng(9)
+    alike = unlike = refused = 0
+    for _ in range(1500):
+        shared = r.integers(0, 1 << 64, r.integers(4, 600), np.uint64)
+        extra = r.integers(0, 1 << 64, r.integers(0, 1 + len(shared) * 45 // 100), np.uint64)
+        cut = r.integers(0, len(extra) + 1)
+        a, b = np.concatenate([shared, extra[:cut]]), np.concatenate([shared, extra[cut:]])
+        x = {"n": np.array([len(a), len(b)]), "parity": np.array([nearcopies.parity(a), nearcopies.parity(b)], object)}
+        share = nearcopies.odd(x, np.array([0]), np.array([1]))[0]
+        if 5 * len(shared) >= 4 * (len(a) + len(b) - len(shared)):
+            alike += 1
+            assert share <= 1
+        elif 4 * len(shared) < 3 * (len(a) + len(b) - len(shared)):
+            unlike += 1
+            refused += share > 1
+    assert alike > 300 and unlike > 100 and refused > 0.9 * unlike
+
+
+def test_postings_give_all_candidates(monkeypatch):
+    """partnered, crossed and forest over chunks of several batches against all pairs of each posting."""
+    monkeypatch.setattr(nearcopies, "CHUNK", 40)
+    monkeypatch.setattr(nearcopies, "BLOCK", 50)
+    monkeypatch.setattr(nearcopies, "CHOSEN", 30)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 64, (12, 60), np.uint64)
+    found = []
+    for k in range(150):
+        s = base[k % 12].copy()
+        change = r.random(60) < r.choice([0, 0.05, 0.1, 0.3])
+        s[change] = r.integers(0, 1 << 64, int(change.sum()), np.uint64)
+        found.append(np.unique(s))
+    fp = np.concatenate([r.choice(150, size, replace=False) for size in (1, 2, 90, 3, 1, 150, 40, 2, 2)])
+    key = np.repeat(np.arange(9), (1, 2, 90, 3, 1, 150, 40, 2, 2))
+    root = r.integers(0, 100, 150)[fp]
+    prints = np.array([np.frombuffer(nearcopies.wide(s)[:16], np.int64) for s in found])
+    x = {"key": key, "fp": fp, "n": np.array([len(s) for s in found])[fp], "s": prints[fp, 0], "t": prints[fp, 1], "root": root, "parity": np.array([nearcopies.parity(s) for s in found], object)[fp]}
+    p, q = (y.ravel() for y in np.indices((len(fp), len(fp))))
+    ok = (key[p] == key[q]) & (p < q)
+    p, q = p[ok], q[ok]
+    ok = nearcopies.near(x, p, q)
+    p, q = p[ok], q[ok]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({f: v[at : at + 17] for f, v in x.items()}) for at in range(0, len(fp), 17)])
+    rows = lambda found, a, b: {z for y in found for z in zip(y[a].to_pylist(), y[b].to_pylist())}
+    assert rows(nearcopies.partnered(batches()), "key", "fp") == {(key[i], fp[i]) for i in np.concatenate([p, q])}
+    ok = (root[p] != root[q]) & (nearcopies.odd(x, p, q) <= 1)
+    want = {(min(a, b), max(a, b)) for a, b in zip(fp[p[ok]], fp[q[ok]])}
+    common = {k: np.bincount(root[key == k]).max() for k in range(9)}
+    assert max(common.values()) > 1 and len(want) > 200
+    assert {(min(y), max(y)) for y in rows(nearcopies.crossed(batches()), "a", "b")} == want
+
+    def parts(pairs):
+        top = list(range(100))
+        where = dict(zip(fp.tolist(), root.tolist()))
+        for a, b in pairs:
+            u, v = top[where[a]], top[where[b]]
+            top = [min(u, v) if t in (u, v) else t for t in top]
+        return top
+
+    trees = rows(nearcopies.forest(batches()), "a", "b")
+    assert {(min(y), max(y)) for y in trees} <= want and len(trees) < len(fp) and parts(trees) == parts(want)
+
+
+def test_near_copies_that_are_not_alike_make_no_square(spark, sf, monkeypatch):
+    """Copies of one text, near each other by the carried bits, of which some reach 0.8: few pairs are read again, none is lost."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = {}
+    for d in range(220):
+        copy = list(base)
+        for _ in range(r.choice([2, 6, 7, 8])):
+            copy[r.randrange(len(copy))] = f"w{r.randrange(5000)}"
+        texts[d] = " ".join(copy)
+    asked, verified = [], nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, members: asked.append(pairs.count()) or verified(pairs, members))
+    kept = brute_kept(texts)
+    assert 20 < len(kept) < 200
+    assert stage(spark, sf, texts) == kept
+    assert sum(asked) < 10 * len(texts)

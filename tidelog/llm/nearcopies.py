@@ -6,17 +6,22 @@ inverted index has three positions a key, as in simhash.py:
 
 * The index: KEYS triples of positions, each position in three of them at most; texts of SHORT shingles or fewer have all
   TRIPLES. Postings of a task meet there first, packed; only postings that two distinct sets share leave the index.
-* Candidates of one posting differ in at most CARRIED_BITS of the 128 bits that rows carry.
+* Candidates of one posting differ in at most CARRIED_BITS of the 128 bits that rows carry. Rows without such a partner in
+  their posting go no further.
+* Parities: bit i of a set's parity is the number of its shingles whose name ends in i, modulo 2. Sets that differ in D
+  shingles have parities that differ in D bits at most, and at 0.8 D is at most a ninth of both sizes together. So this test
+  loses no pair, and with PARITY bits a shingle few pairs below 0.75 pass it.
 * The count filter: a pair shares at least NEEDED positional bytes of all WIDTH, and differs in at most MOST_BITS bits
   (FEWER_BITS from LARGE shingles on).
 * Verification: the whole sets' Jaccard similarity, exactly.
 
-All four are set so that they lose next to nothing at 0.8 (some 0.7 % of pairs at exactly 0.8 share no key, 0.1 % at
+All but the exact ones are set so that they lose next to nothing at 0.8 (some 0.7 % of pairs at exactly 0.8 share no key, 0.1 % at
 0.83, none to speak of above) and nothing below 0.8 links.
 
-Sets, not documents, are compared: copies meet in one row first. Then each set is compared with the
-middle of one of its postings, STARS times at most, and components are formed; only members of different components are compared pair by pair, so
-that a large group of near-copies makes no square of its size.
+Sets, not documents, are compared: copies meet in one row first. Then, STARS times at most, each task writes a forest of the
+candidates of its postings (each set with the middle of its posting first), of which each set's likeliest pair is verified, and components are formed. At
+last all candidates of different components are verified, which is what the forests' false pairs have left. So a large
+group of near-copies makes no square of its size in rows: a forest has fewer pairs than its task has rows.
 
 Defined cases: a text of fewer than five words has one shingle, all its words; texts without words are equal; letters
 A-Z are lower-cased and words split at ASCII white space, as in operator 2; null ids and rows that repeat an id take
@@ -37,7 +42,10 @@ from tidelog.llm.components import connected
 SHINGLE, SEED = 5, 42
 WIDTH, KEYS, TRIPLES_ALL, SHORT = 264, 256, 1056, 20
 NEEDED, MOST_BITS, FEWER_BITS, LARGE, CARRIED_BITS = 24, 480, 400, 64, 46
-STARS, BLOCK = 2, 256
+#: Bits of parity for a shingle (up to twice that), and bytes of a parity at most and of parities compared at once.
+PARITY, PARITY_BYTES, COMPARED_BYTES = 4, 1 << 10, 4 << 20
+#: Rounds of forests; pairs compared at once; rows of postings taken together; pairs sorted at once; odd() of pairs that are joined unsorted.
+STARS, BLOCK, CHUNK, CHOSEN, SURE = 2, 1 << 16, 1 << 13, 1 << 18, 0.9
 WORDS_KEPT, ROWS_AT_ONCE, POSTINGS_AT_ONCE = 1 << 17, 255, 1 << 20
 #: Entries of a bucket of the index, of which a task holds one at a time.
 BUCKET = 1 << 20
@@ -90,13 +98,28 @@ def wide(found: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(found), bitorder="little").tobytes()
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bits, a power of two of them, that tell whether an odd number of names end in their place."""
+    bits = min(8 * PARITY_BYTES, 1 << max(6, int(PARITY * len(found) - 1).bit_length()))
+    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A parity as if it had been made with ``width`` bytes."""
+    x = np.frombuffer(bits, np.uint64)
+    while x.nbytes > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _name(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp (the set's name), n (its size), the fingerprint, and its first 128 bits as s and t."""
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("bytes", pa.binary())])
+    """doc_id, key (a hash of the text), fp (the set's name), n (its size), the fingerprint, its first 128 bits as s and t, and the parity."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("bytes", pa.binary()), ("parity", pa.binary())])
 
     def run(batches):
         known = Names()
@@ -105,10 +128,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
             prints = [wide(s) for s in sets]
             carried = np.array([np.frombuffer(x[:16], np.int64) for x in prints]).reshape(-1, 2).T
-            yield record_batch(out, [batch.column("doc_id"), batch.column("key"), names, [len(s) for s in sets], *carried, prints])
+            yield record_batch(out, [batch.column("doc_id"), batch.column("key"), names, [len(s) for s in sets], *carried, prints, [parity(s) for s in sets]])
 
     rows = doc_rows(docs, F.xxhash64(F.col("text").cast("string")).alias("key"))
-    return rows.mapInArrow(tidy(run), "doc_id long, key long, fp long, n long, s long, t long, bytes binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, key long, fp long, n long, s long, t long, bytes binary, parity binary")
 
 
 def keys(prints: np.ndarray, n: int) -> np.ndarray:
@@ -254,92 +277,193 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return sides(likely, "bytes", "found").mapInArrow(keep(alike), "a long, b long")
 
 
-def near(one: tuple, two: tuple) -> np.ndarray:
-    """(n, s, t) each: sizes that 0.8 allows, and the carried bits' distance."""
-    (n, s, t), (m, u, v) = one, two
-    apart = np.bitwise_count((s ^ u).view(np.uint64)).astype(np.int32) + np.bitwise_count((t ^ v).view(np.uint64))
+def near(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the rows p and q have sizes that 0.8 allows, and carried bits that differ little."""
+    n, m = x["n"][p], x["n"][q]
+    apart = sum(np.bitwise_count((x[f][p] ^ x[f][q]).view(np.uint64)).astype(np.int32) for f in ("s", "t"))
     return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (apart <= CARRIED_BITS)
 
 
-FIELDS = ["key", "fp", "n", "s", "t", "root"]
-CHOSEN = 1 << 18
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_TREES = pa.schema([*_PAIRS, ("share", pa.float64())])
+_POSTINGS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
 def postings(batches):
-    """The rows of each posting; batches are sorted by key."""
+    """Whole postings, CHUNK rows or more together; batches are sorted by key."""
     parts: list[dict] = []
-    whole = lambda: {f: np.concatenate([y[f] for y in parts]) for f in FIELDS}
+    held = 0
+    whole = lambda: {f: np.concatenate([y[f] for y in parts]) for f in parts[0]}
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = {f: batch.column(f).to_numpy() for f in FIELDS}
-        cuts = np.append(np.flatnonzero(np.diff(x["key"])) + 1, batch.num_rows).tolist()
-        low = 0
-        for high in cuts:
-            if parts and parts[0]["key"][0] != x["key"][low]:
-                yield whole()
-                parts = []
-            parts.append({f: v[low:high] for f, v in x.items()})
-            low = high
+        x = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in batch.schema.names}
+        if held >= CHUNK:
+            cut = int(np.searchsorted(x["key"], parts[-1]["key"][-1], "right"))
+            parts.append({f: v[:cut] for f, v in x.items()})
+            x = {f: v[cut:] for f, v in x.items()}
+            if not len(x["key"]):
+                continue
+            yield whole()
+            parts, held = [], 0
+        parts.append(x)
+        held += len(x["key"])
     if parts:
         yield whole()
 
 
-def middle(x: dict[str, np.ndarray]) -> int:
-    """The row whose carried bits are nearest to the posting's majority: of copies of one text most likely that text."""
-    if len(x["fp"]) < 3:
-        return 0
-    bits = np.unpackbits(np.stack([x["s"], x["t"]], 1).view(np.uint8), axis=1)
-    return int((bits != (bits.sum(0, dtype=np.int64) * 2 > len(bits))).sum(1).argmin())
+def starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return new
 
 
-def stars(batches):
-    """Each set's pair with the middle of one of its postings, if that is near and of another component: one pair a set and task."""
-    chosen: dict[int, int] = {}
+def middles(x: dict[str, np.ndarray]) -> np.ndarray:
+    """For each row, the row of its posting whose carried bits are nearest to the posting's majority: of copies of one text most likely that text."""
+    new = starts(x["key"])
+    first, which = np.flatnonzero(new), np.cumsum(new) - 1
+    bits = np.unpackbits(np.stack([x["s"], x["t"]], 1).view(np.uint8), axis=1)
+    most = np.add.reduceat(bits, first, 0, np.int64) * 2 > np.bincount(which)[:, None]
+    apart = (bits != most[which]).sum(1)
+    return (np.minimum.reduceat(apart << 32 | np.arange(len(apart)), first) & 0xFFFFFFFF)[which]
+
+
+def paired(key: np.ndarray, late: np.ndarray):
+    """All pairs (row numbers) of a key but those of two late rows, once each, in blocks."""
+    order = np.lexsort((late, key))
+    key, at, lag = key[order], np.flatnonzero(~late[order]), 1
+    while len(at):
+        step = max(1, BLOCK // len(at))
+        q = at[:, None] + np.arange(lag, lag + step)
+        same = (q < len(key)) & (key[np.minimum(q, len(key) - 1)] == key[at, None])
+        i, j = np.nonzero(same)
+        yield order[at[i]], order[q[i, j]]
+        at, lag = at[same[:, -1]], lag + step
+
+
+def partnered(batches):
+    """The rows (key, fp) that are near another row of their posting."""
     for x in postings(batches):
-        m = middle(x)
-        ok = (x["root"] != x["root"][m]) & near((x["n"], x["s"], x["t"]), (x["n"][m], x["s"][m], x["t"][m]))
-        own = int(x["fp"][m])
-        for a in x["fp"][ok].tolist():
-            b = chosen.get(a)
-            if b is None or own < b:
-                chosen[a] = own
-        if len(chosen) > CHOSEN:
-            yield pa.RecordBatch.from_pydict({"a": list(chosen), "b": list(chosen.values())}, schema=_PAIRS)
-            chosen = {}
-    yield pa.RecordBatch.from_pydict({"a": list(chosen), "b": list(chosen.values())}, schema=_PAIRS)
+        m, rows = middles(x), np.arange(len(x["key"]))
+        found = (m != rows) & near(x, rows, m)
+        found[m[found]] = True
+        for p, q in paired(x["key"], found):
+            ok = near(x, p, q)
+            found[p[ok]] = found[q[ok]] = True
+        yield record_batch(_POSTINGS, [x[f][found] for f in ("key", "fp")])
+
+
+def odd(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of the rows p and q differ, as a share of what 0.8 allows."""
+    size = np.array([len(bits) for bits in x["parity"]])
+    width, out = np.minimum(size[p], size[q]), np.zeros(len(p))
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w)
+        rows, place = np.unique(np.concatenate([p[some], q[some]]), return_inverse=True)
+        bits = np.stack([folded(y, w) for y in x["parity"][rows]])
+        for at in range(0, len(some), COMPARED_BYTES // w):
+            i = np.arange(at, min(at + COMPARED_BYTES // w, len(some)))
+            out[some[i]] = np.bitwise_count(bits[place[i]] ^ bits[place[len(some) + i]]).sum(1, dtype=np.int64)
+    return 9 * out / (x["n"][p] + x["n"][q])
+
+
+def candidates(x: dict[str, np.ndarray], root: np.ndarray):
+    """The candidate pairs (row numbers) of different roots, and their odd(). Rows of a posting's commonest root aren't paired among themselves."""
+    order = np.lexsort((root, x["key"]))
+    new = starts(x["key"][order], root[order])
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    key, size = x["key"][order][first], np.bincount(run)
+    by_size = np.lexsort((size, key))
+    commonest = np.zeros(len(first), bool)
+    commonest[by_size[np.append(key[by_size][1:] != key[by_size][:-1], True)]] = True
+    late = np.zeros(len(root), bool)
+    late[order] = commonest[run]
+    for p, q in paired(x["key"], late):
+        ok = root[p] != root[q]
+        p, q = p[ok], q[ok]
+        ok = near(x, p, q)
+        p, q = p[ok], q[ok]
+        share = odd(x, p, q)
+        ok = share <= 1
+        if ok.any():
+            yield p[ok], q[ok], share[ok]
+
+
+def forest(batches):
+    """Of the candidates of a task's postings, pairs that connect as much as all of them; the likeliest first."""
+    above: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while (b := above.get(a, a)) != a:
+            above[a] = above.get(b, b)
+            a = b
+        return a
+
+    def joined(x, p, q, share):
+        a, b, kept = [], [], []
+        for i in np.argsort(share, kind="stable").tolist():
+            u, v = top(int(x["root"][p[i]])), top(int(x["root"][q[i]]))
+            if u != v:
+                above[max(u, v)] = min(u, v)
+                a.append(p[i])
+                b.append(q[i])
+                kept.append(share[i])
+        return record_batch(_TREES, [*(x["fp"][np.array(y, np.int64)] for y in (a, b)), kept])
+
+    for x in postings(batches):
+        m, p = middles(x), np.arange(len(x["key"]))
+        p = p[(x["root"] != x["root"][m]) & near(x, p, m)]
+        share = odd(x, p, m[p])
+        sure = share <= SURE
+        yield joined(x, p[sure], m[p[sure]], share[sure])
+        parts, held = [], 0
+        for part in candidates(x, np.array([top(r) for r in x["root"].tolist()])):
+            parts.append(part)
+            held += len(part[0])
+            if held >= CHOSEN:
+                yield joined(x, *(np.concatenate(y) for y in zip(*parts)))
+                parts, held = [], 0
+        if parts:
+            yield joined(x, *(np.concatenate(y) for y in zip(*parts)))
+        if len(above) > CHOSEN:  # later postings may name connected rows again
+            above.clear()
 
 
 def crossed(batches):
-    """All near pairs of different components in each posting. The largest component's rows aren't paired among themselves."""
+    """All candidates of different components."""
     for x in postings(batches):
-        roots, own, size = np.unique(x["root"], return_inverse=True, return_counts=True)
-        few = np.flatnonzero(own != size.argmax()) if len(roots) > 1 else []
-        for at in range(0, len(few), BLOCK):
-            i = few[at : at + BLOCK, None]
-            p, q = np.nonzero((x["root"][i] != x["root"]) & near((x["n"][i], x["s"][i], x["t"][i]), (x["n"], x["s"], x["t"])))
-            if len(p):
-                yield record_batch(_PAIRS, [x["fp"][few[at + p]], x["fp"][q]])
+        for p, q, _ in candidates(x, x["root"]):
+            yield record_batch(_PAIRS, [x["fp"][p], x["fp"][q]])
 
 
 def links(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """names: distinct sets (fp, key, n, s, t, bytes). Links that connect every candidate pair of 0.8 or more, not each such pair."""
+    """names: distinct sets (fp, key, n, s, t, bytes, parity). Links that connect every candidate pair of 0.8 or more, not each such pair."""
     buckets = max(shuffle_partitions(docs), -(-names.count() * KEYS // BUCKET))
-    shared = index(names, buckets).groupBy("fp").agg(F.collect_set("key").alias("keys"))  # TRIPLES_ALL keys at most
-    rows = stored(shared.join(names.select("fp", "n", "s", "t"), "fp"), "postings")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("key", F.explode("keys")).drop("keys")
+        return rows.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key")
+
+    def with_keys(found: DataFrame, *columns: str) -> DataFrame:
+        keys = found.groupBy("fp").agg(F.collect_set("key").alias("keys"))  # TRIPLES_ALL keys at most
+        return stored(keys.join(names.select("fp", "n", "s", "t", *columns), "fp"), "postings")
+
+    shared = with_keys(index(names, buckets))
+    rows = with_keys(by_key(shared).mapInArrow(tidy(partnered), "key long, fp long"), "parity")
+    discard(shared)
     found, linked, k = docs.sparkSession.createDataFrame([], "a long, b long"), 0, 0
     while True:
         own = rows.withColumn("root", F.col("fp"))
         if linked:
             roots = connected(found).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-            own = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp"))
-        own = own.withColumn("key", F.explode("keys")).select(*FIELDS)
-        dealt = own.repartition(shuffle_partitions(docs), "key").sortWithinPartitions("key")
-        if k < STARS:
-            pairs = dealt.mapInArrow(tidy(stars), "a long, b long").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
+            own = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp")).drop("_root")
+        if k < STARS:  # of all tasks' forests, each set's likeliest pair
+            trees = by_key(own).mapInArrow(tidy(forest), "a long, b long, share double")
+            ends = F.array(F.struct("a", "b", "share"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
+            pairs = trees.select(F.explode(ends).alias("end")).select("end.*").groupBy("a").agg(F.min_by("b", F.struct("share", "b")).alias("b"))
         else:
-            pairs = dealt.mapInArrow(tidy(crossed), "a long, b long")
+            pairs = by_key(own).mapInArrow(tidy(crossed), "a long, b long")
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         before = linked
         if not pairs.isEmpty():
@@ -358,7 +482,7 @@ def links(names: DataFrame, docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, key, fp of every document; fp and root (the name of the group's smallest set) of every distinct set."""
     whole = stored(sketches(docs), "sketches")
-    names = stored(whole.groupBy("fp").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("n", "s", "t", "bytes"))), "names")
+    names = stored(whole.groupBy("fp").agg(F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("n", "s", "t", "bytes", "parity"))), "names")
     found = stored(whole.select("doc_id", "key", "fp"), "found")
     discard(whole)
     roots = connected(links(names, docs)).withColumnRenamed("node", "fp")
